@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimlink.llm.chat_format import op9_chat_formatting
 from claimlink.llm.html_text import op3_html_extraction
+from claimlink.llm.packing import op2_best_fit_packing
+from claimlink.llm.pieces import op6_sentencepiece
 from claimlink.llm.quality_rules import op7_quality_rules
 from claimlink.llm.topk import OP10_SQL, op10_exact_top_k
 from claimlink.llm.url_filter import op5_url_filters
@@ -16,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (op3_html_extraction, op5_url_filters, op7_quality_rules, op9_chat_formatting, op10_exact_top_k)
+    found = (op2_best_fit_packing, op3_html_extraction, op5_url_filters, op6_sentencepiece, op7_quality_rules, op9_chat_formatting, op10_exact_top_k)
     return {f.__name__: f for f in found}
 
 
