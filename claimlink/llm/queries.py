@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from claimlink.llm.chat_format import op9_chat_formatting
 from claimlink.llm.factor_quality import op4_quality_classifier
 from claimlink.llm.html_text import op3_html_extraction
+from claimlink.llm.jaccard_join import op1_ngram_jaccard_join
 from claimlink.llm.packing import op2_best_fit_packing
 from claimlink.llm.pieces import op6_sentencepiece
 from claimlink.llm.quality_rules import op7_quality_rules
@@ -19,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_best_fit_packing, op3_html_extraction, op4_quality_classifier, op5_url_filters, op6_sentencepiece, op7_quality_rules, op9_chat_formatting, op10_exact_top_k)
+    found = (op1_ngram_jaccard_join, op2_best_fit_packing, op3_html_extraction, op4_quality_classifier, op5_url_filters, op6_sentencepiece, op7_quality_rules, op9_chat_formatting, op10_exact_top_k)
     return {f.__name__: f for f in found}
 
 
