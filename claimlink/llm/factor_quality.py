@@ -116,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "y", "at", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.join(F.broadcast(of), "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), "text").mapInArrow(run, f"doc_id {kind}, y int, at array<int>, x array<float>")
+    rows = docs.select("doc_id", "text").join(F.broadcast(of), "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), "text").mapInArrow(run, f"doc_id {kind}, y int, at array<int>, x array<float>")
     found = sorted(rows.collect(), key=lambda r: (r["doc_id"], len(r["at"])))[: 2 * sample]
     return fit(np.array([r["y"] for r in found], float), [(np.array(r["at"], np.int64), np.array(r["x"])) for r in found])
 
@@ -135,6 +135,14 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str
     return docs.select(docs[text].alias("_text"), *keep).mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) that score threshold or more by a machine learnt from those with labels."""
+    machine, names = learn(docs, labels), docs.columns
+    own = tuple(f"c{i}" for i in range(len(names)))
+    scored = score(docs.toDF(*own), machine, own[names.index("text")], own)
+    return scored.where(F.col("score") >= threshold).select(*(F.col(c).alias(n) for c, n in zip(own, names, strict=True)))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     machine = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))

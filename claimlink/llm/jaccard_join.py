@@ -196,5 +196,14 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "node").join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def first_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component; one of rows that repeat both doc_id and text."""
+    linked = link_documents(docs, n, percent)
+    kept = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    return rows.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), n=4, percent=85)

@@ -139,19 +139,12 @@ def judge(stats: DataFrame, threshold: float = 0.5, min_words: int = 50) -> Data
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs, whatever their names; rows are judged one by one."""
+    """The rows of docs (text and any other columns) that the rules keep. The statistics are computed twice, for the vote
+    patterns of all rows and for the verdicts, as that is less work than writing or shuffling the texts."""
     names = docs.columns
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    text = f"c{names.index('text')}"
-    marked = materialise(judge_rows(plain.select(F.xxhash64(text).alias("_h"), F.length(text).alias("_n"), text), text, threshold))
-    kept = plain.withColumns({"_h": F.xxhash64(text), "_n": F.length(text)}).join(marked, ["_h", "_n"], "left_semi")
-    return kept.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
-
-
-def judge_rows(docs: DataFrame, text: str, threshold: float) -> DataFrame:
-    """Keys (_h, _n) of the texts that are kept."""
-    stats = materialise(add_stats(docs, text, ("_h", "_n")))
-    return judge(stats, threshold).where("kept").select("_h", "_n").distinct()
+    own = tuple(f"c{i}" for i in range(len(names)))
+    judged = judge(add_stats(docs.toDF(*own), own[names.index("text")], own), threshold)
+    return judged.where("kept").select(*(F.col(c).alias(n) for c, n in zip(own, names, strict=True)))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

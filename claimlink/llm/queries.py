@@ -13,6 +13,7 @@ from claimlink.llm.jaccard_join import op1_ngram_jaccard_join
 from claimlink.llm.packing import op2_best_fit_packing
 from claimlink.llm.pieces import op6_sentencepiece
 from claimlink.llm.quality_rules import op7_quality_rules
+from claimlink.llm.repeats import op8_suffix_array_dedup
 from claimlink.llm.topk import OP10_SQL, op10_exact_top_k
 from claimlink.llm.url_filter import op5_url_filters
 
@@ -20,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_ngram_jaccard_join, op2_best_fit_packing, op3_html_extraction, op4_quality_classifier, op5_url_filters, op6_sentencepiece, op7_quality_rules, op9_chat_formatting, op10_exact_top_k)
+    found = (op1_ngram_jaccard_join, op2_best_fit_packing, op3_html_extraction, op4_quality_classifier, op5_url_filters, op6_sentencepiece, op7_quality_rules, op8_suffix_array_dedup, op9_chat_formatting, op10_exact_top_k)
     return {f.__name__: f for f in found}
 
 
