@@ -5,9 +5,10 @@ sketches differ in at most as many bits as the sets differ in shingles. Sets of
 most d shingles, hence agree in one of more than d blocks: that block's content is the key of an equi-join. Every pair that
 shares a key is compared with the exact sets, or cleared by the Hamming distance of its sketches, or already in one component.
 
-Which pairs are looked at: documents with equal sets are one node. Each key's first node is compared with all others of the key
-(a star, linear in the key's size). Where that leaves a key's nodes in several components, the pairs across components are
-compared by their sketches, in blocks within tasks, and those that the bound doesn't clear by their sets. No link is lost.
+Which pairs are looked at: documents with equal sets are one node. Each key's first node leads it and is compared with all
+others of the key, which is linear in the key's size. Where that leaves the nodes of a leader's keys in several components, the
+pairs across components are compared by their sketches, in blocks within tasks, and those that the bound doesn't clear by
+their sets. No link is lost.
 """
 
 from __future__ import annotations
@@ -131,14 +132,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components among the members (key, node, c, n, sketch) of each key that the sketches don't clear.
+    """Pairs (a, b) across components among the members (leader, node, c, n, sketch) of each leader that the sketches don't clear.
 
-    A key's members are dealt into chunks, and each pair of chunks is one group: no group holds more than some thousands of rows.
+    A leader's members are dealt into chunks, and each pair of chunks is one group: no group holds more than some thousands of rows.
     """
-    sizes = members.groupBy("key").count().select("key", F.ceil(F.col("count") / MEMBERS).cast("int").alias("chunks"))
-    dealt = members.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    sizes = members.groupBy("leader").count().select("leader", F.ceil(F.col("count") / MEMBERS).cast("int").alias("chunks"))
+    dealt = members.join(sizes, "leader").withColumn("x", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j")))
-    spread = dealt.select("key", "node", "c", "n", "sketch", "x", F.explode(others).alias("p")).select("key", "p.*", "x", "node", "c", "n", "sketch")
+    spread = dealt.withColumn("p", F.explode(others)).select("leader", "p.*", "x", "node", "c", "n", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
         x, i, node, c, n = (group.column(k).to_numpy() for k in ("x", "i", "node", "c", "n"))
@@ -155,7 +156,7 @@ def open_pairs(members: DataFrame, percent: int) -> DataFrame:
                 b.append(np.maximum(node[near], node[k]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return spread.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return spread.groupBy("leader", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -171,7 +172,6 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     first = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     stars = rows.select("node", F.explode("keys").alias("key")).withColumn("leader", first).where("node <> leader")
-    stars = materialise(stars.select("key", "leader", "node").distinct())
     pairs = materialise(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = rows.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -179,11 +179,11 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     links = materialise(verified(pairs, sets, percent))
     labels = components(links)
-    members = stars.select("key", F.explode(F.array("leader", "node")).alias("node")).distinct()
+    members = pairs.select(F.col("a").alias("leader"), F.explode(F.array("a", "b")).alias("node")).distinct()
     members = members.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    split = members.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("l"), F.max("c").alias("h")).where("m > 2 AND l <> h").select("key")
+    split = members.groupBy("leader").agg(F.count("*").alias("m"), F.min("c").alias("l"), F.max("c").alias("h")).where("m > 2 AND l <> h").select("leader")
     sketches = sets.select("node", F.size("hashes").alias("n"), "sketch")
-    left = open_pairs(members.join(split, "key", "left_semi").select("key", "node", "c").join(sketches, "node"), percent)
+    left = open_pairs(members.join(split, "leader", "left_semi").select("leader", "node", "c").join(sketches, "node"), percent)
     left = materialise(left.join(pairs, ["a", "b"], "left_anti"))
     if not left.isEmpty():
         more = materialise(verified(left, sets, percent))
