@@ -26,8 +26,9 @@ from claimlink.llm.shared import materialise
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks that one worker remembers, in each of two generations; longer chunks aren't remembered.
-CACHE, CACHED_CHARS = 300_000, 48
-_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#()-]*)")
+CACHE, CACHED_CHARS = 600_000, 32
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#()-]*)")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 class ByteLevelEncoder:
@@ -43,6 +44,7 @@ class ByteLevelEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
         self.shown = {ord(b): c for b, c in zip(map(chr, range(256)), map(self.byte_sign, range(256)), strict=True)}
+        self.space = self.byte_sign(32)
         self.words: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -57,35 +59,29 @@ class ByteLevelEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def chunk(self, text: str) -> bytes:
-        plain = _PLAIN.fullmatch(text)  # what the pre-tokeniser takes as a word and the signs after it
-        words = (plain[1], plain[2]) if plain else ()
-        if not plain:
-            return b"".join(self.word(w) for w, _ in self.split(text))
-        return b"".join(self.known(w) for w in words if w)
-
-    def known(self, text: str) -> bytes:
-        """Ids of one word of the pre-tokeniser."""
-        found = self.words.get(text)
+        return b"".join([self.word(w) for w, _ in self.split(text)])
+
+    def word(self, shown: str) -> bytes:
+        """Ids of one word of the pre-tokeniser, in the signs that stand for its bytes."""
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def known(self, text: str, space: str) -> bytes:
+        key = space + text
+        found = self.words.get(key)
         if found is None:
             if len(self.words) >= CACHE:
                 self.words.clear()
-            self.words[text] = found = self.word(text.encode().decode("latin-1").translate(self.shown))
+            self.words[key] = found = self.word(key if text.isascii() else space + text.encode().decode("latin-1").translate(self.shown))
         return found
 
-    def word(self, shown: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def after_space(self, text: str) -> bytes:
         """Ids of a chunk and the space before it; empty if the space belongs to a longer run of white space."""
-        found = self.old.get(text)
-        if found is None:
-            found = b"" if not text or text[0].isspace() else self.chunk(f" {text}")
-        if len(text) <= CACHED_CHARS:
-            if len(self.new) >= CACHE:
-                self.old, self.new = self.new, {}
-            self.new[text] = found
-        return found
+        plain = _PLAIN.fullmatch(text)  # what the pre-tokeniser takes as a word and the signs after it
+        if plain:
+            letters, signs = plain.groups()
+            return self.known(letters, self.space) + self.known(signs, "") if signs else self.known(letters, self.space)
+        return b"" if not text or text[0].isspace() else self.chunk(f" {text}")
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -93,7 +89,15 @@ class ByteLevelEncoder:
         first, *rest = text.split(" ")
         found = list(map(self.new.get, rest))
         if None in found:
-            found = [self.after_space(t) if f is None else f for t, f in zip(rest, found, strict=True)]
+            new, old = self.new, self.old.get
+            for i, f in enumerate(found):
+                if f is None:
+                    t = rest[i]
+                    found[i] = f = new.get(t) or old(t) or self.after_space(t)
+                    if len(t) <= CACHED_CHARS:
+                        new[t] = f
+            if len(new) >= CACHE:
+                self.old, self.new = new, {}
         return self.whole(text) if b"" in found else self.chunk(first) + b"".join(found)
 
 
