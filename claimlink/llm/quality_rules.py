@@ -138,12 +138,12 @@ def judge(stats: DataFrame, threshold: float = 0.5, min_words: int = 50) -> Data
     return with_posterior(stats).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= threshold))
 
 
-def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, threshold: float = 0.5, min_words: int = 50) -> DataFrame:
     """The rows of docs (text and any other columns) that the rules keep. The statistics are computed twice, for the vote
     patterns of all rows and for the verdicts, as that is less work than writing or shuffling the texts."""
     names = docs.columns
     own = tuple(f"c{i}" for i in range(len(names)))
-    judged = judge(add_stats(docs.toDF(*own), own[names.index("text")], own), threshold)
+    judged = judge(add_stats(docs.toDF(*own), own[names.index("text")], own), threshold, min_words)
     return judged.where("kept").select(*(F.col(c).alias(n) for c, n in zip(own, names, strict=True)))
 
 
