@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from claimlink.llm import factor_quality, jaccard_join, packing, quality_rules, repeats
 from claimlink.llm.shared import materialise
 
+#: Words that a document must have to stay, whatever the rules say.
+MIN_WORDS = 5
+
 
 def filter_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised quality rules reject go."""
-    return quality_rules.keep_good(docs)
+    """Documents that the weakly supervised quality rules reject go. Short clean documents stay, so few words are asked for."""
+    return quality_rules.keep_good(docs, min_words=MIN_WORDS)
 
 
 def filter_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
