@@ -135,20 +135,23 @@ def open_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across components among the members (leader, node, c, n, sketch) of each leader that the sketches don't clear.
 
     A leader's members are dealt into chunks, and each pair of chunks is one group: no group holds more than some thousands of rows.
+    Two nodes whose smallest leader is the same meet with that one only.
     """
+    members = members.withColumn("home", F.min("leader").over(Window.partitionBy("node")))
     sizes = members.groupBy("leader").count().select("leader", F.ceil(F.col("count") / MEMBERS).cast("int").alias("chunks"))
     dealt = members.join(sizes, "leader").withColumn("x", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j")))
-    spread = dealt.withColumn("p", F.explode(others)).select("leader", "p.*", "x", "node", "c", "n", "sketch")
+    spread = dealt.withColumn("p", F.explode(others)).select("leader", "home", "p.*", "x", "node", "c", "n", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
-        x, i, node, c, n = (group.column(k).to_numpy() for k in ("x", "i", "node", "c", "n"))
+        x, i, node, c, n, home, leader = (group.column(k).to_numpy() for k in ("x", "i", "node", "c", "n", "home", "leader"))
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
         left, right = np.flatnonzero(x == i), np.flatnonzero(x == group.column("j").to_numpy())
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in left:
             limit = (100 - percent) * (n[k] + n[right]) // (100 + percent)
-            near = right[(c[right] != c[k]) & (np.abs(n[right] - n[k]) <= limit)]
+            here = (home[right] != home[k]) | (home[k] == leader[k])
+            near = right[here & (c[right] != c[k]) & (np.abs(n[right] - n[k]) <= limit)]
             if len(near):
                 apart = np.bitwise_count(sketch[near] ^ sketch[k]).sum(1)
                 near = near[apart <= (100 - percent) * (n[k] + n[near]) // (100 + percent)]
