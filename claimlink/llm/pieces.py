@@ -165,14 +165,13 @@ class Codec:
             if None in found:
                 for i, u in enumerate(parts):
                     if found[i] is None:
-                        found[i] = value = self.old.get(u) or fresh.get(u) or self.new[u]
+                        found[i] = value = self.new.get(u) or self.old.get(u) or fresh[u]
                         if len(u) <= CACHED_CHARS:
-                            if len(self.new) >= CACHE:
-                                fresh |= self.old if len(fresh) < CACHE else {}
-                                self.old, self.new = self.new, {}
                             self.new[u] = value
             n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
             out.append((sum(n), ",".join(ids), " ".join(decoded), sum(u in differ for u in parts) if differ else 0))
+        if len(self.new) >= CACHE:  # between batches only, as learn() has relied on what is remembered
+            self.old, self.new = self.new, {}
         return out
 
 
