@@ -26,7 +26,7 @@ RULES = {
     "symbols": ("symbol_share", 0.04, None),
     "upper_case": ("upper_share", 0.20, None),
     "pipes": ("pipe_share", 0.08, None),
-    "repeated_words": ("repeat_share", 0.35, 0.10),
+    "repeated_words": ("repeat_share", 0.50, 0.10),
     "repeated_lines": ("dup_line_share", 0.50, None),
     "long_words": ("mean_word", 16.0, None),
     "short_words": ("short_word", 0.5, None),
@@ -96,7 +96,7 @@ def vote(name: str) -> Column:
 
 #: Chances of the votes -1, 0 and 1 before any data, for bad and for good texts; PRIOR_WEIGHT is their share beside the data.
 PRIOR = np.array([[0.4, 0.2, 0.4], [0.002, 0.198, 0.8]])
-PRIOR_WEIGHT = 1 / 3
+PRIOR_WEIGHT = 0.6
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
