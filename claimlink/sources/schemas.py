@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
 def _row(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A flat schema from its DDL, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (field.split() for field in text.split(", "))])
 
 
 # The fields of documents, facts, relations and of the two kinds of responses.
