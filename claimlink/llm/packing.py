@@ -26,7 +26,7 @@ from claimlink.llm.shared import materialise
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks that one worker remembers, in each of two generations; longer chunks aren't remembered.
-CACHE, CACHED_CHARS = 600_000, 32
+CACHE, CACHED_CHARS = 1_000_000, 32
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#()-]*)")
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
@@ -90,12 +90,13 @@ class ByteLevelEncoder:
         found = list(map(self.new.get, rest))
         if None in found:
             new, old = self.new, self.old.get
-            for i, f in enumerate(found):
-                if f is None:
-                    t = rest[i]
-                    found[i] = f = new.get(t) or old(t) or self.after_space(t)
-                    if len(t) <= CACHED_CHARS:
-                        new[t] = f
+            i = -1
+            for _ in range(found.count(None)):
+                i = found.index(None, i + 1)
+                t = rest[i]
+                found[i] = f = new.get(t) or old(t) or self.after_space(t)
+                if len(t) <= CACHED_CHARS:
+                    new[t] = f
             if len(new) >= CACHE:
                 self.old, self.new = new, {}
         return self.whole(text) if b"" in found else self.chunk(first) + b"".join(found)
