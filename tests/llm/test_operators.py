@@ -144,6 +144,14 @@ def test_op2_fullest_combination():
         assert sum(n * k for n, k in got.items()) == max(sums) and all(k <= counts[n] for n, k in got.items())
 
 
+def test_op2_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 4)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    small, library = packing.ByteLevelEncoder(path), tokenizers.Tokenizer.from_file(path)
+    for t in [*random_texts(40, 9), *filter(None, ODD), "don't  stop", " \n a", "a \n \n b", "x ", "É, é! naïve² Ⅷ_b 3rd", "\u3000a b\u2028 c"]:
+        assert small.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 def test_op2_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut(2048, 1024) == [(0, 1024), (1024, 1024)]
