@@ -73,6 +73,7 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, id_column: str = "vec_id
 
     Rows with a null id or an unusable vector take no part; a vector shorter than another counts as ended by zeros. A repeated
     row is a candidate as often as it is there, a repeated query is answered once. Rows with the query's id are no candidates of it.
+    Vectors so long that a score might not fit in a long are an error.
     """
     rows = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector_column)))
     rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), whole_numbers(F.col(vector_column), scale).alias("v"), is_query.alias("is_query"))
@@ -82,7 +83,9 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, id_column: str = "vec_id
     if not size[0] or not size[1]:
         return vectors.sparkSession.createDataFrame([], schema)
     n_blocks, n_lanes = -(-size[1] // QUERY_BLOCK), max(-(-size[0] // CANDIDATE_BLOCK), min(32, -(-size[0] // 512)))
-    bound = int(size[2]) + 1  # by Cauchy and Schwarz no score is further from zero
+    bound = int(size[2] * (1 + 1e-9)) + 1  # by Cauchy and Schwarz no score is further from zero
+    if bound >= 1 << 62:
+        raise ValueError(f"scores up to {bound} don't fit in a long")
     candidates = rows.select("vec_id", "v", F.pmod(F.xxhash64("u", F.lit(1)), F.lit(n_lanes)).cast("int").alias("lane"))
     queries = rows.where("is_query").dropDuplicates(["u"]).select("u", "vec_id", "v", F.pmod("u", F.lit(n_blocks)).cast("int").alias("block"))
 
