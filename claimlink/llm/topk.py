@@ -99,7 +99,7 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, id_column: str = "vec_id
         # the bin in which the k-th score lies: the first, from above, up to which there are k scores
         found = found.withColumn("down", down)
         kth = queries.select("u", "above").join(found, "u").where(F.col("above") + F.col("down") >= k).groupBy("u").agg(F.max_by(F.struct("bin", (F.col("above") + F.col("down") - F.col("n")).alias("over")), "bin").alias("b"))
-        queries = queries.join(kth, "u", "left").withColumn("low", F.when(F.col("b").isNotNull(), F.col("low") + F.col("b.bin") * width)).withColumn("above", F.coalesce("b.over", "above")).drop("b")
+        queries = queries.join(kth, "u", "left").withColumn("low", F.when(F.col("b").isNotNull(), F.col("low") + F.col("b.bin").cast("long") * F.lit(width).cast("long"))).withColumn("above", F.coalesce("b.over", "above")).drop("b")
         queries = materialise(queries)  # a null low: fewer than k scores, all are kept
         if width == 1:
             break
