@@ -26,7 +26,7 @@ from claimlink.llm.shared import materialise
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks that one worker remembers, in each of two generations; longer chunks aren't remembered.
-CACHE, CACHED_CHARS = 1_000_000, 32
+CACHE, CACHED_CHARS, FEW = 350_000, 32, 10_000
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#()-]*)")
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
@@ -45,7 +45,7 @@ class ByteLevelEncoder:
         self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
         self.shown = {ord(b): c for b, c in zip(map(chr, range(256)), map(self.byte_sign, range(256)), strict=True)}
         self.space = self.byte_sign(32)
-        self.words: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -66,22 +66,28 @@ class ByteLevelEncoder:
         ids = [t.id for t in self.model.tokenize(shown)]
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
-    def known(self, text: str, space: str) -> bytes:
-        key = space + text
-        found = self.words.get(key)
+    def signs(self, text: str) -> bytes:
+        found = self.after.get(text)
         if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[key] = found = self.word(key if text.isascii() else space + text.encode().decode("latin-1").translate(self.shown))
+            found = self.word(text)
+            if len(self.after) < FEW:
+                self.after[text] = found
         return found
 
     def after_space(self, text: str) -> bytes:
         """Ids of a chunk and the space before it; empty if the space belongs to a longer run of white space."""
         plain = _PLAIN.fullmatch(text)  # what the pre-tokeniser takes as a word and the signs after it
-        if plain:
-            letters, signs = plain.groups()
-            return self.known(letters, self.space) + self.known(signs, "") if signs else self.known(letters, self.space)
-        return b"" if not text or text[0].isspace() else self.chunk(f" {text}")
+        if not plain:
+            return b"" if not text or text[0].isspace() else self.chunk(f" {text}")
+        letters, signs = plain.groups()
+        if signs:  # the word itself is remembered as the chunk that it is elsewhere
+            found = self.new.get(letters) or self.old.get(letters)
+            if found is None:
+                found = self.after_space(letters)
+                if len(letters) <= CACHED_CHARS:
+                    self.new[letters] = found
+            return found + self.signs(signs)
+        return self.word(self.space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.shown)))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
