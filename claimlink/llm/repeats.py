@@ -27,7 +27,7 @@ from claimlink.llm.shared import STEP_BYTES, U64, Spans, materialise, mix, steps
 #: Bytes of an anchor, and by how many bytes a level extends prefixes; both at most the minimum length.
 ANCHOR, STRIDE = 30, 4
 #: Bytes whose suffixes are sorted at once; a group of segments with one anchor stays together.
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 20
 _INDEX = 24
 #: A place is (start << SHIFT) + number of windows; there are fewer than 1 << SHIFT windows in a segment.
 SHIFT = 12
