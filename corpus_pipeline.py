@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from claimlink.llm import factor_quality, jaccard_join, packing, quality_rules, repeats
 from claimlink.llm.shared import materialise
 
-#: Words that a document must have to stay, whatever the rules say.
-MIN_WORDS = 5
+#: Words that a document must have to stay, whatever the rules say. Short texts are left to the votes and to the classifier.
+MIN_WORDS = 1
 
 
 def filter_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised quality rules reject go. Short clean documents stay, so few words are asked for."""
+    """Documents that the weakly supervised quality rules reject go. Short clean documents stay: only a text without words goes unasked."""
     return quality_rules.keep_good(docs, min_words=MIN_WORDS)
 
 

@@ -22,3 +22,13 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_short_clean_documents_stay(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    short = {r[0] for r in docs.where(r"regexp_count(text, '[^ \\t-\\r]+') BETWEEN 1 AND 4").join(good, "doc_id", "left_semi").select("doc_id").collect()}
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir))
+    assert short and short <= {r[0] for r in docs.select("doc_id").collect()}
