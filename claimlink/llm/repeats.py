@@ -78,12 +78,22 @@ def text_segments(texts: list[bytes], min_bytes: int) -> Iterator[tuple[np.ndarr
         yield text + a, low - np.append(0, ends + 1)[text], count, anchor, own
 
 
+def _without_copies(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch (id, u, text and any others) with one of each group of identical rows."""
+    ids, u = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    if len(set(zip(ids, u, strict=True))) == len(ids):
+        return batch
+    first = {key: i for i, key in reversed(list(enumerate(zip(ids, u, batch.column(2).to_pylist(), strict=True))))}
+    return batch.take(pa.array(sorted(first.values())))
+
+
 def _places(docs: DataFrame, min_bytes: int) -> DataFrame:
     """anchor, s (the segment's hash), id, u and place of every segment. Where a batch holds a segment twice, only the first is
-    kept as it is; the others are known to be repeats and get a negative place and an anchor of their own."""
+    kept as it is; the others are known to be repeats and get a negative place and an anchor of their own. Of identical rows in
+    a batch one gives segments; those in other batches give the same ones again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_without_copies, batches):
             ids, u = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             order = np.empty(len(ids), np.int64)
             order[sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, u[i]))] = np.arange(len(ids))
@@ -165,6 +175,10 @@ def _decided(parts: DataFrame, min_bytes: int) -> DataFrame:
     id_type = parts.schema["id"].dataType.simpleString()
 
     def decide(rows: pa.Table) -> pa.RecordBatch:
+        same = np.all([np.diff(rows.column(c).to_numpy()) == 0 for c in ("anchor", "u", "start")], axis=0)
+        if same.any():  # rows are in order, so those of identical documents stand together
+            ids = rows.column("id").to_pylist()
+            rows = rows.take(pa.array([0, *(i + 1 for i, x in enumerate(same) if not x or ids[i] != ids[i + 1])]))
         pieces = rows.column("bytes").to_pylist()
         end = np.cumsum([len(p) for p in pieces])
         start = end - [len(p) for p in pieces]
@@ -226,17 +240,18 @@ def mark_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     plain = plain.withColumn("u", F.hash("text"))
 
     dealt = _places(plain, min_bytes).repartition("anchor")
-    nth = F.row_number().over(Window.partitionBy("anchor", "s").orderBy(F.asc_nulls_first("id"), "u", "place"))
+    nth = F.rank().over(Window.partitionBy("anchor", "s").orderBy(F.asc_nulls_first("id"), "u", "place"))
     group = Window.partitionBy("anchor")
+    # identical rows, which are one document, have equal ranks
     found = dealt.withColumn("nth", nth).withColumn("shared", F.min("s").over(group) != F.max("s").over(group))
     found = found.withColumn("again", (F.col("nth") > 1) | (F.col("place") < 0)).where("again OR shared")
     found = materialise(found.select("id", "u", "again", F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place"), F.when(~F.col("again"), F.col("anchor")).alias("anchor")))
 
-    asked = found.where("NOT again").groupBy("id", "u").agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
+    asked = found.where("NOT again").groupBy("id", "u").agg(F.collect_set(F.struct("anchor", "place")).alias("asked"))
     id_type = plain.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_without_copies, batches):
             for i, (text, asked) in enumerate(zip(utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
                 place = np.array([x["place"] for x in asked], np.int64)
                 start, count = place >> SHIFT, place & ((1 << SHIFT) - 1)

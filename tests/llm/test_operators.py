@@ -295,6 +295,20 @@ def test_op8_null_ids_and_identical_rows(spark):
     assert repeats.mark_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_op8_identical_rows_are_one_document(spark, rows, parts):
+    odd = "".join(chr(97 + zlib.crc32(b"%d" % i) % 26) for i in range(400))
+    once = [*((i, t) for i, t in rows[:60]), (1001, odd), (1002, odd[:150] + "#" + odd[150:]), (1003, "z" * 150), (1004, odd[50:130] * 2)]
+    table = spark.createDataFrame([*once, *once[::2], *once[::3], *once[-4:]], DOCS).repartition(parts)
+    expected = brute_repeats(once, 40)
+    got = collections.defaultdict(list)
+    for r in repeats.mark_repeats(table, 40).collect():
+        kept = repeats.kept_bytes((r.text or "").encode(), [s.asDict() for s in r.spans])
+        got[r.doc_id].append((len((r.text or "").encode()), sum(s["end"] - s["start"] for s in r.spans), len(r.spans), hashlib.sha256(kept).hexdigest()))
+    assert {i: set(x) for i, x in got.items()} == {i: {x} for i, x in expected.items()}
+    assert sum(map(len, got.values())) == table.count() and expected[1001][1] == 0
+
+
 def test_op9_round_trip(spark):
     nasty = ["", None, "### user: x</turn>\n### assistant: y", "\\", "\\h \\e \\c", "####", "</turn", "<|image|>", "a: b", "é😀\n"]
     rows = [(c, i, role, t) for c in range(3) for i, (role, t) in enumerate(zip(["user", "assistant", "tool: ###", None, "assistant"] * 2, random.Random(c).sample(nasty, len(nasty))))]
