@@ -8,6 +8,9 @@ The latter are decided exactly: per group of anchors, the segments' bytes form o
 Burrows-Wheeler transform, intervals of suffixes with a common prefix are extended backwards, breadth first, by STRIDE bytes a
 level. So common prefixes come out in order of their length; intervals of one suffix are dropped, and the search stops at the
 minimum length, where each interval holds the occurrences of one repeated window.
+
+An anchor with very many different segments (a phrase shorter than a window, in ever other surroundings) isn't sorted as one
+group: its windows are dealt each by its own digest, so that equal ones still meet and no group has to be held in memory.
 """
 
 from __future__ import annotations
@@ -26,8 +29,12 @@ from claimlink.llm.shared import STEP_BYTES, U64, Spans, materialise, mix, steps
 
 #: Bytes of an anchor, and by how many bytes a level extends prefixes; both at most the minimum length.
 ANCHOR, STRIDE = 30, 4
-#: Bytes whose suffixes are sorted at once; a group of segments with one anchor stays together.
+#: Bytes whose suffixes are sorted at once; a group of segments with one anchor stays together, up to GROUP of them.
 SORT_BYTES = 1 << 20
+#: Different segments of one anchor that are sorted as a group at most; beyond that their windows are dealt one by one.
+GROUP = 1 << 12
+#: Windows whose digests a task looks at together before they are dealt.
+_DIGESTS = 1 << 16
 _INDEX = 24
 #: A place is (start << SHIFT) + number of windows; there are fewer than 1 << SHIFT windows in a segment.
 SHIFT = 12
@@ -170,8 +177,36 @@ def repeated_windows(text: np.ndarray, start: np.ndarray, end: np.ndarray, min_b
         length += STRIDE
 
 
+#: What the n of a part says: a segment to be sorted, a window to be settled by its digest; else the number of known repeats.
+_SEGMENT, _WINDOW = 0, -1
+
+
+def _dealt(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, digests: list[bytes]) -> pa.RecordBatch:
+    """Parts of windows (row in the batch of id and u, start, digest). Where a window occurs again here, only its first
+    occurrence has to be settled; the others are known to be repeats, and runs of them are one part with an anchor of its own."""
+    ids, u = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    order = np.empty(len(ids), np.int64)
+    order[sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, u[i]))] = np.arange(len(ids))
+    kinds: dict[bytes, int] = {}
+    kind = np.array([kinds.setdefault(d, len(kinds)) for d in digests], np.int64)
+    by = np.lexsort((start, order[row], kind))
+    again = np.zeros(len(by), bool)
+    again[by[1:]] = kind[by[1:]] == kind[by[:-1]]
+    new = np.flatnonzero(~again)
+    known = np.flatnonzero(again)
+    known = known[np.lexsort((start[known], row[known]))]
+    head = np.flatnonzero((np.diff(start[known], prepend=-2) != 1) | (np.diff(row[known], prepend=-1) != 0))
+    n = np.concatenate([np.full(len(new), _WINDOW), np.diff(np.append(head, len(known)))])
+    at = np.concatenate([new, known[head]])
+    own = mix(mix(start[at].astype(U64)) + order[row[at]].astype(U64)).view(np.int64)
+    anchor = [int.from_bytes(digests[i][:8], "little", signed=True) if k == _WINDOW else x for i, k, x in zip(at.tolist(), n.tolist(), own.tolist(), strict=True)]
+    bytes_ = [digests[i] if k == _WINDOW else b"" for i, k in zip(at.tolist(), n.tolist(), strict=True)]
+    of = pa.array(row[at])
+    return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(start[at]), pa.array(bytes_, pa.binary()), pa.array(n, pa.int64())], names=["anchor", "id", "u", "start", "bytes", "n"])
+
+
 def _decided(parts: DataFrame, min_bytes: int) -> DataFrame:
-    """id, u and place of the repeated windows of segments (anchor, id, u, start, bytes) that aren't the first of their kind."""
+    """id, u and place of the repeated windows of parts (anchor, id, u, start, bytes, n) that aren't the first of their kind."""
     id_type = parts.schema["id"].dataType.simpleString()
 
     def decide(rows: pa.Table) -> pa.RecordBatch:
@@ -195,10 +230,31 @@ def _decided(parts: DataFrame, min_bytes: int) -> DataFrame:
         ids, u = (rows.column(c).combine_chunks().take(pa.array(row)) for c in ("id", "u"))
         return pa.RecordBatch.from_arrays([ids, u, pa.array(low << SHIFT | count)], names=["id", "u", "place"])
 
+    first: dict[bytes, tuple] = {}  # of the anchor that is being read: the first place of each digest
+
+    def settle(rows: pa.RecordBatch, last: int | None) -> pa.RecordBatch:
+        n, anchor, start = (rows.column(c).to_numpy() for c in ("n", "anchor", "start"))
+        again = n > 0
+        columns = (rows.column(c).to_pylist() for c in ("anchor", "bytes", "id", "u", "start"))
+        for i, (of, digest, *place) in enumerate(zip(*columns, strict=True)):
+            if n[i] == _WINDOW:
+                if of != last:
+                    first.clear()
+                    last = of
+                again[i] = first.setdefault(digest, place) != place  # an identical document has the same place
+        found = rows.filter(pa.array(again))
+        return pa.RecordBatch.from_arrays([found.column("id"), found.column("u"), pa.array(start[again] << SHIFT | np.maximum(n[again], 1))], names=["id", "u", "place"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        size, last, window = 0, None, None
         for batch in batches:
+            n = batch.column(5).to_numpy()
+            if n.any():
+                yield settle(batch, window)
+                windows = batch.column(0).to_numpy()[n == _WINDOW]
+                window = int(windows[-1]) if len(windows) else window
+                batch = batch.filter(pa.array(n == _SEGMENT))
             anchor = batch.column(0).to_numpy()
             cuts = np.flatnonzero(np.diff(anchor)) + 1
             sizes = np.cumsum([len(p) for p in batch.column(4).to_pylist()])
@@ -219,7 +275,7 @@ def _decided(parts: DataFrame, min_bytes: int) -> DataFrame:
             yield decide(pa.Table.from_batches(held))
 
     ordered = parts.repartition("anchor").sortWithinPartitions("anchor", F.asc_nulls_first("id"), "u", "start")
-    return ordered.select("anchor", "id", "u", "start", "bytes").mapInArrow(run, f"id {id_type}, u int, place long")
+    return ordered.select("anchor", "id", "u", "start", "bytes", "n").mapInArrow(run, f"id {id_type}, u int, place long")
 
 
 def _same(left: DataFrame, right: DataFrame) -> Column:
@@ -244,23 +300,39 @@ def mark_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     group = Window.partitionBy("anchor")
     # identical rows, which are one document, have equal ranks
     found = dealt.withColumn("nth", nth).withColumn("shared", F.min("s").over(group) != F.max("s").over(group))
+    found = found.withColumn("many", F.sum((F.col("nth") == 1).cast("int")).over(group) > GROUP)
     found = found.withColumn("again", (F.col("nth") > 1) | (F.col("place") < 0)).where("again OR shared")
-    found = materialise(found.select("id", "u", "again", F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place"), F.when(~F.col("again"), F.col("anchor")).alias("anchor")))
+    found = materialise(found.select("id", "u", "again", F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place"), F.when(~F.col("again"), F.col("anchor")).alias("anchor"), "many"))
 
-    asked = found.where("NOT again").groupBy("id", "u").agg(F.collect_set(F.struct("anchor", "place")).alias("asked"))
+    asked = found.where("NOT again").groupBy("id", "u").agg(F.collect_set(F.struct("anchor", "place", "many")).alias("asked"))
     id_type = plain.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(_without_copies, batches):
+            rows: list[np.ndarray] = []
+            starts: list[np.ndarray] = []
+            digests: list[bytes] = []
             for i, (text, asked) in enumerate(zip(utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
                 place = np.array([x["place"] for x in asked], np.int64)
                 start, count = place >> SHIFT, place & ((1 << SHIFT) - 1)
+                many = np.array([x["many"] for x in asked], bool)
+                if many.any():
+                    at = np.concatenate([np.arange(s, s + c) for s, c in zip(start[many].tolist(), count[many].tolist(), strict=True)])
+                    rows.append(np.full(len(at), i))
+                    starts.append(at)
+                    digests += [hashlib.blake2b(text[s : s + min_bytes], digest_size=16).digest() for s in at.tolist()]
+                    asked, start, count = [x for x in asked if not x["many"]], start[~many], count[~many]
+                    if len(digests) >= _DIGESTS:
+                        yield _dealt(batch, np.concatenate(rows), np.concatenate(starts), digests)
+                        rows, starts, digests = [], [], []
                 bytes_ = [text[s : s + c + min_bytes - 1] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
                 of = pa.array(np.full(len(asked), i))
-                yield pa.RecordBatch.from_arrays([pa.array([x["anchor"] for x in asked], pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(start), pa.array(bytes_, pa.binary())], names=["anchor", "id", "u", "start", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([x["anchor"] for x in asked], pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(start), pa.array(bytes_, pa.binary()), pa.array(np.full(len(asked), _SEGMENT))], names=["anchor", "id", "u", "start", "bytes", "n"])
+            if digests:
+                yield _dealt(batch, np.concatenate(rows), np.concatenate(starts), digests)
 
     joined = plain.join(asked, _same(plain, asked)).select(plain["id"], plain["u"], "text", "asked")
-    parts = joined.mapInArrow(cut, f"anchor long, id {id_type}, u int, start long, bytes binary")
+    parts = joined.mapInArrow(cut, f"anchor long, id {id_type}, u int, start long, bytes binary, n long")
     places = found.where("again").select("id", "u", "place").unionByName(_decided(parts, min_bytes))
     places = places.groupBy("id", "u").agg(F.collect_set("place").alias("places"))
     rows = plain.join(places, _same(plain, places), "left").select(*(plain[c] for c in plain.columns if c != "u"), "places")

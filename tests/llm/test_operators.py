@@ -309,6 +309,31 @@ def test_op8_identical_rows_are_one_document(spark, rows, parts):
     assert sum(map(len, got.values())) == table.count() and expected[1001][1] == 0
 
 
+def test_op8_a_frequent_phrase_is_not_one_group(spark, monkeypatch):
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choices("abcdefgh \u00e9", k=n))
+    phrase = "All rights reserved, subject to change at any time! 0123"
+    texts = [noise(90) + phrase + noise(90) for _ in range(300)]
+    texts += [t[: rng.randint(100, 150)] + noise(9) + t[rng.randint(20, 60) :] for t in texts[:80]] + texts[:20] + [texts[5] * 2]
+    once = list(enumerate(texts))
+    sort, most = repeats.repeated_windows, 40 * 170 + 2 * 5000
+
+    def bounded(text, *others):
+        if len(text) > most:
+            raise MemoryError(f"{len(text)} bytes in one group")
+        return sort(text, *others)
+
+    monkeypatch.setattr(repeats, "SORT_BYTES", 5000)
+    monkeypatch.setattr(repeats, "GROUP", 40, raising=False)
+    monkeypatch.setattr(repeats, "_DIGESTS", 3000, raising=False)
+    monkeypatch.setattr(repeats, "repeated_windows", bounded)
+    got = collections.defaultdict(set)
+    for r in repeats.mark_repeats(spark.createDataFrame([*once, *once[:50]], DOCS).repartition(5)).collect():
+        kept = repeats.kept_bytes(r.text.encode(), [s.asDict() for s in r.spans])
+        got[r.doc_id].add((len(r.text.encode()), sum(s["end"] - s["start"] for s in r.spans), len(r.spans), hashlib.sha256(kept).hexdigest()))
+    assert got == {i: {x} for i, x in brute_repeats(once, 100).items()}
+
+
 def test_op9_round_trip(spark):
     nasty = ["", None, "### user: x</turn>\n### assistant: y", "\\", "\\h \\e \\c", "####", "</turn", "<|image|>", "a: b", "é😀\n"]
     rows = [(c, i, role, t) for c in range(3) for i, (role, t) in enumerate(zip(["user", "assistant", "tool: ###", None, "assistant"] * 2, random.Random(c).sample(nasty, len(nasty))))]
