@@ -3,7 +3,8 @@
 Markup is stripped to lines (one a block element); text lengths are summed over sliding windows of lines; the text lies between
 the points where these sums surge and dive. Lines within elements that never hold the article (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, scripts, styles) count as empty, and so does the text of links outside the
-article, so that such places can't look like text.
+article, so that such places can't look like text. An element that is an aside by its name only, or a form, may wrap the page
+itself (has-sidebar, content-sidebar-wrap); it is taken as a wrapper if it holds the main element or more text than is outside.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 WINDOW, SURGE, DIVE = 3, 60, 1
+#: Scans of a page, each of which may find a wrapper; where that isn't enough, all names are taken as those of wrappers.
+ROUNDS = 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -32,29 +35,70 @@ _ASIDE_NAME = re.compile(
     r"comments?|comment-\w+|replies|reply|respond|disqus|discussion|feedback|pagination|pager|toolbar|search\w*|skip-link|disclaimer|alert\w*|toc)(?:$|[\s_-])",
     re.I,
 )
+#: Names that stand for a layout at times, and so on a wrapper of the page; others are taken so only where nothing else is left.
+_LAYOUT_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|banner\w*|nav\w*|menu\w*|header|masthead|sidebar\w*|side-bar|aside|rail|widget\w*|toolbar)(?:$|[\s_-])", re.I)
 _ASIDE_ROLE = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"})
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
+#: What an element is: no aside, an aside whatever it holds, one by its name, one by a name that may be that of a layout.
+TEXT, NEVER, NAMED, LAYOUT = range(4)
+
+
+def _aside(tag: str, attributes: str) -> int:
+    if tag == "form":
+        return LAYOUT
     if tag in ASIDE:
-        return True
+        return NEVER
     if not attributes or tag in ("html", "body") or tag in MAIN:
-        return False
+        return TEXT
+    found = TEXT
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-        if (name == "role" and value.strip().lower() in _ASIDE_ROLE) or (name in ("class", "id") and _ASIDE_NAME.search(value)):
-            return True
-    return False
+            return NEVER
+        if name == "role" and value.strip().lower() in _ASIDE_ROLE:
+            return NEVER
+        if name in ("class", "id") and _ASIDE_NAME.search(value):
+            found = max(found, LAYOUT if _LAYOUT_NAME.search(value) else NAMED)
+    return found
+
+
+class Aside:
+    """What an outermost aside holds that may be a wrapper: lengths outside links of all its text and of articles in it."""
+
+    def __init__(self, at: int, kind: int) -> None:
+        self.at, self.kind = at, kind
+        self.length = self.marked = 0
+        self.main = False
+
+    def wraps(self, lines: list[tuple[str, int, bool]]) -> bool:
+        marked = sum(n for _, n, m in lines if m)
+        outside = marked or sum(n for _, n, _ in lines)
+        held = self.marked if marked or self.marked else self.length
+        return held > 0 and ((self.main and not marked) or outside == 0 or (self.kind == LAYOUT and held > outside))
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, length outside links, whether in an article or main element) of each non-empty line outside aside elements."""
+    wrappers: set[int] = set()
+    for _ in range(ROUNDS):
+        lines, asides = _scan(page, wrappers)
+        found = max((a for a in asides if a.wraps(lines)), key=lambda a: (a.main, a.marked, a.length), default=None)
+        if found is None:
+            return lines
+        wrappers.add(found.at)
+    return _scan(page, None)[0]
+
+
+def _scan(page: str, wrappers: set[int] | None) -> tuple[list[tuple[str, int, bool]], list[Aside]]:
+    """The lines outside asides, and the asides that may be wrappers; those that begin at wrappers are none. Without
+    wrappers nothing is an aside by its name, and no form is."""
+    asides: list[Aside] = []
+    held: Aside | None = None  # the aside of asides that is being read, while nothing in it is an aside whatever it holds
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, aside, main, link: each holds for all within
+    stack: list[tuple[str, bool, bool, bool, Aside | None]] = []  # tag, aside, main, link, held: each holds for all within
     skip = main = link = False
     at = 0
 
@@ -72,6 +116,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if not skip and text:
             parts.append(text)
             linked += len(text) * link
+        elif held and not link:
+            n = len(text.strip())
+            held.length += n
+            held.marked += n * main
 
     size = len(page)
     while at < size:
@@ -90,7 +138,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
-                    _, skip, main, link = stack[-1] if stack else ("", False, False, False)
+                    _, skip, main, link, held = stack[-1] if stack else ("", False, False, False, None)
                     break
             continue
         if tag not in INLINE:
@@ -105,21 +153,30 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # these end where the next of their kind begins
             if stack and stack[-1][0] == tag:
                 stack.pop()
-                _, skip, main, link = stack[-1] if stack else ("", False, False, False)
-        inside = _is_aside(tag, m[3])
-        if inside and not skip:
+                _, skip, main, link, held = stack[-1] if stack else ("", False, False, False, None)
+        kind = _aside(tag, m[3])
+        if kind != NEVER and (wrappers is None or m.start() in wrappers):
+            kind = TEXT
+        if kind and not skip:
             end_line()
-        skip, main, link = skip or inside, main or tag in MAIN, link or tag == "a"
-        stack.append((tag, skip, main, link))
+            if kind != NEVER and tag not in INLINE and not main:
+                held = Aside(m.start(), kind)
+                asides.append(held)
+        elif kind:
+            held = held if kind == LAYOUT else None  # one wrapper may hold another
+        if held and tag == "main":
+            held.main = True
+        skip, main, link = skip or kind != TEXT, main or tag in MAIN, link or tag == "a"
+        stack.append((tag, skip, main, link, held))
     end_line()
-    return lines
+    return lines, asides
 
 
 def main_text(page: str) -> str:
-    """The lines between surges and dives of the windowed text lengths, joined by newlines.
+    """The lines between the first surge and the last dive of the windowed text lengths, joined by newlines.
 
     Where the page marks an article or main element, only its lines can hold text, and each of them does. A page without any
-    surge gives its longest line, an empty page an empty text.
+    surge gives all from its first to its last line with text outside links, an empty page or one of links only an empty text.
     """
     lines = page_lines(page)
     if not lines:
@@ -135,8 +192,11 @@ def main_text(page: str) -> str:
         elif inside and lengths[i] < DIVE:
             inside = False
         keep[i] = inside
-    if not keep.any() and lengths.max() > 0:
-        keep[int(lengths.argmax())] = True
+    if not keep.any():
+        keep = lengths > 0
+    if not marked and keep.any():
+        held = np.flatnonzero(keep)
+        keep[held[0] : held[-1] + 1] = True
     return "\n".join(text for (text, _, _), k in zip(lines, keep, strict=True) if k)
 
 

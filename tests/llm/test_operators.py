@@ -173,6 +173,37 @@ def test_op3_windows_without_an_article_element():
     assert html_text.main_text(page).split("\n")[0].startswith("This is") and "Menu" not in html_text.main_text(page) and "Short one." in html_text.main_text(page)
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content-sidebar-wrap'", "div class='has-sidebar'", "form id='aspnetForm'", "div class='related'", "div class='page menu-open'"])
+def test_op3_wrappers_are_no_asides(wrapper):
+    end = wrapper.split()[0]
+    aside = "<div class='sidebar'><p>Aside text.</p></div><nav><a href=/>Home</a></nav><section id='comments'><article>I agree.</article></section>"
+    text = "This is the text of the page. " * 5
+    for tag in ("main", "article"):
+        page = f"<body><p>Outside.</p><{wrapper}>{aside}<{tag}><h1>Head</h1><p>{text}</p></{tag}></{end}><footer>Us</footer></body>"
+        assert html_text.main_text(page).split("\n") == (["Head", text.strip()] if "related" not in wrapper or tag == "main" else ["Outside."])
+    page = f"<body><{wrapper}>{aside}<p>{text}</p><p>Short.</p></{end}><footer>Us</footer></body>"
+    assert html_text.main_text(page).split("\n")[-2:] == [text.strip(), "Short."]
+
+
+def test_op3_deep_wrappers():
+    for depth in (3, 3000):
+        assert html_text.main_text("<div class='sidebar-wrap sidebar'>" * depth + "<article>Text.</article>" + "</div>" * depth) == "Text."
+
+
+def test_op3_asides_beside_the_article_stay_asides():
+    talk = "<article>I agree with all of this. </article>" * 9
+    for aside in (f"<section id='comments'>{talk}</section>", f"<div class='related'>{talk}</div>", f"<aside>{talk}</aside>", "<div class='sidebar'><article>Teaser</article></div>"):
+        assert html_text.main_text(f"<body><article>Short text.</article>{aside}</body>") == "Short text."
+        assert html_text.main_text(f"<body><p>{'Plain text. ' * 9}</p>{aside}</body>") == ("Plain text. " * 9).strip()
+
+
+def test_op3_keeps_all_between_surge_and_dive():
+    text = "This is the text of the page. " * 5
+    page = f"<body><p>{text}</p><p><a href=/1>A paragraph that is a link</a></p><p>Short.</p><p><a href=/2>Another</a></p><p>{text}</p></body>"
+    assert html_text.main_text(page).split("\n") == [text.strip(), "A paragraph that is a link", "Short.", "Another", text.strip()]
+    assert html_text.main_text("<p>One.</p><p>Two.</p><p>Three is longer.</p>") == "One.\nTwo.\nThree is longer."
+
+
 def test_op4_held_out_accuracy(spark, sf_dir):
     scored = factor_quality.op4_quality_classifier(spark, sf_dir.replace("0.001", "0.01"))
     labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet")
