@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
-from claimlink.jobs import catalogue
+from claimlink.jobs import adapters, catalogue
 
 #: Queries without SQL that other tests cover, or that only add text to rows.
 SLOW = {"grounding_tiers"}
@@ -32,3 +34,18 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - SLOW))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert catalogue.queries()[name](spark, sf_dir).limit(1).count() == 1
+
+
+def test_ground_exact_in_all_languages(spark, sf_dir):
+    fold = lambda x: re.sub(r"\s+", " ", x).lower()
+    pages = {(r.doc_id, r.page_no): r.text for r in adapters.pages(spark, sf_dir).collect()}
+    expected = {}
+    for r in adapters.quotes(spark, sf_dir).select("fact_id", "doc_id", "page", "quote").collect():
+        near = [(p, pages[r.doc_id, p]) for p in (r.page, r.page - 1, r.page + 1) if (r.doc_id, p) in pages]
+        hits = [(p, "exact", 100.0 if r.quote in x else 99.0) for p, x in near if r.quote in x or fold(r.quote) in fold(x)]
+        expected[r.fact_id] = hits[0] if hits else (r.page, "unverified", 0.0)
+    got = {r[0]: tuple(r[1:]) for r in catalogue.queries()["ground_exact_all_languages"](spark, sf_dir).collect()}
+    assert got == expected
+    langs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang").collect()
+    exact = {i.split("-")[0] for i, x in got.items() if x[1] == "exact"}
+    assert {r.lang for r in langs if str(r.doc_id) in exact} == {r.lang for r in langs} > {"en"}
