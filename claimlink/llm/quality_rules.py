@@ -1,5 +1,10 @@
 """Quality rules as weak supervision: rules vote or abstain, expectation-maximisation estimates how reliable each is, and the
-posterior probability of good quality replaces a filter that all rules must pass."""
+posterior probability of good quality replaces a filter that all rules must pass.
+
+A text is good, noisy or repetitive. Each of these classes has a share, and for each rule a chance that a vote of it is a bad one;
+both come from the votes of all texts. An abstention says nothing. What the rules were meant for is only a prior of PSEUDO votes,
+which vanishes beside the data: a rule whose bad votes don't go together with those of its kind is found to be unreliable.
+"""
 
 from __future__ import annotations
 
@@ -8,143 +13,177 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from claimlink.llm.shared import materialise, shingles, steps, utf8, words
+from claimlink.llm.shared import U64, arrow_batches, materialise, mix, shingles, steps, utf8, words
 
-SYMBOLS = re.compile(rb"[#*$%&<>|]")
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_lines", "n_pipes")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_lines", "n_pipes", "n_stutters", "n_odd_words")
 _WORD_LINE = re.compile(rb"[^\x20\x09-\x0D]")
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_LOWER = np.zeros(256, bool)
-_LOWER[97:123] = True
 
-#: Rules: name -> (share that it looks at, bad from, good up to; None: never votes so). Between the two it abstains.
-RULES = {
-    "symbols": ("symbol_share", 0.04, None),
-    "upper_case": ("upper_share", 0.20, None),
-    "pipes": ("pipe_share", 0.08, None),
-    "repeated_words": ("repeat_share", 0.50, 0.10),
-    "repeated_lines": ("dup_line_share", 0.50, None),
-    "long_words": ("mean_word", 16.0, None),
-    "short_words": ("short_word", 0.5, None),
-}
 
+def _table(*codes: int) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(codes)] = True
+    return out
+
+
+_SYMBOL, _PIPE, _UPPER, _LOWER = _table(*b"#*$%&|<>"), _table(*b"|"), _table(*range(65, 91)), _table(*range(97, 123))
+_LETTER, _MARK = _UPPER | _LOWER | _table(*range(128, 256)), _table(*b".,;:?!'\")")
 
-def text_stats(text: bytes, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, buffer: np.ndarray) -> tuple[int, ...]:
-    """STATS of one text; start and end place its words in buffer."""
-    n = len(hashes)
-    repeated = 0
-    if n >= 4:
-        windows = shingles(hashes, 3)
-        _, back, count = np.unique(windows, return_inverse=True, return_counts=True)
-        inside = np.zeros(n, bool)
-        at = np.flatnonzero(count[back] > 1)
+#: Rules: name -> (share that it looks at, bad from, good up to, what it is about). Between the two a rule abstains, and so it does without words.
+RULES = {
+    "symbols": ("symbol_share", 0.04, 0.01, "noisy"),
+    "upper_case": ("upper_share", 0.20, 0.05, "noisy"),
+    "pipes": ("pipe_share", 0.08, 0.01, "noisy"),
+    "odd_words": ("odd_share", 0.50, 0.20, "noisy"),
+    "long_words": ("mean_word", 16.0, 12.0, "noisy"),
+    "short_words": ("short_word", 0.5, 0.0, "noisy"),
+    "repeated_words": ("repeat_share", 0.50, 0.10, "repetitive"),
+    "stutters": ("stutter_share", 0.20, 0.05, "repetitive"),
+    "repeated_lines": ("dup_line_share", 0.50, 0.10, "repetitive"),
+}
+CLASSES = ("good", "noisy", "repetitive")
+#: Chance that a vote is a bad one before any data, in a text of the rule's own class and in others; votes that this prior counts as.
+OWN, OTHER, PSEUDO = 0.5, 0.02, 20.0
+
+
+def _sums(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many flags are set from each of first up to the next."""
+    return np.diff(np.concatenate([[0], np.cumsum(flags)])[first])
+
+
+def text_stats(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """STATS of each text, and the texts' word hashes with the first word of each text and the total."""
+    hashes, start, end, first = words(texts)
+    buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    before = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    caps, small, letters, chars = map(before, (_UPPER[buffer], _LOWER[buffer], _LETTER[buffer], (buffer & 0xC0) != 0x80))
+    n_caps, n_small, n_letters = caps[end] - caps[start], small[end] - small[start], letters[end] - letters[start]
+    upper = (n_caps >= 2) & (n_small == 0)
+    plain = (n_letters + (_MARK[buffer[end - 1]] if len(end) else 0) >= end - start) & (n_caps <= 1)
+    stutter = np.zeros(len(hashes), bool)
+    stutter[1:] = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
+    repeated = np.zeros(len(hashes), bool)
+    if len(hashes) > 2:
+        own = np.flatnonzero(text[2:] == text[:-2])
+        windows = mix(shingles(hashes, 3)[own] ^ mix(text[own].astype(U64) + U64(1)))
+        order = np.argsort(windows)
+        same = np.diff(windows[order]) == 0
+        at = own[order[np.append(same, False) | np.append(False, same)]] if len(own) else own
         for i in range(3):
-            inside[at + i] = True
-        repeated = int(inside.sum())
-    lines = [x for x in text.split(b"\n") if _WORD_LINE.search(x)]
-    chars = upper = 0
-    if n:
-        own = buffer[start[0] : end[-1]]
-        blank = (own == 32) | ((own >= 9) & (own <= 13))
-        chars = int(((own & 0xC0) != 0x80).sum() - blank.sum())
-        caps, small = (np.concatenate([[0], np.cumsum(table[own])]) for table in (_UPPER, _LOWER))
-        s, e = start - start[0], end - start[0]
-        upper = int(((caps[e] - caps[s] >= 2) & (small[e] == small[s])).sum())
-    return n, chars, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated, upper, len(lines), text.count(b"|")
+            repeated[at + i] = True
+    lines = [[x for x in t.split(b"\n") if _WORD_LINE.search(x)] for t in texts]
+    n_lines = np.array([len(x) for x in lines], np.int64)
+    dup = n_lines - np.array([len(set(x)) for x in lines], np.int64)
+    word_chars = _sums(chars[end] - chars[start], first)
+    columns = (np.diff(first), word_chars, _sums(_SYMBOL[buffer], offsets), dup, _sums(repeated, first), _sums(upper, first), n_lines, _sums(_PIPE[buffer], offsets), _sums(stutter, first), _sums(~plain, first))
+    return np.stack(columns, 1).astype(np.int64), hashes, first
+
+
+def votes(stats: np.ndarray) -> np.ndarray:
+    """-1 bad, 0 abstains, 1 good, for each row of STATS and each rule."""
+    n_words, chars, symbols, dup, repeat, upper, lines, pipes, stutters, odd = stats.T.astype(float)
+    n = np.maximum(n_words, 1)
+    shares = {
+        "symbol_share": symbols / np.maximum(chars, 1),
+        "upper_share": upper / n,
+        "pipe_share": pipes / n,
+        "odd_share": odd / n,
+        "mean_word": chars / n,
+        "short_word": (chars / n < 2.2).astype(float),
+        "repeat_share": repeat / n,
+        "stutter_share": stutters / n,
+        "dup_line_share": np.where(lines >= 4, dup / np.maximum(lines, 1), 0.0),
+    }
+    cast = [np.where(shares[share] >= bad, -1, np.where(shares[share] <= good, 1, 0)) for share, bad, good, _ in RULES.values()]
+    return np.where(n_words[:, None] > 0, np.stack(cast, 1), 0)
+
+
+def patterns_of(cast: np.ndarray) -> np.ndarray:
+    """One number for each row of votes; there are 3 ** rules of them."""
+    return ((cast + 1) * 3 ** np.arange(cast.shape[1])).sum(1)
+
+
+def votes_of(patterns: np.ndarray, rules: int = len(RULES)) -> np.ndarray:
+    """The votes that patterns_of has numbered."""
+    return patterns[:, None] // 3 ** np.arange(rules) % 3 - 1
 
 
 def add_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep and STATS, one row for each row of docs; null and empty texts have zeros."""
+    """The columns keep, STATS and pattern (the votes), one row for each row of docs; null and empty texts have zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             texts = utf8(batch.column(0))
-            rows = []
-            for a, b in steps(texts):
-                part = texts[a:b]
-                buffer = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
-                h, s, e, first = words(part)
-                rows += [text_stats(t, h[i:j], s[i:j], e[i:j], buffer) for t, i, j in zip(part, first, first[1:], strict=False)]
-            table = np.array(rows, np.int64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(table[:, k]) for k in range(len(STATS)))], names=[*keep, *STATS])
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in STATS)])
-    return docs.select(F.col(text).alias("_t"), *keep).mapInArrow(run, schema)
+            table = np.concatenate([np.zeros((0, len(STATS)), np.int64), *(text_stats(texts[a:b])[0] for a, b in steps(texts))])
+            columns = [*batch.columns[1:], *(pa.array(table[:, k]) for k in range(len(STATS))), pa.array(patterns_of(votes(table)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *STATS, "pattern"])
 
-
-def vote(name: str) -> Column:
-    """-1 bad, 0 abstains, 1 good. Without words a rule abstains."""
-    share, bad, good = RULES[name]
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    mean = F.col("word_chars") / n
-    value = {
-        "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "upper_share": F.col("n_upper_words") / n,
-        "pipe_share": F.col("n_pipes") / n,
-        "repeat_share": F.col("n_repeat_words") / n,
-        "dup_line_share": F.when(F.col("n_lines") >= 4, F.col("n_dup_lines") / F.col("n_lines")).otherwise(0.0),
-        "mean_word": mean,
-        "short_word": F.when(mean < 2.2, 1.0).otherwise(0.0),
-    }[share]
-    out = F.when(F.col("n_words") == 0, 0).when(value >= bad, -1)
-    return (out if good is None else out.when(value <= good, 1)).otherwise(0).cast("int")
-
-
-#: Chances of the votes -1, 0 and 1 before any data, for bad and for good texts; PRIOR_WEIGHT is their share beside the data.
-PRIOR = np.array([[0.4, 0.2, 0.4], [0.002, 0.198, 0.8]])
-PRIOR_WEIGHT = 0.6
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in (*STATS, "pattern"))])
+    return docs.select(F.col(text).alias("_t"), *keep).mapInArrow(run, schema)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def estimate(cast: np.ndarray, counts: np.ndarray, classes: tuple[str, ...] | None = None, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation-maximisation over distinct vote patterns (rows of -1, 0, 1) with their counts.
 
-    Each rule has its own chances of the three votes for good and for bad texts. The start takes a text as bad if a rule says so;
-    the prior keeps the classes from changing sides and rules from being ignored where their errors go together.
-    Returns the posterior probability of good for each pattern, and the chances [class, rule, vote + 1].
+    classes: the class that each rule is about, by default that of RULES. Returns the posterior probability of good for each
+    pattern, the chances [class, rule] that a vote is bad, and the classes' shares.
     """
-    good = np.where((patterns == -1).any(1), 0.1, 0.9)
-    total = counts.sum()
+    about = np.array(classes or [c for *_, c in RULES.values()])
+    prior = np.where(about == np.array(CLASSES)[:, None], OWN, OTHER)
+    bad, good = (cast == -1).astype(float), (cast == 1).astype(float)
+    chance, share, before = prior, np.array([0.8, 0.1, 0.1]), None
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - good), counts * good])
-        prior = (weight.sum(1) + 1) / (total + 2)
-        seen = np.stack([[[(w * (patterns[:, j] == v)).sum() for v in (-1, 0, 1)] for j in range(patterns.shape[1])] for w in weight])
-        chance = (1 - PRIOR_WEIGHT) * (seen + 1e-9) / (seen + 1e-9).sum(2, keepdims=True) + PRIOR_WEIGHT * PRIOR[:, None]
-        log = np.log(prior)[:, None] + sum(np.log(chance[:, j, patterns[:, j] + 1]) for j in range(patterns.shape[1]))
-        before, good = good, 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
-        if np.abs(before - good).max() < 1e-9:
+        log = np.log(share)[:, None] + np.log(chance) @ bad.T + np.log1p(-chance) @ good.T
+        posterior = np.exp(log - log.max(0))
+        posterior /= posterior.sum(0)
+        if before is not None and np.abs(posterior - before).max() < 1e-9:
             break
-    return good, chance
+        before, weight = posterior, counts * posterior
+        share = (weight.sum(1) + 1) / (counts.sum() + len(CLASSES))
+        seen_bad, seen_good = weight @ bad + PSEUDO * prior, weight @ good + PSEUDO * (1 - prior)
+        chance = seen_bad / (seen_bad + seen_good)
+    return posterior[0], chance, share
 
 
-def with_posterior(stats: DataFrame) -> DataFrame:
-    """stats (with STATS, read more than once) with p_good. Vote patterns are counted over all rows; there are at most 3 ** rules of them."""
-    votes = F.concat_ws(",", *(vote(name) for name in RULES))
-    found = stats.groupBy(votes.alias("p")).count().collect()  # bounded by the number of patterns
-    if not found:
-        return stats.withColumn("p_good", F.lit(None).cast("double"))
-    patterns = np.array([[int(v) for v in r["p"].split(",")] for r in found])
-    good, _ = estimate(patterns, np.array([r["count"] for r in found], float))
-    table = F.create_map(*(F.lit(x) for r, p in zip(found, good, strict=True) for x in (r["p"], float(p))))
-    return stats.withColumn("p_good", F.element_at(table, votes))
+def posteriors(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns in ascending order and their p_good, from the votes of all rows of stats (pattern)."""
+    found = sorted(map(tuple, stats.groupBy("pattern").count().collect()))  # at most 3 ** rules, 19,683
+    patterns, counts = np.array(found, np.int64).reshape(-1, 2).T
+    return (patterns, estimate(votes_of(patterns), counts.astype(float))[0]) if len(patterns) else (patterns, np.zeros(0))
 
 
 def judge(stats: DataFrame, threshold: float = 0.5, min_words: int = 50) -> DataFrame:
-    """Adds base_failed and kept. A text without words fails the base."""
+    """stats (with STATS and pattern, read twice) with p_good, base_failed and kept. A text without words fails the base."""
+    patterns, p_good = posteriors(stats)
+    table = stats.sparkSession.createDataFrame(pa.table({"pattern": patterns, "p_good": p_good}))  # bounded, hence broadcast
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return with_posterior(stats).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= threshold))
+    judged = stats.join(F.broadcast(table), "pattern", "left").withColumn("base_failed", failed)
+    return judged.withColumn("kept", ~failed & (F.col("p_good") >= threshold))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5, min_words: int = 50) -> DataFrame:
     """The rows of docs (text and any other columns) that the rules keep. The statistics are computed twice, for the vote
     patterns of all rows and for the verdicts, as that is less work than writing or shuffling the texts."""
-    names = docs.columns
-    own = tuple(f"c{i}" for i in range(len(names)))
-    judged = judge(add_stats(docs.toDF(*own), own[names.index("text")], own), threshold, min_words)
-    return judged.where("kept").select(*(F.col(c).alias(n) for c, n in zip(own, names, strict=True)))
+    patterns, p_good = posteriors(add_stats(docs.select("text"), keep=()))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_batches(batches):
+            texts = utf8(batch.column(at))
+            kept = [np.zeros(0, bool)]
+            for a, b in steps(texts):
+                table = text_stats(texts[a:b])[0]
+                failed = (table[:, 0] < min_words) | (100 * table[:, STATS.index("n_repeat_words")] > 50 * table[:, 0])
+                kept.append(~failed & (p_good[np.searchsorted(patterns, patterns_of(votes(table)))] >= threshold))
+            yield batch.filter(pa.array(np.concatenate(kept)))
+
+    own = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])  # names may clash
+    return docs.toDF(*own.names).mapInArrow(run, own).toDF(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

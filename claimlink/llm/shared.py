@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Text bytes that one vectorised step takes at once; numpy temporaries are about a hundred times that.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 U64 = np.uint64
 _GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -20,10 +20,12 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master (tests) a temporary one where it is unset."""
     session = df.sparkSession
     found = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
     if not found:
+        if not session.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="claimlink-"))
         found = session.sparkContext.getCheckpointDir()
     return found
@@ -36,6 +38,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def arrow_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task. After the last one the worker, which lives on for other tasks, gives back the memory that Arrow holds."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def steps(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most limit bytes together, or of one text."""
     start = size = 0

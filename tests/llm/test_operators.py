@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -276,6 +277,69 @@ def test_op7_keeps_clean_documents(spark, sf_dir):
     assert sum(r.kept == (r.quality == 1) for r in found) >= 0.97 * len(found)
 
 
+def test_op7_votes_are_numbered():
+    cast = np.array(list(itertools.product((-1, 0, 1), repeat=4)))
+    assert (quality_rules.votes_of(quality_rules.patterns_of(cast), 4) == cast).all() and len(set(quality_rules.patterns_of(cast))) == 81
+
+
+def planted_votes(seed, n, chances, shares, abstain=0.1):
+    """Votes of texts whose class is known: chances[class][rule] that a vote is a bad one."""
+    rng = np.random.default_rng(seed)
+    of = rng.choice(len(shares), n, p=shares)
+    cast = np.where(rng.random((n, len(chances[0]))) < np.array(chances)[of], -1, 1)
+    cast[rng.random(cast.shape) < abstain] = 0
+    return of, cast
+
+
+def test_op7_estimates_planted_accuracies_and_overrules_a_bad_rule():
+    classes = ("noisy", "noisy", "noisy", "noisy", "repetitive", "repetitive", "repetitive")
+    chances = [[0.01, 0.25, 0.02, 0.03, 0.01, 0.03, 0.02], [0.9, 0.25, 0.8, 0.75, 0.02, 0.02, 0.03], [0.03, 0.25, 0.02, 0.02, 0.85, 0.9, 0.7]]  # the second rule votes at random
+    of, cast = planted_votes(1, 40_000, chances, (0.8, 0.12, 0.08))
+    rows, inverse, counts = np.unique(cast, axis=0, return_inverse=True, return_counts=True)
+    good, chance, share = quality_rules.estimate(rows, counts.astype(float), classes)
+    assert np.abs(chance - np.array(chances)).max() < 0.05 and np.abs(share - (0.8, 0.12, 0.08)).max() < 0.02
+    p = good[inverse.ravel()]
+    passes_all = (cast != -1).all(1)
+    assert ((p >= 0.5) == (of == 0)).mean() > 0.97 > 0.9 > (passes_all == (of == 0)).mean()
+    for low in np.arange(0, 1, 0.2):  # calibrated
+        at = (p >= low) & (p <= low + 0.2)
+        assert not at.sum() > 500 or abs(p[at].mean() - (of[at] == 0).mean()) < 0.05
+
+
+def test_op7_estimate_equals_brute_force():
+    classes = ("noisy", "repetitive", "noisy")
+    _, cast = planted_votes(3, 300, [[0.05, 0.1, 0.1], [0.7, 0.1, 0.6], [0.1, 0.8, 0.1]], (0.7, 0.2, 0.1))
+    rows, inverse, counts = np.unique(cast, axis=0, return_inverse=True, return_counts=True)
+    chance = [[0.5 if c == k else 0.02 for c in classes] for k in ("good", "noisy", "repetitive")]
+    share = [0.8, 0.1, 0.1]
+    for _ in range(25):  # one text at a time
+        bad, votes, weights, p_good = np.zeros((3, 3)), np.zeros((3, 3)), np.zeros(3), []
+        for text in cast.tolist():
+            odds = []
+            for k in range(3):
+                x = share[k]
+                for j, v in enumerate(text):
+                    x *= {-1: chance[k][j], 0: 1.0, 1: 1 - chance[k][j]}[v]
+                odds.append(x)
+            p_good.append(odds[0] / sum(odds))
+            for k in range(3):
+                weights[k] += odds[k] / sum(odds)
+                for j, v in enumerate(text):
+                    bad[k, j] += (v == -1) * odds[k] / sum(odds)
+                    votes[k, j] += (v != 0) * odds[k] / sum(odds)
+        prior = np.array([[0.5 if c == k else 0.02 for c in classes] for k in ("good", "noisy", "repetitive")])
+        share, chance = (weights + 1) / (len(cast) + 3), (bad + 20 * prior) / (votes + 20)
+    assert np.allclose(quality_rules.estimate(rows, counts.astype(float), classes, 25)[0][inverse.ravel()], p_good, atol=1e-6)
+
+
+def test_op7_rows_that_stages_keep(docs, spark):
+    more = docs.withColumn("c0", F.lit("x")).withColumn("pattern", F.lit(2))
+    stats = {r.doc_id: r.kept for r in quality_rules.judge(quality_rules.add_stats(docs), min_words=1).collect()}
+    kept = quality_rules.keep_good(more, min_words=1)
+    assert kept.dtypes == more.dtypes and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, k in stats.items() if k)
+    assert quality_rules.keep_good(more.limit(0)).count() == 0
+
+
 def test_op7_empty(spark):
     assert quality_rules.judge(quality_rules.add_stats(spark.createDataFrame([], DOCS))).count() == 0
     odd = spark.createDataFrame([(1, None, 2), (2, "", 3)], "kept long, text string, n_words int")
