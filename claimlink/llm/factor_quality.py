@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlink.llm.quality_rules import text_stats
-from claimlink.llm.shared import steps, utf8, words
+from claimlink.llm.shared import arrow_batches, steps, utf8
 
 BUCKETS, RANK = 1 << 16, 8
 #: Bin edges of each structure statistic; a text has one feature of value 1 for each.
@@ -53,24 +54,20 @@ class Machine:
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of some texts, sorted by row. Words' values have length 1 together; empty texts have statistics only."""
-    buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    hashes, start, end, first = words(texts)
+    table, hashes, first = text_stats(texts)
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     key, count = np.unique(row.astype(np.int64) << 16 | (hashes >> np.uint64(48)).astype(np.int64), return_counts=True)
     word_row, word = key >> 16, key & (BUCKETS - 1)
     norm = np.sqrt(np.bincount(word_row, count.astype(float) ** 2, minlength=len(texts)))
     value = count / norm[word_row]
     distinct = np.bincount(word_row, minlength=len(texts))
-    stats = np.zeros((len(EDGES), len(texts)))
-    for i, text in enumerate(texts):
-        a, b = first[i], first[i + 1]
-        n, chars, symbols, dup, repeat, upper, lines, pipes = text_stats(text, hashes[a:b], start[a:b], end[a:b], buffer)
-        m = max(n, 1)
-        stats[:, i] = n, chars / m, symbols / max(chars, 1), upper / m, pipes / m, repeat / m, dup / max(lines, 1), n / max(lines, 1), distinct[i] / m
+    n, chars, symbols, dup, repeat, upper, lines, pipes, *_ = table.T
+    m, rows = np.maximum(n, 1), np.maximum(lines, 1)
+    stats = (n, chars / m, symbols / np.maximum(chars, 1), upper / m, pipes / m, repeat / m, dup / rows, n / rows, distinct / m)
     own = np.stack([BUCKETS + _BINS * k + np.digitize(stats[k], edges) for k, edges in enumerate(EDGES.values())])
-    rows = np.concatenate([word_row, np.tile(np.arange(len(texts)), len(EDGES))])
-    order = np.argsort(rows, kind="stable")
-    return rows[order], np.concatenate([word, own.ravel()])[order], np.concatenate([value, np.ones(own.size)])[order].astype(np.float32)
+    of_row = np.concatenate([word_row, np.tile(np.arange(len(texts)), len(EDGES))])
+    order = np.argsort(of_row, kind="stable")
+    return of_row[order], np.concatenate([word, own.ravel()])[order], np.concatenate([value, np.ones(own.size)])[order].astype(np.float32)
 
 
 def fit(labels: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Machine:
@@ -101,12 +98,13 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """From the sample labelled rows outside the held-out fold with the smallest hashes of their ids. docs: doc_id, text; labels: doc_id, quality."""
+    """From the sample labelled rows outside the held-out fold with the smallest hashes of their ids. docs: doc_id, text; labels: doc_id, quality.
+    Of several rows with one doc_id the largest text counts, of several labels the largest."""
     of = labels.where(F.col("quality").isin(0, 1) & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("y"))
     of = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, hence broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             texts, at, x = utf8(batch.column(2)), [], []
             for a, b in steps(texts):
                 row, feature, value = features(texts[a:b])
@@ -116,20 +114,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "y", "at", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(F.broadcast(of), "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), "text").mapInArrow(run, f"doc_id {kind}, y int, at array<int>, x array<float>")
-    found = sorted(rows.collect(), key=lambda r: (r["doc_id"], len(r["at"])))[: 2 * sample]
+    rows = docs.select("doc_id", "text").join(F.broadcast(of), "doc_id").groupBy("doc_id").agg(F.max(F.struct(F.col("y").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))).alias("r"))
+    rows = rows.select("doc_id", "r.y", "r.text").mapInArrow(run, f"doc_id {kind}, y int, at array<int>, x array<float>")
+    found = sorted(rows.collect(), key=lambda r: r["doc_id"])  # at most sample, one for each doc_id
     return fit(np.array([r["y"] for r in found], float), [(np.array(r["at"], np.int64), np.array(r["x"])) for r in found])
 
 
+def scores(texts: list[bytes], machine: Machine) -> np.ndarray:
+    """The score of each text."""
+    z = [machine.logits(*features(texts[a:b]), b - a) for a, b in steps(texts)]
+    return 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *z]), -500, 500)))
+
+
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, with score, one row for each row of docs; null texts are scored as empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, out = utf8(batch.column(0)), [np.zeros(0)]
-            for a, b in steps(texts):
-                out.append(1 / (1 + np.exp(-np.clip(machine.logits(*features(texts[a:b]), b - a), -500, 500))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(out), pa.float64())], names=[*keep, "score"])
+        for batch in arrow_batches(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores(utf8(batch.column(0)), machine), pa.float64())], names=[*keep, "score"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
     return docs.select(docs[text].alias("_text"), *keep).mapInArrow(run, schema)
@@ -137,10 +139,14 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs (doc_id, text and any other columns) that score threshold or more by a machine learnt from those with labels."""
-    machine, names = learn(docs, labels), docs.columns
-    own = tuple(f"c{i}" for i in range(len(names)))
-    scored = score(docs.toDF(*own), machine, own[names.index("text")], own)
-    return scored.where(F.col("score") >= threshold).select(*(F.col(c).alias(n) for c, n in zip(own, names, strict=True)))
+    machine, at = learn(docs, labels), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_batches(batches):
+            yield batch.filter(pa.array(scores(utf8(batch.column(at)), machine) >= threshold))
+
+    own = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])  # names may clash
+    return docs.toDF(*own.names).mapInArrow(run, own).toDF(*docs.columns)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
