@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import html.parser
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -205,6 +207,103 @@ def test_op3_keeps_all_between_surge_and_dive():
     assert html_text.main_text("<p>One.</p><p>Two.</p><p>Three is longer.</p>") == "One.\nTwo.\nThree is longer."
 
 
+def brute_surge_to_dive(lengths, window=3, surge=60):
+    """By trying every window, line by line."""
+    n = len(lengths)
+    surges = [i for i in range(n) if lengths[i] > 0 and sum(lengths[i : i + window]) >= surge]
+    held = [i for i in range(n) if lengths[i] > 0]
+    if not surges:
+        return (held[0], held[-1] + 1) if held else (0, 0)
+    first, last = surges[0], surges[-1]
+    while any(lengths[max(0, first - window) : first]):
+        first = next(i for i in range(max(0, first - window), first) if lengths[i])
+    while any(lengths[last + 1 : last + 1 + window]):
+        last = next(i for i in range(last + 1, n) if lengths[i])
+    return first, last + 1
+
+
+def test_op3_windows_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(3000):
+        lengths = [rng.choice([0, 0, 0, 5, 15, 30, 70]) for _ in range(rng.randint(0, 25))]
+        assert html_text.surge_to_dive(np.array(lengths, np.int64)) == brute_surge_to_dive(lengths), lengths
+
+
+class Reader(html.parser.HTMLParser):
+    """The lines of an article by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.lines, self.part, self.depth, self.skip = [], "", 0, 0
+
+    def end_line(self):
+        line = " ".join(self.part.split())
+        self.lines += [line] if line else []
+        self.part = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html_text.INLINE:
+            self.end_line()
+        self.depth += tag == "article"
+        self.skip += tag in ("nav", "script", "form")
+
+    def handle_endtag(self, tag):
+        if tag not in html_text.INLINE:
+            self.end_line()
+        self.depth -= tag == "article"
+        self.skip -= tag in ("nav", "script", "form")
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.part += data
+
+
+def test_op3_equals_another_parser():
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choices(["word", "caf&eacute;", "a &lt; b", "1 < 2", "it's", "\"so\"", "&#8364;", "x=y", "\n"], k=rng.randint(1, 12)))
+    attributes = lambda: rng.choice(["", " class=x", " title='a > b'", ' data-a="<p>" id=q', " hidden2", " href=/a/b/", ' alt="hidden"'])
+
+    def node(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return text()
+        tag = rng.choice(["p", "div", "b", "a", "section", "ul", "nav", "blockquote"])
+        inner = "".join(node(depth - 1 if tag != "p" else 0) for _ in range(rng.randint(1, 3)))
+        return rng.choice(["<!-- <p>x</p> -->", "<br>", "<hr/>", "<script>if (a<b) '</p>'</script>"]) if kind < 0.4 else f"<{tag}{attributes()}>{inner}</{tag}>"
+
+    for _ in range(300):
+        page = f"<html><body><nav><a href=/>Home</a></nav><article><p>{'Long text of the page. ' * 4}</p>{node(4)}</article><footer>Us</footer></body></html>"
+        reader = Reader()
+        reader.feed(page)
+        reader.end_line()
+        assert html_text.main_text(page).split("\n") == reader.lines, page
+
+
+def test_op3_odd_markup_takes_linear_time():
+    attributes = " ".join(f'a{i}="v{i}"' for i in range(10_000))
+    for page, expected in [
+        (f"<p>hi</p><img {attributes}", "hi"), (f"<p>hi</p><img {attributes}>you", "hi\nyou"), ("<p>hi</p>" + "<a " * 50_000, "hi"), ("hi" + "<a b='" * 50_001, "hi"), ("<p>1 < 2" + "<" * 100_000, "1 < 2" + "<" * 100_000),
+        ("<p>hi" + "<b>" * 30_000 + "</i>" * 30_000, "hi"), ("<p>hi<!--" + "<!--" * 50_000, "hi"), ("<p>hi" + "<script>" * 50_000, "hi"), ("<p>it's <b>bold's</b></p><p title='x>y'>so</p>", "it's bold's\nso"), ("<p>hi</p><p class=\"x>y", "hi\ny"),
+    ]:
+        begun = time.time()
+        assert html_text.main_text(page) == expected and time.time() - begun < 1
+
+
+def test_op3_empty_table_and_repeated_rows(spark):
+    schema = "page_id long, url string, html string, text string"
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+    twice = spark.createDataFrame([(1, "u", "<p>x</p>", "t")] * 2 + [(None, None, None, None)], schema)
+    assert sorted(map(tuple, html_text.extract(twice).collect()), key=repr) == sorted([(1, "u", "x", 1)] * 2 + [(None, None, "", 0)], key=repr)
+
+
+def test_op3_no_cut_or_drop_on_unmarked_pages():
+    long, short = "This is the text of the page. " * 5, "Short one."
+    menu = "<nav>" + "".join(f"<li><a href=/{i}>Menu {i}</a></li>" for i in range(9)) + "</nav>"
+    linked = "<p><a href=/x>A paragraph that is a link and nothing else</a></p>"
+    page = f"<body>{menu}<h1>{short}</h1><p>{long}</p>{linked}<p>{short}</p><div class=ad>{long * 5}</div><p>{short}</p><p>{long}</p><p>{short}</p>{menu}<footer>Us</footer></body>"
+    assert html_text.main_text(page).split("\n") == [short, long.strip(), "A paragraph that is a link and nothing else", short, short, long.strip(), short]
+
+
 def test_op4_held_out_accuracy(spark, sf_dir):
     scored = factor_quality.op4_quality_classifier(spark, sf_dir.replace("0.001", "0.01"))
     labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet")
