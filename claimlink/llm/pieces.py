@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
 Each unit of a text (a run of word marks and what follows up to the next mark) is encoded by a score-ordered agenda of adjacent
-symbol pairs. No piece of such a vocabulary holds a mark after another character, so units are independent. Every new unit of an
-Arrow batch is checked against the sentencepiece library, whose ids and decoded text are the ones that count.
+symbol pairs. No piece of such a vocabulary holds a mark after another character, so units are independent. The agenda's ids are
+what is returned and decoded; the sentencepiece library encodes every whole text of an Arrow batch as well, as a check.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +19,21 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
+from claimlink.llm.shared import arrow_batches
+
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Units that one worker remembers, in each of two generations; longer units aren't remembered.
 CACHE, CACHED_CHARS = 250_000, 48
+#: Units above so many characters have an agenda of their own; characters of texts that are encoded together.
+LONG, STEP_CHARS = 64, 1 << 19
 
 
 class AgendaEncoder:
     """Ids of many units at once. In each round every unit takes the first entry off its agenda, which is ordered by score and,
-    on ties, from left to right; merges it; and enters the two pairs that the merged symbol forms with its neighbours."""
+    on ties, from left to right; merges it; and enters the two pairs that the merged symbol forms with its neighbours.
+
+    Short units go through their rounds together. A long one has a heap, so that its time grows with n log n."""
 
     NONE = np.int64(1 << 30)
 
@@ -69,12 +77,55 @@ class AgendaEncoder:
         ok = (at >= 0) & (left >= 0) & (right >= 0)
         return np.where(ok, self.rank[at], self.NONE), self.merged[at]
 
-    def __call__(self, units: list[str]) -> list[list[int]]:
+    def __call__(self, units: list[str]) -> list[bytes]:
+        """The units' ids, little-endian unsigned 32-bit."""
+        short = iter(self.together([u for u in units if len(u) <= LONG]))
+        return [next(short) if len(u) <= LONG else self.alone(u) for u in units]
+
+    def _symbols(self, text: str) -> np.ndarray:
+        """Symbols of characters; those that no piece holds are negative."""
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return np.where(self.of_char[code] < 0, -1 - code.astype(np.int64), self.of_char[code])
+
+    @cached_property
+    def table(self) -> dict[int, tuple[int, int]]:
+        """(rank, merged symbol) of pairs that merge."""
+        return dict(zip(self.pairs.tolist(), zip(self.rank.tolist(), self.merged.tolist(), strict=True), strict=True))
+
+    def alone(self, unit: str) -> bytes:
+        """Ids of one unit by a heap of (rank, place). An entry whose pair is no longer there is passed over when it comes up."""
+        symbols = self._symbols(unit)
+        n, rank = len(symbols), self._look_up(symbols[:-1], symbols[1:])[0]
+        at = np.flatnonzero(rank < self.NONE)
+        agenda = (rank[at] << 32 | at).tolist()
+        heapq.heapify(agenda)
+        symbol, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        merged_at = self.table.get
+
+        def pair(i: int) -> tuple[int, int] | None:
+            j = after[i]
+            return merged_at(symbol[i] << 32 | symbol[j]) if j < n and symbol[i] >= 0 and symbol[j] >= 0 else None
+
+        gone = bytearray(n)
+        while agenda:
+            entry = heapq.heappop(agenda)
+            i = entry & 0xFFFFFFFF
+            found = None if gone[i] else pair(i)
+            if found is None or found[0] != entry >> 32:
+                continue
+            j = after[i]
+            symbol[i], after[i], gone[j] = found[1], after[j], 1
+            if after[j] < n:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and (new := pair(k)):
+                    heapq.heappush(agenda, new[0] << 32 | k)
+        return self._ids(np.array(symbol, np.int64)[np.frombuffer(gone, np.uint8) == 0])[0].tobytes()
+
+    def together(self, units: list[str]) -> list[bytes]:
         if not units:
             return []
-        code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        symbol, unit = self.of_char[code], np.repeat(np.arange(len(units)), [len(u) for u in units])
-        symbol = np.where(symbol < 0, -1 - code.astype(np.int64), symbol)
+        symbol, unit = self._symbols("".join(units)), np.repeat(np.arange(len(units)), [len(u) for u in units])
         rank, merged = (np.append(x, fill) for x, fill in zip(self._look_up(symbol[:-1], symbol[1:]), (self.NONE, 0), strict=True))
         rank[np.flatnonzero(np.diff(unit))] = self.NONE
         done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -98,13 +149,24 @@ class AgendaEncoder:
                 rank[-1] = self.NONE
         unit, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(unit, kind="stable")
-        symbol = symbol[order]
-        ends = np.cumsum(np.bincount(unit, minlength=len(units)))
-        flat, odd = symbol.tolist(), set(unit[order][(symbol < 0) | (symbol >= self.size)].tolist())
-        out = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        for i in odd:
-            out[i] = [x for s in out[i] for x in self._plain(s)]
-        return out
+        ids, size = self._ids(symbol[order])
+        ends = 4 * np.cumsum(size)[np.cumsum(np.bincount(unit, minlength=len(units))) - 1]
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _ids(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, and how many each has: one, but for characters outside the vocabulary."""
+        size, odd = np.ones(len(symbols), np.int64), np.flatnonzero((symbols < 0) | (symbols >= self.size))
+        if not len(odd):
+            return symbols.astype("<u4"), size
+        kinds, kind = np.unique(symbols[odd], return_inverse=True)
+        plain = [self._plain(int(s)) for s in kinds]
+        length = np.array([len(p) for p in plain])
+        size[odd] = count = length[kind]
+        out, begin = np.repeat(symbols, size), np.cumsum(size) - size
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        out[np.repeat(begin[odd], count) + within] = np.concatenate(plain)[np.repeat((np.cumsum(length) - length)[kind], count) + within]
+        return out.astype("<u4"), size
 
     def _plain(self, symbol: int) -> list[int]:
         """A symbol outside the vocabulary as its bytes' ids."""
@@ -132,48 +194,53 @@ def units(text: str) -> list[str]:
 
 
 class Codec:
-    """Encodes and decodes texts unit by unit: number of ids, ids joined by commas, decoded text."""
+    """Encodes and decodes texts unit by unit: number of ids, ids joined by commas, decoded text, 1 where the library's ids differ."""
 
     def __init__(self, path: str) -> None:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.agenda = AgendaEncoder(self.library)
-        self.new: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
-
-    def learn(self, texts: list[list[str]]) -> tuple[dict[str, tuple[int, str, str]], set[str]]:
-        """What isn't remembered yet, and the units on which the library differs from the agenda."""
-        fresh = list({u for t in texts for u in t if u not in self.new and u not in self.old})
-        own = self.agenda([MARK + u for u in fresh])
-        checked = self.library.encode([u.replace(MARK, " ") for u in fresh], num_threads=1)
-        differ = {u for u, a, b in zip(fresh, own, checked, strict=True) if a != b and u}
-        ids = [a if not u else b for u, a, b in zip(fresh, own, checked, strict=True)]  # the library sees an empty unit as an empty text
-        return {u: (len(i), ",".join(map(str, i)), d) for u, i, d in zip(fresh, ids, self.decode(fresh, ids), strict=True)}, differ
-
-    def decode(self, fresh: list[str], ids: list[list[int]]) -> list[str]:
-        """The library's decoded text of each unit, got in one call where all of them decode to what they were."""
-        expected = [u.replace(MARK, " ") for u in fresh]
-        if self.library.decode([x for i in ids for x in i]) == " ".join(expected):
-            return [u if u == e else e for u, e in zip(fresh, expected, strict=True)]
-        return [self.library.decode(i) for i in ids]
+        self.shown = [str(i) for i in range(self.library.vocab_size())]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def code(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
-        split = [units(t) for t in texts]
-        fresh, differ = self.learn(split)
-        out = []
-        for parts in split:
-            found = list(map(self.new.get, parts))
-            if None in found:
-                for i, u in enumerate(parts):
-                    if found[i] is None:
-                        found[i] = value = self.new.get(u) or self.old.get(u) or fresh[u]
-                        if len(u) <= CACHED_CHARS:
-                            self.new[u] = value
-            n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
-            out.append((sum(n), ",".join(ids), " ".join(decoded), sum(u in differ for u in parts) if differ else 0))
-        if len(self.new) >= CACHE:  # between batches only, as learn() has relied on what is remembered
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The agenda's ids of whole texts. Units that aren't remembered yet go to the agenda, each once."""
+        if len(self.new) >= CACHE:
             self.old, self.new = self.new, {}
+        known, split = self.new, [units(t) for t in texts]
+        missing = set(chain.from_iterable(split)).difference(known)
+        fresh = []
+        for u in missing:
+            ids = self.old.get(u)
+            if ids is None:
+                fresh.append(u)
+            else:
+                known[u] = ids
+        known.update(zip(fresh, self.agenda([MARK + u for u in fresh]), strict=True))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4").tolist() for parts in split]
+        for u in fresh:
+            if len(u) > CACHED_CHARS:
+                del known[u]
         return out
 
+    def code(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
+        coded = self.encode(texts)
+        checked = self.library.encode(texts, num_threads=1)
+        return [(len(ids), ",".join(map(self.shown.__getitem__, ids)), self.library.decode(ids) if ids else "", int(ids != other)) for ids, other in zip(coded, checked, strict=True)]
+
+
+def steps_of(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts of up to STEP_CHARS characters together, or one text."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > STEP_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
 
 @lru_cache(1)
 def codec(path: str) -> Codec:
@@ -181,7 +248,7 @@ def codec(path: str) -> Codec:
 
 
 def encode_and_decode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, with n_tokens, ids_sha256, decoded_sha256 and n_differing (units where agenda and library differ).
+    """The columns keep, with n_tokens, ids_sha256, decoded_sha256 and n_differing (1 where the library's ids of the text differ).
 
     Null texts are empty; an empty text has no ids and decodes to itself. One row for each row of docs.
     """
@@ -189,12 +256,13 @@ def encode_and_decode(docs: DataFrame, path: str | None = None, keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(model).code
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            rows = [r for a in range(0, len(texts), 256) for r in code(texts[a : a + 256])]
-            n, ids, decoded, differing = zip(*rows, strict=True) if rows else ((), (), (), ())
-            sha = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in c], pa.string()) for c in (ids, decoded)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), *sha, pa.array(differing, pa.int64())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", "n_differing"])
+        digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for batch in arrow_batches(batches):
+            parts = steps_of([t or "" for t in batch.column(0).to_pylist()])
+            rows = [(n, digest(ids), digest(decoded), differs) for part in parts for n, ids, decoded, differs in code(part)]
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            made = [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", "n_differing"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string, n_differing long"])
     return docs.select(docs["text"].alias("_text"), *keep).mapInArrow(run, schema)

@@ -355,6 +355,27 @@ def test_op6_forgetting_changes_nothing(monkeypatch):
             assert got[1] == ",".join(map(str, library.encode(t))) and got[3] == 0
 
 
+def test_op6_long_units(spark):
+    codec = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    kinds = ("abcdefgh", "aab", "中文字漢語日本", "ABCxyz0123456789+/=", "é😀ßa", "the and ing ".replace(" ", ""), "▁a")
+    for n in (65, 100, 1000, 20_000):
+        for letters in kinds:
+            unit = "".join(rng.choices(letters, k=n))
+            assert codec.agenda.alone(pieces.MARK + unit) == codec.agenda.together([pieces.MARK + unit])[0] or n > 1000
+            assert codec.code([unit, f"a {unit} b"]) == [(len(x), ",".join(map(str, x)), codec.library.decode(x), 0) for x in codec.library.encode([unit, f"a {unit} b"])]
+    begun = time.time()
+    unit = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    assert codec.agenda.alone(pieces.MARK + unit) == np.array(codec.library.encode(unit), "<u4").tobytes() and time.time() - begun < 2
+
+
+def test_op6_empty_table_and_extra_columns(spark):
+    odd = spark.createDataFrame([], "doc_id long, text string, n_tokens int")
+    assert pieces.encode_and_decode(odd).count() == 0
+    rows = pieces.encode_and_decode(spark.createDataFrame([(1, "a", 3), (1, "a", 3), (None, None, None)], odd.schema)).collect()
+    assert len(rows) == 3 and sorted(r.n_tokens for r in rows) == [0, rows[0].n_tokens or rows[1].n_tokens, max(r.n_tokens for r in rows)]
+
+
 def test_op7_statistics(docs, rows):
     got = {r.doc_id: r for r in quality_rules.add_stats(docs).collect()}
     for i, t in rows:
