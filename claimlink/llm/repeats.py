@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from claimlink.llm.shared import STEP_BYTES, U64, Spans, materialise, mix, steps, utf8
+from claimlink.llm.shared import STEP_BYTES, U64, Spans, arrow_batches, materialise, mix, steps, utf8
 
 #: Bytes of an anchor, and by how many bytes a level extends prefixes; both at most the minimum length.
 ANCHOR, STRIDE = 30, 4
 #: Bytes whose suffixes are sorted at once; a group of segments with one anchor stays together, up to GROUP of them.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 17
 #: Different segments of one anchor that are sorted as a group at most; beyond that their windows are dealt one by one.
-GROUP = 1 << 12
+GROUP = 1 << 10
 #: Windows whose digests a task looks at together before they are dealt.
 _DIGESTS = 1 << 16
 _INDEX = 24
@@ -100,7 +100,7 @@ def _places(docs: DataFrame, min_bytes: int) -> DataFrame:
     a batch one gives segments; those in other batches give the same ones again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in map(_without_copies, batches):
+        for batch in map(_without_copies, arrow_batches(batches)):
             ids, u = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             order = np.empty(len(ids), np.int64)
             order[sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, u[i]))] = np.arange(len(ids))
@@ -248,7 +248,7 @@ def _decided(parts: DataFrame, min_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size, last, window = 0, None, None
-        for batch in batches:
+        for batch in arrow_batches(batches):
             n = batch.column(5).to_numpy()
             if n.any():
                 yield settle(batch, window)
@@ -288,8 +288,10 @@ def mark_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     A byte is removed if a string of min_bytes that covers it also starts earlier: in a smaller doc_id, or earlier in the same
     document. Strings are those of the input. Null texts are empty. A null doc_id comes before all others. Rows with one
     doc_id and different texts are documents in the order of a hash of the text; identical rows are one document, each
-    of which gets the same spans. A column named spans is replaced.
+    of which gets the same spans. A column named spans is replaced. min_bytes is below 1 << SHIFT.
     """
+    if not 0 < min_bytes < 1 << SHIFT:
+        raise ValueError(f"min_bytes must be from 1 to {(1 << SHIFT) - 1}")
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     plain = plain.withColumnRenamed(f"c{names.index('doc_id')}", "id").withColumnRenamed(f"c{names.index('text')}", "text")
@@ -308,7 +310,7 @@ def mark_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     id_type = plain.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in map(_without_copies, batches):
+        for batch in map(_without_copies, arrow_batches(batches)):
             rows: list[np.ndarray] = []
             starts: list[np.ndarray] = []
             digests: list[bytes] = []
@@ -341,7 +343,7 @@ def mark_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in arrow_batches(batches):
             spans = []
             for places in batch.columns[-1].to_pylist():
                 place = np.sort(np.array(places or [], np.int64))
@@ -373,7 +375,7 @@ def without_repeats(marked: DataFrame) -> DataFrame:
     spans_at = marked.columns.index("spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             columns = list(batch.columns)
             spans = columns[spans_at].to_pylist()
             columns[position] = pa.array([kept_bytes(t, s).decode("utf-8", "ignore") if s else t.decode() for t, s in zip(utf8(columns[position]), spans, strict=True)], pa.string())
@@ -387,7 +389,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             rows = []
             for text, spans in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 rows.append((len(text), sum(s["end"] - s["start"] for s in spans), len(spans), hashlib.sha256(kept_bytes(text, spans)).hexdigest()))
