@@ -8,6 +8,7 @@ length, which Spark computes in salted groups.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from claimlink.llm.shared import materialise
+from claimlink.llm.shared import arrow_batches, materialise
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks that one worker remembers, in each of two generations; longer chunks aren't remembered.
 CACHE, CACHED_CHARS, FEW = 350_000, 32, 10_000
+#: Pieces to a salt; ranks of one length are computed in as many groups as there are salts.
+SALTED = 250_000
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#()-]*)")
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
@@ -36,11 +39,17 @@ class ByteLevelEncoder:
 
     The pre-tokeniser never joins what stands on both sides of a space that follows and precedes a non-space, so texts are split
     at single spaces and the library sees each distinct chunk once. Texts with other white space after a space, or with the
-    string of a special token, are given to it whole.
+    string of a special token, are given to it whole; so are all texts where the file names another pre-tokeniser or a normaliser.
     """
 
+    #: Fixed value: the pre-tokeniser of which the above is true.
+    SPLITS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        stated = json.loads(self.tokenizer.to_str())
+        kind = stated["pre_tokenizer"] or {}
+        self.splits = stated["normalizer"] is None and stated["model"]["type"] == "BPE" and all(kind.get(k) == v for k, v in self.SPLITS.items())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
         self.shown = {ord(b): c for b, c in zip(map(chr, range(256)), map(self.byte_sign, range(256)), strict=True)}
@@ -55,6 +64,10 @@ class ByteLevelEncoder:
         shows = [*range(33, 127), *range(161, 173), *range(174, 256)]
         return chr(b if b in shows else 256 + sum(x not in shows for x in range(b)))
 
+    def forget(self) -> None:
+        """Workers outlive tasks, and other stages need the memory."""
+        self.new, self.old = {}, {}
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -90,7 +103,7 @@ class ByteLevelEncoder:
         return self.word(self.space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.shown)))
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if not self.splits or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
         found = list(map(self.new.get, rest))
@@ -127,7 +140,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, path: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in batches:
+        for batch in arrow_batches(batches):
             rows: list[list[int]] = [[] for _ in range(5)]
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = memoryview(encode(text or "") + tail)
@@ -135,6 +148,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, path: str) ->
                     for cell, value in zip(rows, (row, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), strict=True):
                         cell.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder(path).forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -182,11 +196,12 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def place(pieces: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
+def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces (length up to capacity, row: a unique long) with sequence_id and offset; pieces is read more than once."""
+    salts = max(64, pieces.count() // SALTED)
     whole = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long"))
     short = pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
-    counts = materialise(short.groupBy("length", "salt").count())  # at most capacity * salts rows
+    counts = materialise(short.groupBy("length", "salt").count())
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     places = plan(histogram, capacity)
     by_length: dict[int, list] = {}
