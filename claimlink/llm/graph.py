@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlink.llm.shared import materialise
+from claimlink.llm.shared import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,13 +15,13 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the longest path. Labels stay on the cluster; only a count is read.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("c"))
-    labels = materialise(labels)
-    while True:
+    step = materialise(both.groupBy(F.col("a").alias("node")).agg(F.first("a").alias("old"), F.least(F.min("b"), F.first("a")).alias("c")))
+    while not step.where("old <> c").isEmpty():
+        labels, before = step.select("node", "c"), step
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("c").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+        moved = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         of = labels.select(F.col("node").alias("n2"), F.col("c").alias("c2"))
-        step = materialise(step.join(of, step["c"] == of["n2"], "left").select("node", "old", F.least("c", "c2").alias("c")))
-        labels = step.select("node", "c")
-        if step.where("old <> c").isEmpty():
-            return labels.select("node", F.col("c").alias("component"))
+        step = materialise(moved.join(of, moved["c"] == of["n2"], "left").select("node", "old", F.least("c", "c2").alias("c")))
+        discard(before)
+    discard(both)
+    return step.select("node", F.col("c").alias("component"))

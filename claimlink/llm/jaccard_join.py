@@ -5,10 +5,10 @@ sketches differ in at most as many bits as the sets differ in shingles. Sets of
 most d shingles, hence agree in one of more than d blocks: that block's content is the key of an equi-join. Every pair that
 shares a key is compared with the exact sets, or cleared by the Hamming distance of its sketches, or already in one component.
 
-Which pairs are looked at: documents with equal sets are one node. Each key's first node leads it and is compared with all
-others of the key, which is linear in the key's size. Where that leaves the nodes of a leader's keys in several components, the
-pairs across components are compared by their sketches, in blocks within tasks, and those that the bound doesn't clear by
-their sets. No link is lost.
+Which pairs are looked at: documents with equal sets are one node. Each key's smallest node leads it and is compared with all
+others of the key, which is linear in the key's size; leaders come from an aggregate, so that a hot key is reduced before the
+shuffle. Where that leaves the nodes of a leader's keys in several components, the pairs across components are compared by their
+sketches, in blocks within tasks, and those that the bound doesn't clear by their sets. No link is lost.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimlink.llm.graph import components
-from claimlink.llm.shared import U64, materialise, mix, shingles, steps, utf8, words
+from claimlink.llm.shared import U64, arrow_batches, materialise, mix, shingles, steps, utf8, words
 
 #: Words of 64 bits in the sketch that is kept for comparing nodes; nodes of a key that are compared at once in a task.
-SKETCH_WORDS, MEMBERS = 32, 1024
+SKETCH_WORDS, MEMBERS = 32, 256
+#: Keys of more than two rows that are broadcast to their nodes; beyond that both sides are shuffled. Salts of a leader's members.
+BROADCAST_KEYS, SALTS = 200_000, 32
 #: Nodes that a task remembers, so that it gives out the keys of copies once.
 REMEMBERED = 1_000_000
 
@@ -55,20 +57,22 @@ class Bands:
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         """Join keys of one set: a hash of band, block and the block's content, the exclusive or of its shingles' hashes.
 
-        Empty blocks are left out: at most d blocks are touched, so a set with more than d filled blocks shares a filled one.
-        Sets with fewer also have keys for their empty blocks, which only such sets share.
+        Empty blocks are left out: at most d blocks are touched, so a set with more than d filled blocks shares a filled one with
+        any that it links to. Sets with fewer need to meet only each other beyond that, and do by their contents: two sets that
+        are similar enough share one of the first n - t * n + 1 of their hashes in ascending order.
         """
-        out = []
+        out, sparse = [], False
         for band in self.of(len(hashes)):
             n = self.blocks[band]
             block = ((hashes >> U64(20)) % U64(n)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             at, first = np.unique(block[order], return_index=True)
             content = np.bitwise_xor.reduceat(hashes[order], first)
-            place = mix(U64(band << 40) + at.astype(U64) + U64(1))
-            out.append(mix(content ^ place))
-            if len(at) <= self.apart[band]:
-                out.append(mix(mix(U64(band << 40) + np.setdiff1d(np.arange(n), at).astype(U64) + U64(1)) + U64(3)))
+            out.append(mix(content ^ mix(U64(band << 40) + at.astype(U64) + U64(1))))
+            sparse |= len(at) <= self.apart[band]
+        if sparse:
+            least = -(-len(hashes) * self.percent // 100)
+            out.append(mix(np.sort(hashes)[: len(hashes) - least + 1] + U64(3)))
         return np.concatenate(out)
 
 
@@ -91,7 +95,7 @@ def digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for batch in batches:
+        for batch in arrow_batches(batches):
             sizes, nodes, keys = [], [], []
             for found in shingle_sets(utf8(batch.column(1)), n):
                 node = set_hash(found) if len(found) else None
@@ -110,7 +114,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """node, hashes and sketch of the wanted (doc_id, node), one row for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             nodes, sets, sketches = [], [], []
             for node, found in zip(batch.column(0).to_pylist(), shingle_sets(utf8(batch.column(1)), n), strict=True):
                 if len(found) and set_hash(found) == node:  # else another text of the same doc_id
@@ -134,12 +138,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def open_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across components among the members (leader, node, c, n, sketch) of each leader that the sketches don't clear.
 
-    A leader's members are dealt into chunks, and each pair of chunks is one group: no group holds more than some thousands of rows.
+    A leader's members are dealt into chunks, and each pair of chunks is one group: no group holds more than 2 * MEMBERS rows or so.
     Two nodes whose smallest leader is the same meet with that one only.
     """
-    members = members.withColumn("home", F.min("leader").over(Window.partitionBy("node")))
+    home = members.groupBy("node").agg(F.min("leader").alias("home"))
+    members = members.join(home, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     sizes = members.groupBy("leader").count().select("leader", F.ceil(F.col("count") / MEMBERS).cast("int").alias("chunks"))
-    dealt = members.join(sizes, "leader").withColumn("x", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = members.join(sizes, ["leader", "salt"]).withColumn("x", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j")))
     spread = dealt.withColumn("p", F.explode(others)).select("leader", "home", "p.*", "x", "node", "c", "n", "sketch")
 
@@ -173,9 +179,13 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = materialise(digests(docs, n, percent))
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
 
-    first = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stars = rows.select("node", F.explode("keys").alias("key")).withColumn("leader", first).where("node <> leader")
-    pairs = materialise(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    keyed = rows.select("node", F.explode("keys").alias("key"))
+    shared = materialise(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("m")).where("leader <> last"))
+    many = shared.where("m > 2").select("key", "leader")
+    if many.count() <= BROADCAST_KEYS:
+        many = F.broadcast(many)
+    stars = keyed.join(many, "key").where("node <> leader").select("leader", "node").union(shared.where("m = 2").select("leader", "last"))
+    pairs = materialise(stars.toDF("a", "b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = rows.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = materialise(sets_of(docs, wanted, n))

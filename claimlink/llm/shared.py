@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,7 +36,21 @@ def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor costs nothing."""
     out = f"{shared_folder(df).rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+    back = df.sparkSession.read.schema(df.schema).parquet(out)
+    _FOLDERS[back] = out
+    return back
+
+
+#: The folder of each frame that materialise has given out.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of frames that materialise gave out, and that no frame in use is derived from."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(df))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
