@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlink.llm import factor_quality, jaccard_join, packing, quality_rules, repeats
-from claimlink.llm.shared import materialise
+from claimlink.llm.shared import discard, materialise
 
 #: Words that a document must have to stay, whatever the rules say. Short texts are left to the votes and to the classifier.
 MIN_WORDS = 1
@@ -53,6 +53,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
