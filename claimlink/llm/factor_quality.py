@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlink.llm.quality_rules import text_stats
-from claimlink.llm.shared import arrow_batches, steps, utf8
+from claimlink.llm.shared import arrow_batches, steps, text_rows, utf8
 
 BUCKETS, RANK = 1 << 16, 8
 #: Bin edges of each structure statistic; a text has one feature of value 1 for each.
@@ -134,7 +134,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores(utf8(batch.column(0)), machine), pa.float64())], names=[*keep, "score"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
-    return docs.select(docs[text].alias("_text"), *keep).mapInArrow(run, schema)
+    return text_rows(docs).select(docs[text].alias("_text"), *keep).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -146,7 +146,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
             yield batch.filter(pa.array(scores(utf8(batch.column(at)), machine) >= threshold))
 
     own = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])  # names may clash
-    return docs.toDF(*own.names).mapInArrow(run, own).toDF(*docs.columns)
+    return text_rows(docs).toDF(*own.names).mapInArrow(run, own).toDF(*docs.columns)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ most d shingles, hence agree in one of more than d blocks: that block's content
 shares a key is compared with the exact sets, or cleared by the Hamming distance of its sketches, or already in one component.
 
 Which pairs are looked at: documents with equal sets are one node. Each key's smallest node leads it and is compared with all
-others of the key, which is linear in the key's size; leaders come from an aggregate, so that a hot key is reduced before the
-shuffle. Where that leaves the nodes of a leader's keys in several components, the pairs across components are compared by their
+others of the key, which is linear in the key's size; the leaders of hot keys come from an aggregate and a broadcast, so that no
+task reads a hot key. Where that leaves the nodes of a leader's keys in several components, the pairs across components are compared by their
 sketches, in blocks within tasks, and those that the bound doesn't clear by their sets. No link is lost.
 """
 
@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimlink.llm.graph import components
-from claimlink.llm.shared import U64, arrow_batches, materialise, mix, shingles, steps, utf8, words
+from claimlink.llm.shared import U64, arrow_batches, materialise, mix, shingles, steps, text_rows, utf8, words
 
 #: Words of 64 bits in the sketch that is kept for comparing nodes; nodes of a key that are compared at once in a task.
 SKETCH_WORDS, MEMBERS = 32, 256
-#: Keys of more than two rows that are broadcast to their nodes; beyond that both sides are shuffled. Salts of a leader's members.
-BROADCAST_KEYS, SALTS = 200_000, 32
+#: Nodes whose ids are broadcast to the texts; beyond that both sides are shuffled. Salts of a leader's members.
+BROADCAST_NODES, SALTS = 200_000, 32
+#: Keys with about so many rows or more are hot. A bounded sketch finds them, so there are at most MOST_HOT.
+HOT, MOST_HOT = 20_000, 1_000
 #: Nodes that a task remembers, so that it gives out the keys of copies once.
 REMEMBERED = 1_000_000
 
@@ -107,7 +109,7 @@ def digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, keys array<long>")
+    return text_rows(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -124,10 +126,26 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["node", "hashes", "sketch"])
 
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
     return rows.mapInArrow(run, "node long, hashes array<long>, sketch binary").dropDuplicates(["node"])
 
 
+def stars(keyed: DataFrame) -> DataFrame:
+    """(a, b): for each key of keyed (node, key; read more than once) its smallest node, and each other node."""
+    top = keyed.agg(F.call_function("approx_top_k", "key", F.lit(MOST_HOT), F.lit(10 * MOST_HOT)).alias("t")).select(F.explode("t").alias("t")).where(F.col("t.count") >= HOT)
+    hot = [r["key"] for r in top.select(F.col("t.item").alias("key")).collect()]  # at most MOST_HOT
+    first = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if not hot:
+        return keyed.withColumn("leader", first).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    table = F.broadcast(keyed.sparkSession.createDataFrame([(k,) for k in hot], "key long"))
+    among = keyed.join(table, "key")
+    leaders = F.broadcast(among.groupBy("key").agg(F.min("node").alias("leader")))
+    led = keyed.join(table, "key", "left_anti").withColumn("leader", first).select("leader", "node").union(among.join(leaders, "key").select("leader", "node"))
+    return led.where("node <> leader").toDF("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
     left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in ("a", "b"))
@@ -179,15 +197,9 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = materialise(digests(docs, n, percent))
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
 
-    keyed = rows.select("node", F.explode("keys").alias("key"))
-    shared = materialise(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("m")).where("leader <> last"))
-    many = shared.where("m > 2").select("key", "leader")
-    if many.count() <= BROADCAST_KEYS:
-        many = F.broadcast(many)
-    stars = keyed.join(many, "key").where("node <> leader").select("leader", "node").union(shared.where("m = 2").select("leader", "last"))
-    pairs = materialise(stars.toDF("a", "b").distinct())
+    pairs = materialise(stars(rows.select("node", F.explode("keys").alias("key"))).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = rows.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = materialise(rows.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     sets = materialise(sets_of(docs, wanted, n))
 
     links = materialise(verified(pairs, sets, percent))

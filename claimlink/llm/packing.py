@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from claimlink.llm.shared import arrow_batches, materialise
+from claimlink.llm.shared import arrow_batches, materialise, text_rows
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks that one worker remembers, in each of two generations; longer chunks aren't remembered.
@@ -151,7 +151,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, path: str) ->
         encoder(path).forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return text_rows(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

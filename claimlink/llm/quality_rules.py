@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlink.llm.shared import U64, arrow_batches, materialise, mix, shingles, steps, utf8, words
+from claimlink.llm.shared import U64, arrow_batches, materialise, mix, shingles, steps, text_rows, utf8, words
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_lines", "n_pipes", "n_stutters", "n_odd_words")
 _WORD_LINE = re.compile(rb"[^\x20\x09-\x0D]")
@@ -124,7 +124,7 @@ def add_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *STATS, "pattern"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in (*STATS, "pattern"))])
-    return docs.select(F.col(text).alias("_t"), *keep).mapInArrow(run, schema)
+    return text_rows(docs).select(F.col(text).alias("_t"), *keep).mapInArrow(run, schema)
 
 
 def estimate(cast: np.ndarray, counts: np.ndarray, classes: tuple[str, ...] | None = None, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +183,7 @@ def keep_good(docs: DataFrame, threshold: float = 0.5, min_words: int = 50) -> D
             yield batch.filter(pa.array(np.concatenate(kept)))
 
     own = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])  # names may clash
-    return docs.toDF(*own.names).mapInArrow(run, own).toDF(*docs.columns)
+    return text_rows(docs).toDF(*own.names).mapInArrow(run, own).toDF(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from claimlink.llm.shared import STEP_BYTES, U64, Spans, arrow_batches, materialise, mix, steps, utf8
+from claimlink.llm.shared import STEP_BYTES, U64, Spans, arrow_batches, materialise, mix, steps, text_rows, utf8
 
 #: Bytes of an anchor, and by how many bytes a level extends prefixes; both at most the minimum length.
 ANCHOR, STRIDE = 30, 4
@@ -117,7 +117,7 @@ def _places(docs: DataFrame, min_bytes: int) -> DataFrame:
             anchor[again] = mix(mix(low[again].astype(U64)) + order[text[again]].astype(U64) + anchor[again])
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(place)], names=["anchor", "s", "id", "u", "place"])
 
-    return docs.select("id", "u", "text").mapInArrow(run, f"anchor long, s long, id {docs.schema['id'].dataType.simpleString()}, u int, place long")
+    return text_rows(docs).select("id", "u", "text").mapInArrow(run, f"anchor long, s long, id {docs.schema['id'].dataType.simpleString()}, u int, place long")
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,13 +282,14 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
     return left["id"].eqNullSafe(right["id"]) & (left["u"] == right["u"])
 
 
-def mark_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
+def mark_repeats(docs: DataFrame, min_bytes: int = 100, cut_out: bool = False) -> DataFrame:
     """The rows of docs (doc_id, text and any others) with spans: array<struct<start: int, end: int>>, the bytes of the UTF-8 text to remove.
 
     A byte is removed if a string of min_bytes that covers it also starts earlier: in a smaller doc_id, or earlier in the same
     document. Strings are those of the input. Null texts are empty. A null doc_id comes before all others. Rows with one
     doc_id and different texts are documents in the order of a hash of the text; identical rows are one document, each
-    of which gets the same spans. A column named spans is replaced. min_bytes is below 1 << SHIFT.
+    of which gets the same spans. A column named spans is replaced. min_bytes is below 1 << SHIFT. cut_out: the texts come without
+    their spans; a character of which a byte is removed is removed as a whole.
     """
     if not 0 < min_bytes < 1 << SHIFT:
         raise ValueError(f"min_bytes must be from 1 to {(1 << SHIFT) - 1}")
@@ -341,6 +342,8 @@ def mark_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
 
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
 
+    text_at = rows.columns.index("text")
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in arrow_batches(batches):
@@ -353,7 +356,10 @@ def mark_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
                 new[1:] = start[1:] > end[:-1]
                 last = np.append(new[1:], True)[: len(start)]
                 spans.append([{"start": s, "end": e} for s, e in zip(start[new].tolist(), end[last].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, kind)], names=[*batch.schema.names[:-1], "spans"])
+            columns = list(batch.columns[:-1])
+            if cut_out:
+                columns[text_at] = pa.array([without(t, s) for t, s in zip(utf8(columns[text_at]), spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[*batch.schema.names[:-1], "spans"])
 
     marked = rows.mapInArrow(merge, schema)
     back = {f"c{i}": n for i, n in enumerate(names)} | {"id": "doc_id"}
@@ -368,6 +374,10 @@ def kept_bytes(text: bytes, spans: list[dict]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def without(text: bytes, spans: list[dict]) -> str:
+    return kept_bytes(text, spans).decode("utf-8", "ignore") if spans else text.decode()
+
+
 def without_repeats(marked: DataFrame) -> DataFrame:
     """The columns of marked but spans, with text less its spans. A character of which a byte is removed is removed as a whole."""
     position = marked.columns.index("text")
@@ -378,7 +388,7 @@ def without_repeats(marked: DataFrame) -> DataFrame:
         for batch in arrow_batches(batches):
             columns = list(batch.columns)
             spans = columns[spans_at].to_pylist()
-            columns[position] = pa.array([kept_bytes(t, s).decode("utf-8", "ignore") if s else t.decode() for t, s in zip(utf8(columns[position]), spans, strict=True)], pa.string())
+            columns[position] = pa.array([without(t, s) for t, s in zip(utf8(columns[position]), spans, strict=True)], pa.string())
             del columns[spans_at]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

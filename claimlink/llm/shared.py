@@ -53,6 +53,16 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch that goes to Python.
+BATCH_ROWS = 2_000
+
+
+def text_rows(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded: rows hold whole texts, and both sides keep a batch in memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def arrow_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches of a task. After the last one the worker, which lives on for other tasks, gives back the memory that Arrow holds."""
     yield from batches

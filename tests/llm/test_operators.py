@@ -91,6 +91,20 @@ def test_op1_hot_group_is_split(docs, rows, monkeypatch):
     assert {tuple(r) for r in jaccard_join.link_documents(docs, 3, 70).collect()} == brute_components(rows, 3, 70)
 
 
+def test_op1_hot_keys_are_aggregated(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_NODES", 0)
+    assert {tuple(r) for r in jaccard_join.link_documents(docs, 2, 60).collect()} == brute_components(rows, 2, 60)
+
+
+def test_op1_sparse_sets_meet_by_content():
+    rng = np.random.default_rng(2)
+    bands = jaccard_join.Bands(80)
+    sets = [np.unique(rng.integers(0, 1 << 63, 11).astype(np.uint64)) for _ in range(3000)]
+    keys = collections.Counter(k for s in sets for k in np.unique(bands.keys(s)).tolist())
+    assert max(keys.values()) < 5  # sets without anything in common don't share keys
+
+
 def test_op1_bands_share_a_key():
     rng = np.random.default_rng(1)
     bands = jaccard_join.Bands(85)
@@ -510,6 +524,12 @@ def test_op8_null_ids_and_identical_rows(spark):
     assert repeats.mark_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_op8_cutting_at_once(docs):
+    marked = repeats.mark_repeats(docs, 40)
+    at_once = repeats.mark_repeats(docs, 40, cut_out=True).drop("spans")
+    assert sorted(map(tuple, repeats.without_repeats(marked).collect())) == sorted(map(tuple, at_once.collect()))
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_op8_identical_rows_are_one_document(spark, rows, parts):
     odd = "".join(chr(97 + zlib.crc32(b"%d" % i) % 26) for i in range(400))
