@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes or more that have occurred before go; n_chars is that of the text that is left."""
     names = docs.columns
-    left = repeats.without_repeats(repeats.mark_repeats(docs))
+    left = repeats.mark_repeats(docs, cut_out=True)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*names)
 
 
