@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimlink.llm.graph import components
-from claimlink.llm.shared import U64, arrow_batches, materialise, mix, shingles, steps, text_rows, utf8, words
+from claimlink.llm.shared import U64, arrow_batches, discard, materialise, mix, shingles, steps, text_rows, utf8, words
 
 #: Words of 64 bits in the sketch that is kept for comparing nodes; nodes of a key that are compared at once in a task.
 SKETCH_WORDS, MEMBERS = 32, 256
@@ -123,13 +123,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     bits = np.bincount((found >> U64(53)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
                     nodes.append(node)
                     sets.append(found.view(np.int64))
-                    sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["node", "hashes", "sketch"])
+                    sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["node", "hashes", "sketch"])
 
     if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    return rows.mapInArrow(run, "node long, hashes array<long>, sketch binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, hashes array<long>, sketch array<long>").dropDuplicates(["node"])
 
 
 def stars(keyed: DataFrame) -> DataFrame:
@@ -146,6 +146,15 @@ def stars(keyed: DataFrame) -> DataFrame:
     return led.where("node <> leader").toDF("a", "b")
 
 
+def not_cleared(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches (node, n, sketch) differ in no more bits than similar sets' do in shingles."""
+    left, right = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    most = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    met = pairs.join(left, "a").join(right, "b").where(F.abs(F.col("na") - F.col("nb")) <= most)
+    return met.where(apart <= most).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
     left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in ("a", "b"))
@@ -153,23 +162,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
-def open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components among the members (leader, node, c, n, sketch) of each leader that the sketches don't clear.
+def open_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components among the members (leader, node, c) of each leader that the sketches (node, n, sketch) don't clear.
 
     A leader's members are dealt into chunks, and each pair of chunks is one group: no group holds more than 2 * MEMBERS rows or so.
     Two nodes whose smallest leader is the same meet with that one only.
     """
     home = members.groupBy("node").agg(F.min("leader").alias("home"))
-    members = members.join(home, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    sizes = members.groupBy("leader").count().select("leader", F.ceil(F.col("count") / MEMBERS).cast("int").alias("chunks"))
-    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = members.join(sizes, ["leader", "salt"]).withColumn("x", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
+    split = members.groupBy("leader").agg(F.count("*").alias("m"), F.min("c").alias("l"), F.max("c").alias("h")).where("m > 2 AND l <> h")
+    split = split.select("leader", F.ceil(F.col("m") / MEMBERS).cast("int").alias("chunks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(split, ["leader", "salt"])
+    dealt = dealt.join(home, "node").join(sketches, "node").withColumn("x", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j")))
     spread = dealt.withColumn("p", F.explode(others)).select("leader", "home", "p.*", "x", "node", "c", "n", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
         x, i, node, c, n, home, leader = (group.column(k).to_numpy() for k in ("x", "i", "node", "c", "n", "home", "leader"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+        sketch = group.column("sketch").combine_chunks().flatten().to_numpy().view(U64).reshape(-1, SKETCH_WORDS)
         left, right = np.flatnonzero(x == i), np.flatnonzero(x == group.column("j").to_numpy())
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in left:
@@ -202,23 +211,22 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     wanted = materialise(rows.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     sets = materialise(sets_of(docs, wanted, n))
 
-    links = materialise(verified(pairs, sets, percent))
+    sketches = sets.select("node", F.size("hashes").alias("n"), "sketch")
+    links = materialise(verified(not_cleared(pairs, sketches, percent), sets, percent))
     labels = components(links)
     members = pairs.select(F.col("a").alias("leader"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = members.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    split = members.groupBy("leader").agg(F.count("*").alias("m"), F.min("c").alias("l"), F.max("c").alias("h")).where("m > 2 AND l <> h").select("leader")
-    sketches = sets.select("node", F.size("hashes").alias("n"), "sketch")
-    left = open_pairs(members.join(split, "leader", "left_semi").select("leader", "node", "c").join(sketches, "node"), percent)
-    left = materialise(left.join(pairs, ["a", "b"], "left_anti"))
-    if not left.isEmpty():
-        more = materialise(verified(left, sets, percent))
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    members = members.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).select("leader", "node", "c")
+    left = materialise(open_pairs(members, sketches, percent).join(pairs, ["a", "b"], "left_anti"))
+    more = materialise(verified(left, sets, percent))
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     named = nodes.join(labels, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
     smallest = named.groupBy("c").agg(F.min("id").alias("component_id"))
     of = named.join(smallest, "c").select("node", "component_id")
-    return rows.select("doc_id", "n_shingles", "node").join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = materialise(rows.select("doc_id", "n_shingles", "node").join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    discard(rows, pairs, wanted, sets, links, left, more)
+    return found
 
 
 def first_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
