@@ -27,8 +27,8 @@ from claimlink.llm.shared import U64, arrow_batches, discard, materialise, mix,
 
 #: Words of 64 bits in the sketch that is kept for comparing nodes; nodes of a key that are compared at once in a task.
 SKETCH_WORDS, MEMBERS = 32, 256
-#: Nodes whose ids are broadcast to the texts; beyond that both sides are shuffled. Salts of a leader's members.
-BROADCAST_NODES, SALTS = 200_000, 32
+#: Salts of a leader's members.
+SALTS = 32
 #: Keys with about so many rows or more are hot. A bounded sketch finds them, so there are at most MOST_HOT.
 HOT, MOST_HOT = 20_000, 1_000
 #: Nodes that a task remembers, so that it gives out the keys of copies once.
@@ -126,8 +126,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["node", "hashes", "sketch"])
 
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
     return rows.mapInArrow(run, "node long, hashes array<long>, sketch array<long>").dropDuplicates(["node"])
 

@@ -93,7 +93,6 @@ def test_op1_hot_group_is_split(docs, rows, monkeypatch):
 
 def test_op1_hot_keys_are_aggregated(docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HOT", 3)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_NODES", 0)
     assert {tuple(r) for r in jaccard_join.link_documents(docs, 2, 60).collect()} == brute_components(rows, 2, 60)
 
 
