@@ -16,16 +16,15 @@ SCALE_ALIASES = {
     "lakh": ("lakhs", "lacs", "lac"),
     "thousand": ("k", "thousands", "000s"),
 }
-UNIT_ALIASES = {
-    "INR": ("rs", "rs.", "₹", "inr", "rupees", "indian rupees", "rupee"),
-    "USD": ("$", "us$", "usd", "us dollars", "dollars", "dollar"),
-    "%": ("percent", "per cent", "percentage", "pct", "%"),
-    "pp": ("percentage points", "pp"),
-    "bps": ("bps", "basis points"),
-    "count": ("number", "nos", "nos.", "units", "no."),
-    "persons": ("people", "employees", "persons"),
-    "x": ("x", "times"),
-}
+UNITS = {
+    "rs": "INR", "rs.": "INR", "₹": "INR", "inr": "INR", "rupees": "INR", "indian rupees": "INR", "rupee": "INR",
+    "$": "USD", "us$": "USD", "usd": "USD", "us dollars": "USD", "dollars": "USD", "dollar": "USD",
+    "percent": "%", "per cent": "%", "percentage": "%", "pct": "%", "%": "%",
+    "percentage points": "pp", "pp": "pp", "bps": "bps", "basis points": "bps",
+    "number": "count", "nos": "count", "nos.": "count", "units": "count", "no.": "count",
+    "people": "persons", "employees": "persons", "persons": "persons",
+    "x": "x", "times": "x",
+}
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 STOP_WORDS = ("the", "of", "for", "in", "as", "at", "on", "and", "to", "a", "an", "total")
 
@@ -37,7 +36,7 @@ def _table(pairs: dict) -> Column:
 def unit_norm(unit: Column) -> Column:
     """The canonical unit; an unknown one as it is but for white space."""
     plain = strip(blank_if_null(unit))
-    return F.coalesce(F.try_element_at(_table({a: u for u, aliases in UNIT_ALIASES.items() for a in aliases}), F.lower(plain)), plain)
+    return F.coalesce(F.try_element_at(_table(UNITS), F.lower(plain)), plain)
 
 
 def scale_norm(scale: Column) -> Column:
@@ -66,8 +65,8 @@ def fiscal_start_month(convention: Column) -> Column:
     return F.when(calendar & ~april, 1).when(july & june, 7).when(october & september, 10).otherwise(4)
 
 
-_DAY_FIRST = r"\b(\d{1,2})\s*(?:st|nd|rd|th)?\s+([A-Za-z]+),?\s+(20\d{2})\b"
-_MONTH_FIRST = r"\b([A-Za-z]+)\s+(\d{1,2}),?\s+(20\d{2})\b"
+# How dates and years are written.
+_DATE = r"\b(\d{1,2})\s*(?:st|nd|rd|th)?\s+([A-Za-z]+),?\s+(20\d{2})\b|\b([A-Za-z]+)\s+(\d{1,2}),?\s+(20\d{2})\b"
 _FISCAL = r"(?i)\bFY\s*'?(\d{2,4})(?:\s*[-/]\s*(\d{2,4}))?\b"
 _SPAN = r"\b(20\d{2})\s*[-/]\s*(\d{2,4})\b"
 
@@ -82,7 +81,7 @@ def _whole(text: Column) -> Column:
 
 def _read(text: Column) -> Column:
     """What the patterns find in a label."""
-    dates = _groups(text, f"{_DAY_FIRST}|{_MONTH_FIRST}", day=1, month=2, year=3, month2=4, day2=5, year2=6)
+    dates = _groups(text, _DATE, day=1, month=2, year=3, month2=4, day2=5, year2=6)
     fiscal = F.regexp_like(text, F.lit(_FISCAL))
     years = [F.when(fiscal, F.regexp_extract(text, _FISCAL, g)).otherwise(F.regexp_extract(text, _SPAN, g)).alias(n) for n, g in (("of", 1), ("to", 2))]
     alone = _groups(text, rf"\A[{SPACE}]*(20\d{{2}})[{SPACE}]*\z", alone=1)

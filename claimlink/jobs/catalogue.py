@@ -124,7 +124,8 @@ def _grounded(spark: SparkSession, sf_dir: str, tiers: str) -> DataFrame:
 def ground_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheap tiers on English documents, whose letters both engines fold alike."""
     english = t.table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("doc_id"))
-    return _grounded(spark, sf_dir, "exact").join(english, "doc_id", "left_semi").select("fact_id", "page", "grounding", "grounding_score")
+    quotes, pages = (f(spark, sf_dir).join(english, "doc_id", "left_semi") for f in (t.quotes, t.pages))
+    return ground.ground(quotes, pages, "exact").select("fact_id", "page", "grounding", "grounding_score")
 
 
 @query()
@@ -291,6 +292,23 @@ def link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.link_stats(rows.drop("fact_id"), ranked, link.not_judged(ranked, t.relations(spark, sf_dir)), judged)
 
 
+@query(_JUDGED_SQL + ", det AS (SELECT DISTINCT least(fact_id, other_id) AS fact_a, greatest(fact_id, other_id) AS fact_b FROM judged WHERE settled), old AS (SELECT fact_a, fact_b, type, method FROM relations) SELECT * FROM old UNION ALL SELECT d.fact_a, d.fact_b, 'corroborates', 'deterministic' FROM det d ANTI JOIN old r ON r.fact_a = d.fact_a AND r.fact_b = d.fact_b")
+def link_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates, less those that are judged, settled by arithmetic where it can, and the relation table after that."""
+    current = t.relations(spark, sf_dir).select("fact_a", "fact_b", "type", "method")
+    return link.link_run(_ranked(spark, sf_dir), t.facts(spark, sf_dir).drop("embedding", "fact_id"), current, tolerance=0.5)[0]
+
+
+@query("WITH " + t.LAYER_SQL + " SELECT id, subject || ' | ' || attribute AS label FROM facts")
+def embedding_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.facts(spark, sf_dir).select("id", link.fact_text(F.col("subject"), F.col("attribute")).alias("label"))
+
+
+@query("WITH " + t.LAYER_SQL + " SELECT doc_id, title || ' · report · published ' || publication_date AS label FROM docs")
+def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.documents(spark, sf_dir).select("doc_id", requests.doc_label(F.col("title"), F.col("filename"), F.lit("report"), F.col("publication_date")).alias("label"))
+
+
 @query()
 def judge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.judge_batches(_judged(spark, sf_dir))
@@ -322,7 +340,10 @@ def validate_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.validate_relations(read, t.facts(spark, sf_dir).select(batch("id").alias("batch_id"), "fact_id", "doc_id")).select("fact_a", "fact_b", "type")
 
 
-@query()
+@query("WITH " + t.LAYER_SQL + """ SELECT id, '- id=' || id || ' | doc=' || doc_id || ' | page ' || page_no || chr(10) || '  subject: ' || subject || ' | attribute: ' || attribute || ' | value: '
+|| CASE WHEN kind = 'numeric' THEN trim(value_text || ' ' || unit || ' ' || CASE scale WHEN 'none' THEN '' ELSE scale END) ELSE value_text END || ' | period: ' || CASE WHEN period_label = '' THEN '-' ELSE period_label END
+|| CASE WHEN period_start = '' THEN '' ELSE ' (' || period_start || '..' || period_end || ')' END || ' | basis: ' || CASE WHEN basis = '' THEN '-' ELSE basis END || ' | scope: ' || CASE WHEN scope = '' THEN '-' ELSE scope END
+|| chr(10) || '  quote: "' || left(quote, 300) || '"' AS line FROM facts""")
 def judgement_fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.facts(spark, sf_dir).select("id", requests.fact_line(F.col("doc_id")).alias("line"))
 

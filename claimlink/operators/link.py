@@ -77,13 +77,13 @@ def similarity_candidates(facts: DataFrame, threshold: float = SIMILARITY, neigh
     return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= neighbours).select("fact_id", "other_id", "sim")
 
 
-def key_candidates(facts: DataFrame, mode: str = "relink", most: int = CANDIDATES, salts: int = 16) -> DataFrame:
+def key_candidates(facts: DataFrame, mode: str = "relink", most: int = CANDIDATES, salts: int = 16, asking: DataFrame | None = None) -> DataFrame:
     """(fact_id, other_id, sim): for each fact the nearest facts of other documents with the same attribute key and kind.
 
     The candidate side of a key is dealt to salts, to each of which a fact goes once, so that a hot key is spread; per salt only the
-    best most are kept, which hold the best of all.
+    best most are kept, which hold the best of all. asking: the facts that look for candidates; by default all.
     """
-    side = lambda p: facts.select(F.col("fact_id").alias(f"{p}_id"), F.col("doc_id").alias(f"{p}_doc"), F.col("doc_seq").alias(f"{p}_seq"), "attribute_key", "kind", F.col("embedding").alias(f"{p}_v"))
+    side = lambda p: (asking if p == "a" and asking is not None else facts).select(F.col("fact_id").alias(f"{p}_id"), F.col("doc_id").alias(f"{p}_doc"), F.col("doc_seq").alias(f"{p}_seq"), "attribute_key", "kind", F.col("embedding").alias(f"{p}_v"))
     left = side("a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     right = side("b").withColumn("salt", F.pmod(F.xxhash64("b_id"), F.lit(salts)).cast("int"))
     pairs = left.join(right, ["attribute_key", "kind", "salt"]).where(_older(mode))
@@ -150,6 +150,25 @@ def numeric_matches(facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame
     return pairs.select(F.col("a.id").alias("fact_a"), F.col("b.id").alias("fact_b"), gap("a", "b").alias("delta"), verdict().alias("reasoning"))
 
 
+def matches_of_new(new: DataFrame, known: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(fact_a, fact_b, delta): pairs of a new fact and a known one of another document whose values agree. Only new facts are on
+    the left side, so that what is known isn't compared with itself again."""
+    key = ["attribute_key", "unit", "period_start", "period_end", "scope_key"]
+
+    def side(facts: DataFrame, p: str) -> DataFrame:
+        rows = facts.where("kind = 'numeric' AND value_norm IS NOT NULL AND coalesce(period_start, '') <> '' AND coalesce(period_end, '') <> ''")
+        rows = rows.withColumn("unit", F.coalesce("unit", F.lit(""))).withColumn("scope_key", F.lower(F.coalesce("scope", F.lit(""))))
+        return rows.select(*key, F.struct(*rows.columns).alias(p))
+
+    pairs = side(new, "a").join(side(known, "b"), key).where("a.doc_id <> b.doc_id").where(agree("a", "b", tolerance))
+    return pairs.select(F.least("a.id", "b.id").alias("fact_a"), F.greatest("a.id", "b.id").alias("fact_b"), gap("a", "b").alias("delta")).dropDuplicates(["fact_a", "fact_b"])
+
+
+def fact_text(subject: Column, attribute: Column) -> Column:
+    """What the sentence encoder sees of a fact."""
+    return F.concat_ws(" | ", subject, attribute)
+
+
 def judge_numeric(candidates: DataFrame, facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """candidates with structs a and b and settled: whether arithmetic decides the pair."""
     side = lambda p, c: facts.select(F.col("id").alias(c), F.struct(*facts.columns).alias(p))
@@ -164,6 +183,14 @@ def deterministic_relations(judged: DataFrame) -> DataFrame:
     ).dropDuplicates(["fact_a", "fact_b"])
 
 
+def link_run(ranked: DataFrame, facts: DataFrame, relations: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """The relation table after a run over ranked candidates, and the pairs that arithmetic leaves to the judge: pairs that have a
+    relation are passed over, those that arithmetic settles are added."""
+    judged = judge_numeric(not_judged(ranked, relations), facts, tolerance)
+    settled = deterministic_relations(judged).select(*relations.columns)  # none of these pairs has a relation yet
+    return relations.unionByName(settled), judged.where("NOT settled")
+
+
 def judge_batches(judged: DataFrame, limit: int = 40) -> DataFrame:
     """(doc_id, batch, fact_id, size): undecided pairs as groups of a fact and its candidates, packed into requests."""
     first = judged.where("NOT settled").withColumn("pair", F.struct(F.least("fact_id", "other_id"), F.greatest("fact_id", "other_id")))

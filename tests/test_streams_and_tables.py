@@ -63,3 +63,32 @@ def test_writing_facts_deleting_and_exporting(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/json/pages").first()["pages"]["1"] == "t"
     tables.append_calls(layer["relations"], f"{tmp_path}/calls")
     assert spark.read.parquet(f"{tmp_path}/calls").count() == 2
+
+
+def test_a_document_in_several_files_gives_each_fact_once(spark, tmp_path):
+    rows = [[("a", 1, "Revenue rose to 8,142 in the year, costs fell.")], [("a", 2, "The outlook for the group is good."), ("b", 1, "The profit of the group was 127 in total.")], [("a", 1, "Revenue rose to 8,142 in the year, costs fell.")]]
+    for part in rows:
+        spark.createDataFrame(part, schemas.PAGES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    facts = spark.createDataFrame(
+        [("a1", "a", 1, "REVENUE ROSE TO 8,142"), ("a2", "a", 2, "outlook for the group"), ("b1", "b", 1, "profit of the group")], "fact_id string, doc_id string, page int, quote string"
+    ).selectExpr("*", "page AS page_start", "page AS page_end", "'statement' AS kind", "CAST(NULL AS DOUBLE) AS value_num", "1.0D AS confidence", "CAST(array() AS array<string>) AS flags")
+    ingest.stream_ground(spark, ingest.page_stream(spark, f"{tmp_path}/in", schemas.PAGES), facts, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = ingest.latest(spark, f"{tmp_path}/out").select("fact_id", "grounding", "page")
+    assert sorted(map(tuple, got.collect())) == [("a1", "exact", 1), ("a2", "exact", 2), ("b1", "exact", 1)]
+
+
+def test_ingest_stream_equals_batch(spark, sf_dir, tmp_path):
+    from claimlink.jobs import adapters
+    from claimlink.operators.facts import finalize_facts
+
+    raw, documents = adapters.raw_numbers(spark, sf_dir).where("scope IN ('Nation 1', 'Nation 2')"), adapters.publishers(spark, sf_dir)
+    for doc in ("A1", "B1", "A2", "B2"):
+        for page in (1, 2):
+            spark.createDataFrame([(doc, page, f"Page {page} of {doc}")], schemas.PAGES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: ingest.stream_ingest(spark, ingest.page_stream(spark, f"{tmp_path}/in", schemas.PAGES), raw, documents, f"{tmp_path}/t", f"{tmp_path}/check", "exact").awaitTermination()
+    run()
+    run()  # nothing new: nothing is done twice
+    made = finalize_facts(raw, documents)
+    assert sorted(r.id for r in ingest.latest(spark, f"{tmp_path}/t/facts").select("id").collect()) == sorted(r.id for r in made.select("id").collect())
+    pairs = lambda df: {(r.fact_a, r.fact_b) for r in df.select("fact_a", "fact_b").collect()}
+    assert pairs(spark.read.parquet(f"{tmp_path}/t/relations")) == pairs(link.numeric_matches(made)) != set()
