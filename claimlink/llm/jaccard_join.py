@@ -9,6 +9,9 @@ Which pairs are looked at: documents with equal sets are one node. Each key's sm
 others of the key, which is linear in the key's size; the leaders of hot keys come from an aggregate and a broadcast, so that no
 task reads a hot key. Where that leaves the nodes of a leader's keys in several components, the pairs across components are compared by their
 sketches, in blocks within tasks, and those that the bound doesn't clear by their sets. No link is lost.
+
+Sketches come with the keys, from the one pass that reads all texts; only texts in pairs that aren't cleared are fetched for
+their exact sets. Joins of pairs have a merge hint: with the nodes' number, both sides outgrow any broadcast.
 """
 
 from __future__ import annotations
@@ -91,43 +94,55 @@ def set_hash(hashes: np.ndarray) -> int:
     return int(mix(total + U64(len(hashes))).view(np.int64)[0])
 
 
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    bits = np.bincount((hashes >> U64(53)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (the set's hash; null if it is empty) and keys, which are null for copies that the task has met."""
+    """doc_id, n_shingles, node (the set's hash; null if it is empty), keys and sketch; the last two are null for copies that the task has met."""
     bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in arrow_batches(batches):
-            sizes, nodes, keys = [], [], []
+            sizes, nodes, keys, sketches = [], [], [], []
             for found in shingle_sets(utf8(batch.column(1)), n):
                 node = set_hash(found) if len(found) else None
                 sizes.append(len(found))
                 nodes.append(node)
-                keys.append(None if node is None or node in met else bands.keys(found).view(np.int64))
+                new = node is not None and node not in met
+                keys.append(bands.keys(found).view(np.int64) if new else None)
+                sketches.append(sketch_of(found) if new else None)
                 if node is not None and len(met) < REMEMBERED:
                     met.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "keys"])
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (keys, sketches))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "n_shingles", "node", "keys", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return text_rows(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, keys array<long>")
+    return text_rows(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, keys array<long>, sketch array<long>")
+
+
+def owners(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and doc_id, the smallest of those that have its set, of each node in the pairs (a, b); rows are as digests gives them."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return rows.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, hashes and sketch of the wanted (doc_id, node), one row for each node."""
+    """node and hashes of the wanted (doc_id, node), one row for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):
-            nodes, sets, sketches = [], [], []
+            nodes, sets = [], []
             for node, found in zip(batch.column(0).to_pylist(), shingle_sets(utf8(batch.column(1)), n), strict=True):
                 if len(found) and set_hash(found) == node:  # else another text of the same doc_id
-                    bits = np.bincount((found >> U64(53)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
                     nodes.append(node)
                     sets.append(found.view(np.int64))
-                    sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["node", "hashes", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    return rows.mapInArrow(run, "node long, hashes array<long>, sketch array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
 def stars(keyed: DataFrame) -> DataFrame:
@@ -149,7 +164,7 @@ def not_cleared(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     left, right = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b"))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     most = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    met = pairs.join(left, "a").join(right, "b").where(F.abs(F.col("na") - F.col("nb")) <= most)
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.abs(F.col("na") - F.col("nb")) <= most)
     return met.where(apart <= most).select("a", "b")
 
 
@@ -157,7 +172,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
     left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
 def open_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -205,25 +220,28 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
 
     pairs = materialise(stars(rows.select("node", F.explode("keys").alias("key"))).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(rows.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    sets = materialise(sets_of(docs, wanted, n))
-
-    sketches = sets.select("node", F.size("hashes").alias("n"), "sketch")
-    links = materialise(verified(not_cleared(pairs, sketches, percent), sets, percent))
+    sketches = materialise(rows.where("keys IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    near = materialise(not_cleared(pairs, sketches, percent))
+    wanted = materialise(owners(rows, near))
+    sets = materialise(sets_of(docs, wanted.hint("merge"), n))
+    links = materialise(verified(near, sets, percent))
     labels = components(links)
     members = pairs.select(F.col("a").alias("leader"), F.explode(F.array("a", "b")).alias("node")).distinct()
     members = members.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).select("leader", "node", "c")
     left = materialise(open_pairs(members, sketches, percent).join(pairs, ["a", "b"], "left_anti"))
-    more = materialise(verified(left, sets, percent))
-    if not more.isEmpty():
+    spent = [rows, pairs, sketches, near, wanted, sets, links, left]
+    if not left.isEmpty():
+        others = materialise(owners(rows, left).join(sets.select("node"), "node", "left_anti"))
+        rest = materialise(sets_of(docs, others, n))  # most of them are known; Spark broadcasts the others if they are few
+        more = materialise(verified(left, sets.union(rest), percent))
         labels = components(links.union(more))
+        spent += [others, rest, more]
 
     named = nodes.join(labels, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
     smallest = named.groupBy("c").agg(F.min("id").alias("component_id"))
     of = named.join(smallest, "c").select("node", "component_id")
     found = materialise(rows.select("doc_id", "n_shingles", "node").join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
-    discard(rows, pairs, wanted, sets, links, left, more)
+    discard(*spent)
     return found
 
 
