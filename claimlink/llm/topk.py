@@ -32,7 +32,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+def matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of lists as one matrix; shorter rows count as ended by zeros."""
     flat, offsets = np.asarray(column.flatten()), np.asarray(column.offsets) - column.offsets[0].as_py()
     size = np.diff(offsets)
@@ -47,7 +47,7 @@ def _scores(queries: pa.Table, candidates: pa.Table) -> Iterator[tuple[int, np.n
     """For each query row: its number, the candidates' ids and scores, without rows that have the query's id."""
     q, c = (t.column("v").combine_chunks() for t in (queries, candidates))
     width = max(max(x.value_lengths().to_numpy(zero_copy_only=False).max() for x in (q, c)), 1)
-    a, b = _matrix(q, width), _matrix(c, width)
+    a, b = matrix(q, width), matrix(c, width)
     ids, own = candidates.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * width
     exact = np.float64 if top < 2**53 else np.int64  # both are exact there; floats are faster
