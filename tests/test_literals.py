@@ -65,11 +65,23 @@ def test_offsets_are_code_points(spark):
     assert got == [(99.0, 2, 11), (99.0, 2, 6), None, (100.0, 6, 29)]
 
 
+def _common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
 def _brute(quote, page, least=85.0):
+    if len(quote) > len(page):
+        found = _brute(page, quote, least)
+        return found and (found[0], 0, len(page))
     best = None
     for s in range(-len(quote) + 1, len(page)):
         a, b = max(0, s), min(len(page), s + len(quote))
-        score = 200.0 * helpers.common_subsequence(quote, page[a:b]) / (len(quote) + b - a)
+        score = 200.0 * _common(quote, page[a:b]) / (len(quote) + b - a)
         if score >= least and (best is None or score > best[0]):
             best = (score, a, b)
     return best
@@ -90,6 +102,50 @@ def test_alignment_agrees_with_brute_force():
     assert helpers.align("", "x") is None and helpers.align("x", "") is None
 
 
+def test_alignment_of_any_lengths_agrees_with_brute_force():
+    import random
+
+    rng, hits = random.Random(4), 0
+    for _ in range(70):
+        letters = rng.choice(["abcd ef", "abcdefghijklmnop qrstuvwxyz", "aé😀 b"])
+        page = "".join(rng.choices(letters, k=rng.randint(1, 170)))
+        at = rng.randrange(len(page))
+        quote = "".join(rng.choice([c] * 20 + ["", "x", c + "y"]) for c in page[at : at + rng.randint(1, 140)]) or "a"
+        quote += "".join(rng.choices(letters, k=rng.choice([0, 0, 0, 90])))
+        expected = _brute(quote, page)
+        hits += expected is not None
+        assert helpers.align(quote, page) == expected == helpers.align(quote, helpers.Page(page))
+    assert hits > 15
+
+
+def _densest(quote, page):
+    """Tries every run of the tokens' first places, from each of them on."""
+    tokens = helpers._TOKEN.findall(quote)
+    spots = sorted((page.lower().find(t.lower()), len(t)) for t in tokens if t.lower() in page.lower())
+    needed = max(2, int(0.8 * len(tokens)))
+    if len(tokens) < 2 or any(t[0].isdigit() and t.lower() not in page.lower() for t in tokens):
+        return None
+    best = None
+    for i in range(len(spots)):
+        for j in range(i, len(spots)):
+            if all(p + n - spots[i][0] <= 800 for p, n in spots[i + 1 : j + 1]) and j + 1 - i >= needed and (best is None or j + 1 - i > best[0]):
+                best = (j + 1 - i, spots[i][0], sum(spots[j]))
+    return best and (100.0 * best[0] / len(tokens), *best[1:])
+
+
+def test_token_windows_agree_with_brute_force():
+    import random
+
+    rng, known = random.Random(5), ["alpha", "beta", "12", "1,234", "gamma", "delta9", "x" * 900, "İlk", "word", "7"]
+    pairs = [("", ""), ("alpha beta", ""), ("a", "a"), ("word word", "Word")]
+    for _ in range(400):
+        page = " ".join(rng.choice([*known, "zz" * rng.randint(0, 40)]) for _ in range(rng.randint(1, 200)))
+        pairs.append((" ".join(rng.choices(known, weights=[5, 5, 5, 5, 5, 5, 0.3, 1, 5, 5], k=rng.randint(1, 12))), page))
+    expected = [_densest(*p) for p in pairs]
+    assert helpers.token_windows(pairs) == expected == [helpers.token_window(*p) for p in pairs]
+    assert sum(x is not None for x in expected) > 50
+
+
 def _ground(spark, facts, pages, tiers="all"):
     rows = spark.createDataFrame(facts, FACT)
     texts = spark.createDataFrame([("d", i, t) for i, t in enumerate(pages, 1)], "doc_id string, page_no int, text string")
