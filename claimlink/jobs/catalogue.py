@@ -255,6 +255,24 @@ def key_candidates_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.key_candidates(t.facts(spark, sf_dir), "incremental").withColumn("sim", F.round("sim", 6))
 
 
+def _last_document(rows: DataFrame) -> DataFrame:
+    """The facts of the document that came last."""
+    return rows.join(rows.agg(F.max("doc_seq").alias("doc_seq")), "doc_seq", "left_semi")
+
+
+@query(_SIMS_SQL.replace("ON a.doc_id <> b.doc_id)", "ON b.doc_seq < a.doc_seq AND a.doc_seq = (SELECT max(doc_seq) FROM facts))") + " SELECT fact_id, other_id, round(sim, 6) AS sim FROM alike")
+def similarity_candidates_of_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the facts of the last document ask, and only earlier documents answer."""
+    rows = t.facts(spark, sf_dir)
+    return link.similarity_candidates(rows, THRESHOLD, mode="incremental", asking=_last_document(rows)).withColumn("sim", F.round("sim", 6))
+
+
+@query((_SIMS_SQL + _KEYED_SQL).replace("a.kind = b.kind AND a.doc_id <> b.doc_id", "a.kind = b.kind AND b.doc_seq < a.doc_seq AND a.doc_seq = (SELECT max(doc_seq) FROM facts)") + " SELECT fact_id, other_id, round(sim, 6) AS sim FROM keyed")
+def key_candidates_of_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.facts(spark, sf_dir)
+    return link.key_candidates(rows, "incremental", asking=_last_document(rows)).withColumn("sim", F.round("sim", 6))
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.facts(spark, sf_dir)
     return link.rank_candidates(link.similarity_candidates(rows, THRESHOLD), link.key_candidates(rows))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,8 +18,8 @@ from claimlink.sources.schemas import RELATION_TYPES
 #: Same-kind neighbours of a fact, how many vectors are looked at for them, and candidates of a fact after ranking.
 NEIGHBOURS, LOOKED_AT, CANDIDATES = 5, 15, 9
 SIMILARITY, TOLERANCE = 0.86, 0.01
-#: Vectors of a block: a task multiplies two blocks.
-BLOCK = 2048
+#: Vectors of a block, more where there would be over MOST_BLOCKS of them: a task multiplies two blocks. Pivots about which blocks lie.
+BLOCK, MOST_BLOCKS, MOST_PIVOTS = 2048, 16_384, 1024
 
 
 def document_sequence(documents: DataFrame) -> DataFrame:
@@ -39,61 +41,206 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarity_candidates(facts: DataFrame, threshold: float = SIMILARITY, neighbours: int = NEIGHBOURS, looked_at: int = LOOKED_AT, mode: str = "relink", blocks: int = 0) -> DataFrame:
+def _asking(rows: DataFrame, asking: DataFrame | None) -> DataFrame:
+    """rows with asks: whether a fact looks for candidates; by default all do."""
+    if asking is None:
+        return rows.withColumn("asks", F.lit(True))
+    return rows.join(asking.select("fact_id").distinct().withColumn("asks", F.lit(True)), "fact_id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of equal length as rows of a matrix; an error if their lengths differ."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = np.asarray(column.flatten(), np.float64)
+    sizes = np.diff(np.asarray(column.offsets))
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError(f"vectors of {sizes.min()} and of {sizes.max()} components can't be compared")
+    return flat.reshape(len(sizes), -1)
+
+
+def _best(sims: np.ndarray, allowed: np.ndarray, names: np.ndarray, most: int) -> list[int]:
+    """The most allowed columns with the highest similarities, ties by name."""
+    ok = np.flatnonzero(allowed)
+    if len(ok) > most:  # all that reach the last of them, so that ties are broken by the id
+        ok = ok[sims[ok] >= np.partition(sims[ok], len(ok) - most)[len(ok) - most]]
+    return sorted(ok.tolist(), key=lambda k: (-sims[k], names[k]))[:most]
+
+
+def _cells(facts: DataFrame, n_pivots: int) -> DataFrame:
+    """facts with cell, the pivot that is the nearest by angle, angle to it and norm. Pivots are the facts with the n_pivots smallest hashes."""
+    rows = facts.select("v").orderBy(F.xxhash64("fact_id"), "fact_id").limit(n_pivots).collect()
+    pivots = np.array([r[0] for r in rows], np.float64) if len({len(r[0]) for r in rows}) == 1 else None
+    unit = None if pivots is None else pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in facts.schema)}, cell int, angle double, norm double"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _vectors(batch.column("v"))
+            if unit is None or len(v) and v.shape[1] != unit.shape[1]:
+                raise ValueError("vectors of different lengths can't be compared")
+            norm = np.linalg.norm(v, axis=1)
+            cosines = v @ unit.T / np.maximum(norm, 1e-300)[:, None] if len(v) else np.zeros((0, 1))
+            cell = cosines.argmax(axis=1) if len(v) else np.zeros(0, int)
+            angle = np.arccos(np.clip(cosines[np.arange(len(v)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(angle), pa.array(norm)], names=[*batch.schema.names, "cell", "angle", "norm"])
+
+    return facts.mapInArrow(place, schema), unit
+
+
+def _ring_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """rows (cell, angle, ...) with block, a text: consecutive rings about a cell's pivot, of about size rows each. A ring of more
+    rows is dealt to several blocks by hash."""
+    ring = F.floor(F.col("angle") * 512).cast("int")
+    counts = rows.groupBy("cell", ring.alias("ring")).agg(F.count("*").alias("rows_of_ring"))
+    upto = F.sum("rows_of_ring").over(Window.partitionBy("cell").orderBy("ring"))
+    starts = counts.select("cell", "ring", "rows_of_ring", (upto - F.col("rows_of_ring")).alias("start"))
+    met = rows.withColumn("ring", ring).join(starts, ["cell", "ring"])
+    place = F.col("start") + F.pmod(F.xxhash64("fact_id"), F.col("rows_of_ring"))
+    return met.withColumn("block", F.concat_ws("-", "cell", F.floor(place / size))).drop("ring", "rows_of_ring", "start")
+
+
+def near_blocks(stats: list, pivots: np.ndarray, threshold: float) -> Callable[[int], np.ndarray]:
+    """stats (cell, low, high, norm) of blocks -> which blocks may hold a vector whose product with one of block i reaches the threshold.
+
+    Angles are a metric: two vectors are at least as far apart as their pivots, less their own distances from these, and, with the
+    first one's pivot, as the other's pivot less its distance is beyond the first one's ring. A product that reaches the threshold
+    needs an angle whose cosine is the threshold over both norms.
+    """
+    cell = np.array([s[0] for s in stats], int)
+    low, high, norm = (np.array([s[k] for s in stats], float) for k in (1, 2, 3))
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+
+    def of(i: int) -> np.ndarray:
+        between = apart[cell[i], cell]
+        # what lies between the ring of i and the other block's, seen from either pivot
+        gap = np.maximum.reduce([between - high[i] - high, low - between - high[i], low[i] - between - high])
+        gap = np.where(cell == cell[i], np.maximum.reduce([gap, low - high[i], low[i] - high]), gap)
+        cosine = threshold / np.maximum(norm[i] * norm, 1e-300)
+        return np.flatnonzero((cosine <= 1) & (gap <= np.arccos(np.clip(cosine, -1, 1)) + 1e-7))
+
+    return of
+
+
+def similarity_candidates(
+    facts: DataFrame, threshold: float = SIMILARITY, neighbours: int = NEIGHBOURS, looked_at: int = LOOKED_AT, mode: str = "relink", blocks: int = 0, asking: DataFrame | None = None, normalise: bool = False,
+) -> DataFrame:
     """(fact_id, other_id, sim): among a fact's looked_at nearest facts of other documents, the nearest neighbours of its own kind.
 
-    facts: fact_id, doc_id, doc_seq, kind, embedding of unit length. Vectors are dealt into blocks and each pair of blocks is one
-    matrix product that keeps the best looked_at of each row, so nothing larger than two blocks is ever in one place. blocks: their
-    number; 0: by the number of facts.
+    facts: fact_id, doc_id, doc_seq, kind, embedding. Only pairs that reach the threshold count, so vectors are dealt into blocks, rings
+    about pivots, and only pairs of blocks that may hold such a pair are multiplied; each keeps the best looked_at of each row, so
+    nothing larger than two blocks is ever in one place. Vectors of blocks without a partner aren't shuffled at all.
+
+    Facts whose embedding is null, empty or has a null have no candidates and are none; vectors of different lengths are an error.
+    blocks: their number; 0: by the number of facts, MOST_BLOCKS at most, as their bounds are known to every task. asking: the facts
+    (fact_id) that look for candidates; by default all. normalise: first scale vectors to unit length.
     """
-    n = blocks or max(1, -(-facts.count() // BLOCK))
-    rows = facts.select("fact_id", "doc_id", "doc_seq", "kind", F.col("embedding").cast("array<float>").alias("v"), F.pmod(F.xxhash64("fact_id"), F.lit(n)).cast("int").alias("own"))
-    all_ = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("side", F.lit(0)).withColumnRenamed("own", "i").withColumn("j", all_)
-    right = rows.withColumn("side", F.lit(1)).withColumnRenamed("own", "j").withColumn("i", all_)
+    has = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull()), F.lit(False))
+    vector = unit_length(F.col("embedding")) if normalise else F.col("embedding").cast("array<double>")
+    rows = facts.where(has).select("fact_id", "doc_id", "doc_seq", "kind", vector.alias("v"))
+    empty = facts.select("fact_id", F.col("fact_id").alias("other_id"), F.lit(0.0).alias("sim")).limit(0)
+    n = rows.count()
+    if not n:
+        return empty
+    size = -(-n // blocks) if blocks else max(BLOCK, -(-n // MOST_BLOCKS))
+    placed, pivots = _cells(rows, min(MOST_PIVOTS, -(-n // size)))
+    dealt = _asking(_ring_blocks(placed, size), asking)
+    stats = dealt.groupBy("block", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.max("norm").alias("norm"), F.bool_or("asks").alias("asks")).collect()
+    names = [s["block"] for s in stats]
+    near = near_blocks([(s["cell"], s["low"], s["high"], s["norm"]) for s in stats], pivots, threshold)
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                found = near(i).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(found), pa.string()), pa.array([names[j] for j in found], pa.string())], names=["i", "j"])
+
+    asked = facts.sparkSession.createDataFrame([(i,) for i, s in enumerate(stats) if s["asks"]], "at int")
+    pairs = asked.mapInArrow(partners, "i string, j string")
+    left = dealt.where("asks").withColumnRenamed("block", "i").join(pairs, "i").withColumn("side", F.lit(0))
+    right = dealt.withColumnRenamed("block", "j").join(pairs, "j").withColumn("side", F.lit(1))
 
     def best(both: pa.Table) -> pa.Table:
         side = both.column("side").to_numpy()
         a, b = both.filter(pa.array(side == 0)), both.filter(pa.array(side == 1))
-        names = ("fact_id", "other_id", "sim", "same_kind")
         out: list[list] = [[], [], [], []]
         if a.num_rows and b.num_rows:
-            x, y = (np.asarray(t.column("v").combine_chunks().flatten(), np.float32).reshape(t.num_rows, -1) for t in (a, b))
+            x, y = _vectors(a.column("v")), _vectors(b.column("v"))
             doc, other_doc = (t.column("doc_seq" if mode == "incremental" else "doc_id").to_pandas().to_numpy() for t in (a, b))
             ids, others, kind, other_kind = (t.column(c).to_pylist() for t, c in ((a, "fact_id"), (b, "fact_id"), (a, "kind"), (b, "kind")))
             name = np.array(others, object)
-            for i, sims in enumerate(x.astype(np.float64) @ y.T.astype(np.float64)):
-                ok = np.flatnonzero(other_doc < doc[i] if mode == "incremental" else other_doc != doc[i])
-                if len(ok) > looked_at:  # all that reach the last of them, so that ties are broken by the id
-                    ok = ok[sims[ok] >= np.partition(sims[ok], len(ok) - looked_at)[len(ok) - looked_at]]
-                ok = sorted(ok, key=lambda k: (-sims[k], name[k]))[:looked_at]
-                for cell, values in zip(out, ([ids[i]] * len(ok), [others[k] for k in ok], [float(sims[k]) for k in ok], [other_kind[k] == kind[i] for k in ok]), strict=True):
-                    cell.extend(values)
-        return pa.table(dict(zip(names, (pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.float64(), pa.bool_()), strict=True)), strict=True)))
-
-    near = left.unionByName(right).groupBy("i", "j").applyInArrow(best, "fact_id string, other_id string, sim double, same_kind boolean")
+            for at in range(0, len(x), 256):
+                for i, sims in enumerate(x[at : at + 256] @ y.T, at):
+                    ok = _best(sims, (sims >= threshold) & (other_doc < doc[i] if mode == "incremental" else other_doc != doc[i]), name, looked_at)
+                    for cell, values in zip(out, ([ids[i]] * len(ok), [others[k] for k in ok], [float(sims[k]) for k in ok], [other_kind[k] == kind[i] for k in ok]), strict=True):
+                        cell.extend(values)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("fact_id", "other_id", "sim", "same_kind"), out, (pa.string(), pa.string(), pa.float64(), pa.bool_()), strict=True)})
+
+    columns = ["i", "j", "side", "fact_id", "doc_id", "doc_seq", "kind", "v"]
+    found = left.select(*columns).unionByName(right.select(*columns)).groupBy("i", "j").applyInArrow(best, "fact_id string, other_id string, sim double, same_kind boolean")
     order = Window.partitionBy("fact_id").orderBy(F.desc("sim"), "other_id")
-    near = near.withColumn("r", F.row_number().over(order)).where((F.col("r") <= looked_at) & (F.col("sim") >= threshold) & F.col("same_kind"))
-    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= neighbours).select("fact_id", "other_id", "sim")
+    found = found.withColumn("r", F.row_number().over(order)).where((F.col("r") <= looked_at) & F.col("same_kind"))
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= neighbours).select("fact_id", "other_id", "sim")
 
 
-def key_candidates(facts: DataFrame, mode: str = "relink", most: int = CANDIDATES, salts: int = 16, asking: DataFrame | None = None) -> DataFrame:
+def key_candidates(facts: DataFrame, mode: str = "relink", most: int = CANDIDATES, block: int = BLOCK, asking: DataFrame | None = None) -> DataFrame:
     """(fact_id, other_id, sim): for each fact the nearest facts of other documents with the same attribute key and kind.
 
-    The candidate side of a key is dealt to salts, to each of which a fact goes once, so that a hot key is spread; per salt only the
-    best most are kept, which hold the best of all. asking: the facts that look for candidates; by default all.
+    A key with more than block facts is dealt to several blocks; its asking facts meet each of them, and each pair of blocks is one
+    matrix product of which the best most of each row are kept, which hold the best of all. Smaller keys share groups by hash. A fact
+    without a vector has similarity 0 to all. asking: the facts that look for candidates; by default all.
     """
-    side = lambda p: (asking if p == "a" and asking is not None else facts).select(F.col("fact_id").alias(f"{p}_id"), F.col("doc_id").alias(f"{p}_doc"), F.col("doc_seq").alias(f"{p}_seq"), "attribute_key", "kind", F.col("embedding").alias(f"{p}_v"))
-    left = side("a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = side("b").withColumn("salt", F.pmod(F.xxhash64("b_id"), F.lit(salts)).cast("int"))
-    pairs = left.join(right, ["attribute_key", "kind", "salt"]).where(_older(mode))
-    pairs = pairs.select(F.col("a_id").alias("fact_id"), F.col("b_id").alias("other_id"), dot(F.col("a_v"), F.col("b_v")).alias("sim"), "salt")
-    within = Window.partitionBy("fact_id", "salt").orderBy(F.desc("sim"), "other_id")
-    pairs = pairs.withColumn("r", F.row_number().over(within)).where(F.col("r") <= most)
+    zero = F.array().cast("array<double>")
+    has = F.coalesce(F.forall("embedding", lambda x: x.isNotNull()), F.lit(False))
+    rows = facts.where("attribute_key IS NOT NULL AND kind IS NOT NULL").select("fact_id", "doc_id", "doc_seq", "attribute_key", "kind", F.when(has, F.col("embedding").cast("array<double>")).otherwise(zero).alias("v"))
+    sizes = rows.groupBy("attribute_key", "kind").agg(F.count("*").alias("n"))
+    n_groups = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // block))
+    large = sizes.where(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    rows = _asking(rows.join(large, ["attribute_key", "kind"], "left"), asking)
+    hashed = F.xxhash64("attribute_key", "kind")
+    rows = rows.withColumn("g", F.when(F.col("parts").isNull(), F.pmod(hashed, F.lit(n_groups))).otherwise(hashed)).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fact_id", F.lit(1)), F.col("parts")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    columns = [*(F.col(c).alias(c) for c in ("g", "i", "j", "fact_id", "doc_id", "doc_seq", "v")), F.struct("attribute_key", "kind").alias("of")]
+    left = rows.where("asks").withColumnRenamed("own", "i").withColumn("j", each).select(*columns)
+    right = rows.withColumnRenamed("own", "j").withColumn("i", each).select(*columns)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if a.num_rows and b.num_rows:
+            mine, theirs = ([tuple(k.values()) for k in t.column("of").to_pylist()] for t in (a, b))
+            at: dict[tuple, tuple[list[int], list[int]]] = {k: ([], []) for k in set(mine) & set(theirs)}
+            for side, keys in enumerate((mine, theirs)):
+                for row, k in enumerate(keys):
+                    if k in at:
+                        at[k][side].append(row)
+            doc, other_doc = (t.column("doc_seq" if mode == "incremental" else "doc_id").to_pandas().to_numpy() for t in (a, b))
+            ids, others = a.column("fact_id").to_pylist(), np.array(b.column("fact_id").to_pylist(), object)
+            for left_rows, right_rows in at.values():
+                product = _products(a.column("v").take(pa.array(left_rows)), b.column("v").take(pa.array(right_rows)))
+                names, docs = others[right_rows], other_doc[right_rows]
+                for i, sims in zip(left_rows, product, strict=True):
+                    ok = _best(sims, docs < doc[i] if mode == "incremental" else docs != doc[i], names, most)
+                    for cell, values in zip(out, ([ids[i]] * len(ok), [names[k] for k in ok], [float(sims[k]) for k in ok]), strict=True):
+                        cell.extend(values)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("fact_id", "other_id", "sim"), out, (pa.string(), pa.string(), pa.float64()), strict=True)})
+
+    pairs = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInArrow(best, "fact_id string, other_id string, sim double")
     order = Window.partitionBy("fact_id").orderBy(F.desc("sim"), "other_id")
     return pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("fact_id", "other_id", "sim")
 
 
+def _products(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """Products of all rows of a with all of b, 0 where either is empty."""
+    there = [np.asarray(x.combine_chunks().value_lengths()) > 0 for x in (a, b)]
+    out = np.zeros((len(a), len(b)))
+    if there[0].any() and there[1].any():
+        x, y = (_vectors(c.filter(pa.array(t))) for c, t in zip((a, b), there, strict=True))
+        if x.shape[1] != y.shape[1]:
+            raise ValueError("vectors of different lengths can't be compared")
+        out[np.ix_(*there)] = x @ y.T
+    return out
+
+
 def rank_candidates(similar: DataFrame, keyed: DataFrame, most: int = CANDIDATES) -> DataFrame:
     """(fact_id, other_id, sim, via, rank): both kinds of candidates without repeats, the most similar ones of each fact."""
     both = similar.withColumn("via", F.lit("similarity")).unionByName(keyed.withColumn("via", F.lit("key")))
@@ -140,27 +287,45 @@ def verdict(a: str = "a", b: str = "b") -> Column:
     )
 
 
-def numeric_matches(facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(fact_a, fact_b, delta, reasoning): numeric facts of different documents whose values agree. The equal parts are the join's keys."""
-    key = ["attribute_key", "unit", "period_start", "period_end", "scope_key"]
-    rows = facts.where("kind = 'numeric' AND value_norm IS NOT NULL AND coalesce(period_start, '') <> '' AND coalesce(period_end, '') <> ''")
-    rows = rows.withColumn("unit", F.coalesce("unit", F.lit(""))).withColumn("scope_key", F.lower(F.coalesce("scope", F.lit(""))))
-    side = lambda p: rows.select(*key, F.struct(*rows.columns).alias(p))
-    pairs = side("a").join(side("b"), key).where("a.id < b.id AND a.doc_id <> b.doc_id").where(agree("a", "b", tolerance))
-    return pairs.select(F.col("a.id").alias("fact_a"), F.col("b.id").alias("fact_b"), gap("a", "b").alias("delta"), verdict().alias("reasoning"))
+def _band(value: Column, tolerance: float) -> Column:
+    """A whole number that differs by one at most between values whose gap is within the tolerance, null where no value can agree.
 
+    Beyond the least denominator of a gap, agreeing values have logarithms that differ by tolerance / (1 - tolerance) at most; below
+    it, they differ by the tolerance's share of it. Both scales are put together so that they meet there.
+    """
+    if tolerance >= 1:
+        return F.lit(0).cast("long")
+    t, least = max(tolerance, 1e-6), 1e-9
+    size = F.abs(value)
+    scaled = F.when(size <= least, size / (t * least)).otherwise(1 / t + (F.log(size) - math.log(least)) * ((1 - t) / t))
+    return F.when(size < float("inf"), F.floor(F.signum(value) * scaled * (1 - 1e-6)).cast("long"))
 
-def matches_of_new(new: DataFrame, known: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(fact_a, fact_b, delta): pairs of a new fact and a known one of another document whose values agree. Only new facts are on
-    the left side, so that what is known isn't compared with itself again."""
+
+def _agreeing(asking: DataFrame, known: DataFrame, tolerance: float) -> DataFrame:
+    """(a, b): facts of different documents whose values agree, as structs. The equal parts and the value's band are the join's keys;
+    the asking side stands in the neighbouring bands too, so a hot key isn't compared pair by pair."""
     key = ["attribute_key", "unit", "period_start", "period_end", "scope_key"]
+    used = ["id", "doc_id", "kind", "attribute_key", "unit", "period_start", "period_end", "scope", "basis", "value_norm", *(c for c in ("value_text", "scale") if c in asking.columns)]
 
     def side(facts: DataFrame, p: str) -> DataFrame:
-        rows = facts.where("kind = 'numeric' AND value_norm IS NOT NULL AND coalesce(period_start, '') <> '' AND coalesce(period_end, '') <> ''")
+        rows = facts.where("kind = 'numeric' AND value_norm IS NOT NULL AND coalesce(period_start, '') <> '' AND coalesce(period_end, '') <> ''").select(*used)
         rows = rows.withColumn("unit", F.coalesce("unit", F.lit(""))).withColumn("scope_key", F.lower(F.coalesce("scope", F.lit(""))))
-        return rows.select(*key, F.struct(*rows.columns).alias(p))
+        return rows.select(*key, _band(F.col("value_norm"), tolerance).alias("band"), F.struct(*used).alias(p)).where("band IS NOT NULL")
 
-    pairs = side(new, "a").join(side(known, "b"), key).where("a.doc_id <> b.doc_id").where(agree("a", "b", tolerance))
+    near = F.explode(F.array(*(F.col("band") + d for d in ((0,) if tolerance >= 1 else (-1, 0, 1)))))
+    return side(asking, "a").withColumn("band", near).join(side(known, "b"), [*key, "band"]).where("a.doc_id <> b.doc_id").where(agree("a", "b", tolerance))
+
+
+def numeric_matches(facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(fact_a, fact_b, delta, reasoning): numeric facts of different documents whose values agree."""
+    pairs = _agreeing(facts, facts, tolerance).where("a.id < b.id")
+    return pairs.select(F.col("a.id").alias("fact_a"), F.col("b.id").alias("fact_b"), gap("a", "b").alias("delta"), verdict().alias("reasoning"))
+
+
+def matches_of_new(new: DataFrame, known: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(fact_a, fact_b, delta): pairs of a new fact and a known one of another document whose values agree. Only new facts are on
+    the left side, so that what is known isn't compared with itself again."""
+    pairs = _agreeing(new, known, tolerance)
     return pairs.select(F.least("a.id", "b.id").alias("fact_a"), F.greatest("a.id", "b.id").alias("fact_b"), gap("a", "b").alias("delta")).dropDuplicates(["fact_a", "fact_b"])
 
 
