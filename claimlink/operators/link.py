@@ -293,8 +293,6 @@ def _band(value: Column, tolerance: float) -> Column:
     Beyond the least denominator of a gap, agreeing values have logarithms that differ by tolerance / (1 - tolerance) at most; below
     it, they differ by the tolerance's share of it. Both scales are put together so that they meet there.
     """
-    if tolerance >= 1:
-        return F.lit(0).cast("long")
     t, least = max(tolerance, 1e-6), 1e-9
     size = F.abs(value)
     scaled = F.when(size <= least, size / (t * least)).otherwise(1 / t + (F.log(size) - math.log(least)) * ((1 - t) / t))
@@ -310,10 +308,13 @@ def _agreeing(asking: DataFrame, known: DataFrame, tolerance: float) -> DataFram
     def side(facts: DataFrame, p: str) -> DataFrame:
         rows = facts.where("kind = 'numeric' AND value_norm IS NOT NULL AND coalesce(period_start, '') <> '' AND coalesce(period_end, '') <> ''").select(*used)
         rows = rows.withColumn("unit", F.coalesce("unit", F.lit(""))).withColumn("scope_key", F.lower(F.coalesce("scope", F.lit(""))))
-        return rows.select(*key, _band(F.col("value_norm"), tolerance).alias("band"), F.struct(*used).alias(p)).where("band IS NOT NULL")
+        return rows.select(*key, *([_band(F.col("value_norm"), tolerance).alias("band")] if banded else []), F.struct(*used).alias(p))
 
-    near = F.explode(F.array(*(F.col("band") + d for d in ((0,) if tolerance >= 1 else (-1, 0, 1)))))
-    return side(asking, "a").withColumn("band", near).join(side(known, "b"), [*key, "band"]).where("a.doc_id <> b.doc_id").where(agree("a", "b", tolerance))
+    banded = tolerance < 1  # from 1 on all values of one sign agree
+    left, right = side(asking, "a"), side(known, "b")
+    if banded:
+        left = left.withColumn("band", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))))
+    return left.join(right, [*key, "band"] if banded else key).where("a.doc_id <> b.doc_id").where(agree("a", "b", tolerance))
 
 
 def numeric_matches(facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
