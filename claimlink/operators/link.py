@@ -342,10 +342,11 @@ def judge_numeric(candidates: DataFrame, facts: DataFrame, tolerance: float = TO
 
 
 def deterministic_relations(judged: DataFrame) -> DataFrame:
+    """The relations that arithmetic settles, one for each pair; doc_id is that of the fact that asked."""
     settled = judged.where("settled")
     return settled.select(
         F.least("fact_id", "other_id").alias("fact_a"), F.greatest("fact_id", "other_id").alias("fact_b"), F.lit("corroborates").alias("type"), F.lit(None).cast("string").alias("reconciliation"),
-        F.lit(0.9).alias("confidence"), verdict().alias("reasoning"), F.lit("deterministic").alias("method"), (F.col("a.doc_id") != F.col("b.doc_id")).alias("cross_document"),
+        F.lit(0.9).alias("confidence"), verdict().alias("reasoning"), F.lit("deterministic").alias("method"), (F.col("a.doc_id") != F.col("b.doc_id")).alias("cross_document"), F.col("a.doc_id").alias("doc_id"),
     ).dropDuplicates(["fact_a", "fact_b"])
 
 
@@ -379,6 +380,41 @@ def link_stats(facts: DataFrame, ranked: DataFrame, fresh: DataFrame, judged: Da
     return rows.groupBy("fact_id", "measure").count().join(of, "fact_id").groupBy("doc_id").agg(*(F.coalesce(F.sum(F.when(F.col("measure") == m, F.col("count"))), F.lit(0)).alias(m) for m in measures))
 
 
+MEASURES = ("new_facts", "candidates", "already_judged", "groups", "llm_relations", "deterministic_relations")
+
+
+def run_events(facts: DataFrame, found: DataFrame, relations: DataFrame, run: Column, judged: DataFrame | None = None) -> DataFrame:
+    """(doc_id, run, measure, n): what a link run did for each document, as rows to append to the log of runs.
+
+    facts: those of the run's documents; found: their ranked candidates with structs a and b, known and settled; relations
+    (fact_a, fact_b): those that these documents had before; judged (doc_id, fact_a, fact_b): what the model has said of pairs that
+    arithmetic hasn't settled. A pair counts once where both of its facts ask for it.
+    """
+    pair = F.struct(F.least("fact_id", "other_id"), F.greatest("fact_id", "other_id"))
+    fresh = found.where("NOT known").select(F.col("a.doc_id").alias("doc_id"), "fact_id", "settled", pair.alias("pair"))
+    once = fresh.groupBy("pair").agg(F.min(F.struct("doc_id", "fact_id", "settled")).alias("x")).select("x.*")
+    of = facts.select("doc_id", F.col("id").alias("end"))
+    ends = relations.select("fact_a", "fact_b", F.explode(F.array("fact_a", "fact_b")).alias("end")).join(of, "end").select("doc_id", "fact_a", "fact_b").distinct()
+    counts = {
+        "new_facts": facts.select("doc_id"),
+        "candidates": found.select(F.col("a.doc_id").alias("doc_id")),
+        "already_judged": ends.select("doc_id"),
+        "groups": once.where("NOT settled").select("doc_id", "fact_id").distinct().select("doc_id"),
+        "deterministic_relations": once.where("settled").select("doc_id"),
+    } | ({} if judged is None else {"llm_relations": judged.select("doc_id")})
+    rows = reduce(DataFrame.unionByName, (df.withColumn("measure", F.lit(name)) for name, df in counts.items()))
+    return rows.groupBy("doc_id", "measure").agg(F.count("*").alias("n")).select("doc_id", run.alias("run"), "measure", "n")
+
+
+def run_totals(events: DataFrame) -> DataFrame:
+    """MEASURES of each document over all runs of the log. What there is of facts and of judged pairs is that of the last run; the
+    others add up, as a run judges only pairs that none before it has judged."""
+    last = F.max_by("n", "run")
+    by = events.groupBy("doc_id", "measure").agg(F.sum("n").alias("sum"), last.alias("last"))
+    n = F.when(F.col("measure").isin("new_facts", "already_judged"), F.col("last")).otherwise(F.col("sum"))
+    return by.groupBy("doc_id").agg(*(F.coalesce(F.max(F.when(F.col("measure") == m, n)), F.lit(0)).alias(m) for m in MEASURES))
+
+
 def validate_relations(responses: DataFrame, members: DataFrame) -> DataFrame:
     """responses (batch_id, position, a, b, type, reconciliation, confidence, reasoning) whose facts are of their batch and of different documents."""
     side = lambda c: members.select("batch_id", F.col("fact_id").alias(c), F.col("doc_id").alias(f"{c}_doc"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from claimlink.sources.schemas import FACT_COLUMNS, PAGES
 
@@ -18,11 +17,13 @@ def register_documents(arriving: DataFrame, existing: DataFrame, replace: bool =
     """arriving (filename, content) as rows of doc_id, sha256, filename, content that are to be processed.
 
     The id comes from the content, so equal contents are one document: the first filename counts. Contents that are there already
-    are left out unless they failed or are to be replaced.
+    are left out unless they failed or are to be replaced. Copies are aggregated by the id where they lie, before any content is
+    shuffled; after that each content moves once.
     """
     sha = F.sha2(F.col("content").cast("binary"), 256)
     new = arriving.withColumn("sha256", sha).withColumn("doc_id", F.substring("sha256", 1, 12))
-    new = new.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("filename"))).where("r = 1").drop("r")
+    columns = [c for c in new.columns if c != "doc_id"]
+    new = new.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.struct("filename", "sha256")).alias("first")).select(*(F.col("doc_id") if c == "doc_id" else F.col(f"first.`{c}`").alias(c) for c in new.columns))
     return new if replace else new.join(existing.where("status <> 'failed'").select("doc_id"), "doc_id", "left_anti")
 
 
@@ -59,6 +60,21 @@ def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str,
     return tables | out | {"relations": kept.select(*tables["relations"].columns)}
 
 
+def delete_stored(spark: SparkSession, path: str, ids: DataFrame, buckets: int = 64) -> list[int]:
+    """Deletes the rows of documents (doc_id) from a table that write_facts wrote; the buckets that were rewritten. Files of other
+    buckets aren't touched, nor read. A bucket of which nothing is left goes."""
+    gone = ids.select("doc_id").distinct()
+    of = sorted(r[0] for r in gone.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("b")).distinct().collect())
+    rows = spark.read.parquet(path).where(F.col("doc_bucket").isin(of))
+    left = rows.join(gone, "doc_id", "left_anti").select(*rows.columns)
+    full = {r[0] for r in left.select("doc_bucket").distinct().collect()}
+    left.hint("rebalance", "doc_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
+    for bucket in set(of) - full:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/doc_bucket={bucket}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return of
+
+
 def page_maps(pages: DataFrame) -> DataFrame:
     """(doc_id, pages): a document's texts by page number."""
     return pages.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("page_no", "text")))).alias("pages"))

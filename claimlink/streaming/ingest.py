@@ -25,7 +25,8 @@ def stream_batches(source: DataFrame, checkpoint: str, process: Callable[[DataFr
 
 
 def fresh_documents(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Documents of a micro-batch (filename, content) whose content isn't stored; copies within the batch are one."""
+    """Documents of a micro-batch (filename, content) whose content isn't stored; copies within the batch are one. stream_register
+    of claimlink.streaming.linking does so for each batch, with what is stored as a table of ids."""
     return register_documents(batch, stored)
 
 
@@ -38,10 +39,12 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _pages_so_far(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
-    """All pages that have come of the documents in this batch. A batch is stored under its id, so that a repeated one replaces itself."""
+    """All pages that have come of the documents in this batch. A batch is stored under its id, so that a repeated one replaces itself.
+    Where a page has come twice the later batch counts; within a batch the greatest text."""
     batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    stored = batch.sparkSession.read.parquet(path).drop("batch")
-    return stored.join(batch.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "page_no"])
+    stored = batch.sparkSession.read.parquet(path).where(F.col("batch") <= batch_id)
+    stored = stored.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
+    return stored.groupBy("doc_id", "page_no").agg(F.max(F.struct("batch", "text")).alias("x")).select("doc_id", "page_no", F.col("x.text").alias("text"))
 
 
 def stream_ground(spark: SparkSession, pages: DataFrame, facts: DataFrame, out: str, checkpoint: str, tiers: str = "all"):
@@ -71,6 +74,9 @@ def stream_ingest(spark: SparkSession, pages: DataFrame, raw: DataFrame, documen
         ground(made, known, tiers).write.mode("overwrite").parquet(f"{folder}/facts/batch={batch_id}")
         new = spark.read.parquet(f"{folder}/facts/batch={batch_id}")
         found = matches_of_new(new, latest(spark, f"{folder}/facts"))
+        if batch_id:  # a document in several files gives each relation once
+            before = spark.read.parquet(f"{folder}/relations").where(F.col("batch") < batch_id).select("fact_a", "fact_b")
+            found = found.join(before, ["fact_a", "fact_b"], "left_anti")
         found.write.mode("overwrite").parquet(f"{folder}/relations/batch={batch_id}")
 
     return stream_batches(pages, checkpoint, process)
