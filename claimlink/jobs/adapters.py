@@ -56,6 +56,31 @@ QUOTES_SQL = (
 )"""
 )
 
+
+def verbatim_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes as they stand, of 1 to 60 characters, from every page that isn't blank, at places all over the page; the cited page is up to one off."""
+    base = pages(spark, sf_dir).withColumn("n", F.col("doc_id").cast("long"))
+    at = 1 + (F.col("n") * 7919 + F.col("page_no") * 104_729) % F.greatest(F.length("text") - 59, F.lit(1))
+    base = base.withColumn("quote", F.trim(F.substring("text", at.cast("int"), F.lit(60)), F.lit(" \n"))).where("quote <> ''")
+    cited = F.greatest(F.lit(1), F.col("page_no") + F.col("n") % 3 - 1).cast("int")
+    return base.select(
+        F.concat("doc_id", F.lit("-"), F.col("page_no").cast("string")).alias("fact_id"), "doc_id", cited.alias("page"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"),
+        F.when(F.col("n") % 2 == 0, "numeric").otherwise("statement").alias("kind"), F.when(F.col("n") % 6 != 0, (F.col("n") % 10).cast("double")).alias("value_num"), "quote",
+        ((F.col("n") % 11) / 10.0).alias("confidence"), F.when(F.col("n") % 3 == 0, F.array(F.lit("low_confidence"), F.lit("kept"))).alias("flags"),
+    )
+
+
+VERBATIM_SQL = (
+    PAGES_SQL
+    + r""", cut AS (
+  SELECT *, CAST(doc_id AS BIGINT) AS n, trim(substring(text, 1 + (CAST(doc_id AS BIGINT) * 7919 + page_no * 104729) % greatest(length(text) - 59, 1), 60), ' ' || chr(10)) AS quote FROM pages
+), quotes AS (
+  SELECT doc_id || '-' || page_no AS fact_id, doc_id, CAST(greatest(1, page_no + n % 3 - 1) AS INTEGER) AS page, n, quote, CASE WHEN n % 2 = 0 THEN 'numeric' ELSE 'statement' END AS kind,
+    CASE WHEN n % 6 <> 0 THEN CAST(n % 10 AS DOUBLE) END AS value_num, (n % 11) / 10.0 AS confidence FROM cut WHERE quote <> ''
+)"""
+)
+
+
 #: Order values of each nation and April-March year as two publishers give them: one in thousands, one in millions; for every third
 #: nation the second counts finished orders only.
 NUMBERS_SQL = """

@@ -134,6 +134,21 @@ def ground_exact_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grounded(spark, sf_dir, "exact").select("fact_id", "page", "grounding", "grounding_score")
 
 
+_GROUND_VERBATIM_SQL = _GROUND_SQL.replace(t.QUOTES_SQL, t.VERBATIM_SQL).replace("a.fact_id, a.place, a.page_no, CASE", "a.fact_id, a.place, a.page_no, position(a.quote IN p.text) - 1 AS pos, length(a.quote) AS size, CASE").replace(
+    "arg_min(score, place) AS score", "arg_min(score, place) AS score, arg_min(pos, place) AS pos, arg_min(size, place) AS size")
+
+
+@query(_GROUND_VERBATIM_SQL + r"""SELECT q.fact_id, CAST(coalesce(b.page_no, q.page) AS INTEGER) AS page, CASE WHEN b.page_no IS NULL THEN 'unverified' ELSE 'exact' END AS grounding, CAST(b.pos AS INTEGER) AS quote_start, CAST(b.pos + b.size AS INTEGER) AS quote_end,
+  array_to_string(list_filter([CASE WHEN q.n % 3 = 0 THEN 'kept' END, CASE WHEN b.page_no IS NULL THEN 'quote_not_found' WHEN b.page_no <> q.page THEN 'page_corrected:' || q.page || '->' || b.page_no END,
+    CASE WHEN kind = 'numeric' THEN CASE WHEN value_num IS NULL THEN 'numeric_without_value' WHEN NOT contains(regexp_replace(q.quote, '[,\s]', '', 'g'), printf('%.0f', value_num)) THEN 'value_not_in_quote' END END,
+    CASE WHEN coalesce(nullif(confidence, 0), 1) < 0.7 THEN 'low_confidence' END], lambda f: f IS NOT NULL), ' ') AS flags
+FROM quotes q LEFT JOIN best b ON b.fact_id = q.fact_id""")
+def ground_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes from all over every page, in all languages: the page, the offsets and the flags of each."""
+    found = ground.ground(t.verbatim_quotes(spark, sf_dir), t.pages(spark, sf_dir), "exact")
+    return found.select("fact_id", "page", "grounding", "quote_start", "quote_end", F.array_join("flags", " ").alias("flags"))
+
+
 @query()
 def ground_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grounded(spark, sf_dir, "all")
@@ -327,11 +342,64 @@ def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.documents(spark, sf_dir).select("doc_id", requests.doc_label(F.col("title"), F.col("filename"), F.lit("report"), F.col("publication_date")).alias("label"))
 
 
-@query()
+@query(_JUDGED_SQL + ", old AS (SELECT DISTINCT fact_a, fact_b FROM relations), fresh AS (SELECT j.*, least(fact_id, other_id) AS pa, greatest(fact_id, other_id) AS pb FROM judged j WHERE NOT EXISTS (SELECT 1 FROM old r WHERE r.fact_a = least(j.fact_id, j.other_id) AND r.fact_b = greatest(j.fact_id, j.other_id))),"
+       " once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pa, pb ORDER BY doc_id, fact_id) AS k FROM fresh) s WHERE k = 1)"
+       " SELECT f.doc_id, count(*) AS new_facts, CAST((SELECT count(*) FROM judged j WHERE j.doc_id = f.doc_id) AS BIGINT) AS candidates, CAST((SELECT count(DISTINCT e.fact_a || '/' || e.fact_b) FROM ends e JOIN facts x ON x.id = e.fact_id WHERE x.doc_id = f.doc_id) AS BIGINT) AS already_judged,"
+       " CAST((SELECT count(DISTINCT fact_id) FROM once o WHERE o.doc_id = f.doc_id AND NOT settled) AS BIGINT) AS groups, CAST((SELECT count(*) FROM relations r JOIN facts x ON x.id = r.fact_a WHERE x.doc_id = f.doc_id AND method = 'llm') AS BIGINT) AS llm_relations,"
+       " CAST((SELECT count(*) FROM once o WHERE o.doc_id = f.doc_id AND settled) AS BIGINT) AS deterministic_relations FROM facts f GROUP BY f.doc_id")
+def link_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a link run has done for each document, read back from its events. The relations that the model has given are those of the table."""
+    rows, relations = t.facts(spark, sf_dir), t.relations(spark, sf_dir)
+    pairs = relations.select("fact_a", "fact_b", F.lit(True).alias("known")).distinct()
+    found = _judged(spark, sf_dir).withColumns({"fact_a": F.least("fact_id", "other_id"), "fact_b": F.greatest("fact_id", "other_id")}).join(pairs, ["fact_a", "fact_b"], "left")
+    judged = relations.where("method = 'llm'").join(rows.select(F.col("id").alias("fact_a"), "doc_id"), "fact_a")
+    return link.run_totals(link.run_events(rows, found.withColumn("known", F.coalesce("known", F.lit(False))), relations, F.lit(1), judged))
+
+
+_BATCHES_SQL = _JUDGED_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, once AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY least(fact_id, other_id), greatest(fact_id, other_id) ORDER BY fact_id) AS k FROM judged WHERE NOT settled) s WHERE k = 1
+), g AS (
+  SELECT doc_id, fact_id, count(*) + 1 AS size, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, quote_start NULLS FIRST, fact_id) AS k FROM once GROUP BY doc_id, page_no, quote_start, fact_id
+), w AS (
+  SELECT doc_id, fact_id, size, k, CAST(size AS BIGINT) AS total, CAST(0 AS BIGINT) AS batch FROM g WHERE k = 1
+  UNION ALL
+  SELECT g.doc_id, g.fact_id, g.size, g.k, CASE WHEN w.total + g.size > 40 THEN g.size ELSE w.total + g.size END, CASE WHEN w.total + g.size > 40 THEN w.batch + 1 ELSE w.batch END FROM w JOIN g ON g.doc_id = w.doc_id AND g.k = w.k + 1
+), b AS (SELECT doc_id, CAST(batch AS INTEGER) AS batch, CAST(row_number() OVER (PARTITION BY doc_id, batch ORDER BY k) - 1 AS INTEGER) AS nth, fact_id, CAST(size AS BIGINT) AS size FROM w)"""
+
+
+@query(_BATCHES_SQL + " SELECT * FROM b")
 def judge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.judge_batches(_judged(spark, sf_dir))
 
 
+_LINE_SQL = """'- id=' || id || ' | doc=' || {tag} || ' | page ' || page_no || chr(10) || '  subject: ' || subject || ' | attribute: ' || attribute || ' | value: '
+|| CASE WHEN kind = 'numeric' THEN trim(value_text || ' ' || unit || ' ' || CASE scale WHEN 'none' THEN '' ELSE scale END) ELSE value_text END || ' | period: ' || CASE WHEN period_label = '' THEN '-' ELSE period_label END
+|| CASE WHEN period_start = '' THEN '' ELSE ' (' || period_start || '..' || period_end || ')' END || ' | basis: ' || CASE WHEN basis = '' THEN '-' ELSE basis END || ' | scope: ' || CASE WHEN scope = '' THEN '-' ELSE scope END
+|| chr(10) || '  quote: "' || left(quote, 300) || '"'"""
+
+
+@query(_BATCHES_SQL + """, m AS (
+  SELECT doc_id, batch, nth, 0 AS place, fact_id FROM b UNION ALL SELECT b.doc_id, b.batch, b.nth, o.rank, o.other_id FROM b JOIN once o ON o.fact_id = b.fact_id
+), t AS (
+  SELECT *, 'D' || row_number() OVER (PARTITION BY doc_id, batch ORDER BY fact_doc) AS tag FROM (SELECT DISTINCT m.doc_id, batch, f.doc_id AS fact_doc FROM m JOIN facts f ON f.id = m.fact_id) s
+), l AS (
+  SELECT t.doc_id, t.batch, string_agg(tag || ': ' || title || ' · report · published ' || publication_date || chr(10) || '    period covered: 2023-04-01..?' || CASE WHEN fact_doc = 'd3' THEN '' ELSE chr(10) || '    year convention: April' END, chr(10) ORDER BY fact_doc) AS legend
+  FROM t JOIN docs ON docs.doc_id = t.fact_doc GROUP BY 1, 2
+), lines AS (
+  SELECT m.doc_id, m.batch, nth, '### Group ' || (nth + 1) || chr(10) || string_agg(""" + _LINE_SQL.format(tag="tag") + """, chr(10) ORDER BY place, m.fact_id) AS text
+  FROM m JOIN facts f ON f.id = m.fact_id JOIN t ON t.doc_id = m.doc_id AND t.batch = m.batch AND t.fact_doc = f.doc_id GROUP BY 1, 2, 3
+)
+SELECT l.doc_id, l.batch, 'Documents:' || chr(10) || legend || chr(10) || chr(10) || 'Fact groups (compare facts within a group, across documents only):' || chr(10) || chr(10) || body AS prompt
+FROM l JOIN (SELECT doc_id, batch, string_agg(text, chr(10) || chr(10) ORDER BY nth) AS body FROM lines GROUP BY 1, 2) x ON x.doc_id = l.doc_id AND x.batch = l.batch""")
+def judgement_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that go to the judge."""
+    judged, own = _judged(spark, sf_dir), {"title": F.col("title"), "publication_date": F.col("publication_date"), "doc_type": F.lit("report"), "period_covered_start": F.lit("2023-04-01")}
+    own["fiscal_year_convention"] = F.when(F.col("doc_id") == "d3", "").otherwise("April")
+    meta = F.struct(*(own.get(k, F.lit("")).alias(k) for k in requests.CONTEXT_KEYS))
+    members = link.batch_members(link.judge_batches(judged), judged)
+    return requests.judgement_requests(members, t.facts(spark, sf_dir), t.documents(spark, sf_dir).select("doc_id", "filename", meta.alias("meta")))[0]
+
+
 _UPSERT_SQL = "WITH " + t.LAYER_SQL + """, det AS (SELECT fact_a, fact_b FROM relations WHERE created_at % 5 = 0 UNION SELECT fact_b || 'x', fact_a FROM relations WHERE created_at % 7 = 0),
 llm AS (SELECT fact_a, fact_b, 'contradicts' AS type FROM relations WHERE created_at % 2 = 0),
 step AS (SELECT fact_a, fact_b, type, method FROM relations UNION ALL SELECT d.fact_a, d.fact_b, 'corroborates', 'deterministic' FROM det d ANTI JOIN relations r ON r.fact_a = d.fact_a AND r.fact_b = d.fact_b),

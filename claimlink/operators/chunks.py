@@ -68,9 +68,10 @@ def scanned_documents(pages: DataFrame) -> DataFrame:
 
 
 def pack_groups(groups: DataFrame, limit: int = 40) -> DataFrame:
-    """groups (doc_id, page_no, quote_start, fact_id, size) with batch: consecutive groups of a document up to limit facts; none is split."""
+    """groups (doc_id, page_no, quote_start, fact_id, size) with batch and nth, the place in it: consecutive groups of a document up to limit facts; none is split."""
     key = F.struct(F.col("page_no"), F.col("quote_start"), F.col("fact_id"), F.greatest("size", F.lit(1)).alias("size"))
     lists = groups.groupBy("doc_id").agg(F.array_sort(F.collect_list(key)).alias("g"))
     items = F.transform("g", lambda x, i: F.struct(i.alias("no"), x["size"].alias("size")))
     runs = lists.select("doc_id", "g", F.posexplode(greedy_runs(items, limit)).alias("batch", "r"))
-    return runs.select("doc_id", "batch", F.explode(F.slice("g", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1)).alias("x")).select("doc_id", "batch", "x.fact_id", "x.size")
+    members = F.slice("g", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1)
+    return runs.select("doc_id", "batch", F.posexplode(members).alias("nth", "x")).select("doc_id", "batch", "nth", "x.fact_id", "x.size")

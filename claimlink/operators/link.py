@@ -358,14 +358,26 @@ def link_run(ranked: DataFrame, facts: DataFrame, relations: DataFrame, toleranc
     return relations.unionByName(settled), judged.where("NOT settled")
 
 
+def undecided_pairs(judged: DataFrame) -> DataFrame:
+    """(fact_id, other_id, rank, doc_id, page_no, quote_start): pairs that arithmetic leaves open, each once, under the smaller id of the facts that ask for it."""
+    row = F.struct("fact_id", "other_id", "rank", "a.doc_id", "a.page_no", "a.quote_start")
+    pair = F.struct(F.least("fact_id", "other_id"), F.greatest("fact_id", "other_id"))
+    return judged.where("NOT settled").groupBy(pair.alias("pair")).agg(F.min_by(row, "fact_id").alias("x")).select("x.*")
+
+
 def judge_batches(judged: DataFrame, limit: int = 40) -> DataFrame:
-    """(doc_id, batch, fact_id, size): undecided pairs as groups of a fact and its candidates, packed into requests."""
-    first = judged.where("NOT settled").withColumn("pair", F.struct(F.least("fact_id", "other_id"), F.greatest("fact_id", "other_id")))
-    first = first.groupBy("pair").agg(F.min(F.struct("fact_id", "a.doc_id", "a.page_no", "a.quote_start")).alias("f"))
-    groups = first.groupBy("f.doc_id", "f.page_no", "f.quote_start", "f.fact_id").agg((F.count("*") + 1).alias("size"))
+    """(doc_id, batch, nth, fact_id, size): undecided pairs as groups of a fact and its candidates, packed into requests."""
+    groups = undecided_pairs(judged).groupBy("doc_id", "page_no", "quote_start", "fact_id").agg((F.count("*") + 1).alias("size"))
     return pack_groups(groups, limit)
 
 
+def batch_members(batches: DataFrame, judged: DataFrame) -> DataFrame:
+    """(doc_id, batch, nth, place, fact_id): the facts of each request, group by group: the one that asks, then its candidates by rank."""
+    first = batches.select("doc_id", "batch", "nth", F.lit(0).alias("place"), "fact_id")
+    others = undecided_pairs(judged).select("fact_id", F.col("other_id").alias("other"), "rank")
+    return first.unionByName(batches.join(others, "fact_id").select("doc_id", "batch", "nth", F.col("rank").alias("place"), F.col("other").alias("fact_id")))
+
+
 def link_stats(facts: DataFrame, ranked: DataFrame, fresh: DataFrame, judged: DataFrame) -> DataFrame:
     """Counts of a link run for each document: new facts, candidates before and after leaving out judged pairs, groups and settled pairs."""
     measures = {
