@@ -10,8 +10,8 @@ others of the key, which is linear in the key's size; the leaders of hot keys co
 task reads a hot key. Where that leaves the nodes of a leader's keys in several components, the pairs across components are compared by their
 sketches, in blocks within tasks, and those that the bound doesn't clear by their sets. No link is lost.
 
-Sketches come with the keys, from the one pass that reads all texts; only texts in pairs that aren't cleared are fetched for
-their exact sets. Joins of pairs have a merge hint: with the nodes' number, both sides outgrow any broadcast.
+Sketches come with the keys, from the one pass that reads all texts; only texts in pairs that aren't cleared are fetched, and
+their exact sets are made where both meet. Joins of pairs have a merge hint: with the nodes' number, both sides outgrow any broadcast.
 """
 
 from __future__ import annotations
@@ -100,7 +100,8 @@ def sketch_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (the set's hash; null if it is empty), keys and sketch; the last two are null for copies that the task has met."""
+    """doc_id, n_shingles, node (the set's hash; null if it is empty), keys and sketch, which are null for copies that the task has met,
+    and unnamed, a hash of the text where the doc_id is null."""
     bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,32 +118,32 @@ def digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if node is not None and len(met) < REMEMBERED:
                     met.add(node)
             lists = (pa.array(x, pa.list_(pa.int64())) for x in (keys, sketches))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "n_shingles", "node", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists, batch.column(2)], names=["doc_id", "n_shingles", "node", "keys", "sketch", "unnamed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return text_rows(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, keys array<long>, sketch array<long>")
+    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("unnamed")
+    return text_rows(docs).select("doc_id", "text", unnamed).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, keys array<long>, sketch array<long>, unnamed long")
 
 
 def owners(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and doc_id, the smallest of those that have its set, of each node in the pairs (a, b); rows are as digests gives them."""
+    """node, and of the documents that have its set the smallest doc_id, or the hash of a text where all of them have a null doc_id,
+    for each node in the pairs (a, b); rows are as digests gives them."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return rows.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return rows.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("unnamed").alias("unnamed"))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node and hashes of the wanted (doc_id, node), one row for each node."""
+def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """node and text of the wanted (node, doc_id, unnamed), one row for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):
-            nodes, sets = [], []
-            for node, found in zip(batch.column(0).to_pylist(), shingle_sets(utf8(batch.column(1)), n), strict=True):
-                if len(found) and set_hash(found) == node:  # else another text of the same doc_id
-                    nodes.append(node)
-                    sets.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+            nodes = batch.column(0).to_pylist()
+            right = [len(x) > 0 and set_hash(x) == node for node, x in zip(nodes, shingle_sets(utf8(batch.column(1)), n), strict=True)]
+            yield batch.filter(pa.array(right, pa.bool_()))  # the others are further texts of the same doc_id
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    return rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+    named = docs.select("doc_id", "text").join(wanted.where("doc_id IS NOT NULL").select("node", "doc_id"), "doc_id")
+    unnamed = docs.where("doc_id IS NULL").select(F.xxhash64("text").alias("unnamed"), "text").join(wanted.where("doc_id IS NULL").select("node", "unnamed"), "unnamed")
+    return named.select("node", "text").unionByName(unnamed.select("node", "text")).mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
 def stars(keyed: DataFrame) -> DataFrame:
@@ -168,11 +169,33 @@ def not_cleared(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     return met.where(apart <= most).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
-    left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' sets are similar enough.
+
+    A task reads, for each a, its text and then those of its partners, one after the other; the partners of an a are salted
+    where there are more than MEMBERS of them. So a row has one text, and sets, which take several times the room of their texts, are never shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, np.zeros(0, U64)
+        for batch in arrow_batches(batches):
+            found: list[list[int]] = [[], []]
+            for a, salt, b, x in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")), shingle_sets(utf8(batch.column("text")), n), strict=True):
+                if b is None:
+                    key, own = (a, salt), x
+                elif key == (a, salt):
+                    both = len(np.intersect1d(own, x, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(x) - both):
+                        found[0].append(a)
+                        found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
+    salted = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
+    own = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a").hint("merge"), "a")
+    partners = salted.join(texts.withColumnRenamed("node", "b").hint("merge"), "b")
+    rows = own.select("a", "salt", F.lit(None).cast("long").alias("b"), "text").unionByName(partners.select("a", "salt", "b", "text"))
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
 
 
 def open_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +236,8 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Documents link when their sets of n-word shingles have a Jaccard similarity of percent / 100 or more. Words are split at
     ASCII white space; shorter texts have their whole sequence as one shingle. Null, empty and blank texts have no shingles,
-    link with nothing and are their own component. Rows with a repeated doc_id are linked each by its own text.
+    link with nothing and are their own component. Rows with a repeated doc_id are linked each by its own text, and so are rows with
+    a null doc_id; where all of a component have one, its component_id is null.
     """
     docs = docs.select("doc_id", "text")
     rows = materialise(digests(docs, n, percent))
@@ -223,17 +247,17 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sketches = materialise(rows.where("keys IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     near = materialise(not_cleared(pairs, sketches, percent))
     wanted = materialise(owners(rows, near))
-    sets = materialise(sets_of(docs, wanted.hint("merge"), n))
-    links = materialise(verified(near, sets, percent))
+    texts = materialise(texts_of(docs, wanted.hint("merge"), n))
+    links = materialise(verified(near, texts, n, percent))
     labels = components(links)
     members = pairs.select(F.col("a").alias("leader"), F.explode(F.array("a", "b")).alias("node")).distinct()
     members = members.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).select("leader", "node", "c")
     left = materialise(open_pairs(members, sketches, percent).join(pairs, ["a", "b"], "left_anti"))
-    spent = [rows, pairs, sketches, near, wanted, sets, links, left]
+    spent = [rows, pairs, sketches, near, wanted, texts, links, left]
     if not left.isEmpty():
-        others = materialise(owners(rows, left).join(sets.select("node"), "node", "left_anti"))
-        rest = materialise(sets_of(docs, others, n))  # most of them are known; Spark broadcasts the others if they are few
-        more = materialise(verified(left, sets.union(rest), percent))
+        others = materialise(owners(rows, left).join(texts.select("node"), "node", "left_anti"))
+        rest = materialise(texts_of(docs, others, n))  # most of them are known; Spark broadcasts the others if they are few
+        more = materialise(verified(left, texts.union(rest), n, percent))
         labels = components(links.union(more))
         spent += [others, rest, more]
 

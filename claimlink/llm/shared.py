@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import weakref
@@ -126,6 +127,29 @@ class Spans:
         return (self._sums[end] - self._sums[start]) * self._down[start]
 
 
+#: Bytes of a word up to which its hash is made eight bytes a step for all words at once; longer ones are hashed one by one.
+LONG_WORD = 1024
+
+
+def word_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of a byte buffer. Every eight bytes are mixed into what the bytes before them gave, so unlike a sum of
+    powers no regular words have equal hashes by construction."""
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buffer) + 1,), "<u8", padded, 0, (1,))
+    size = end - start
+    out = mix(size.astype(U64) + _GOLDEN)
+    order = np.argsort(-size, kind="stable")
+    falling = -size[order]
+    for at in range(0, min(int(size.max(initial=0)), LONG_WORD), 8):
+        some = order[: np.searchsorted(falling, -at)]  # words of more than so many bytes
+        left = np.minimum(size[some] - at, 8).astype(U64)
+        part = eight[start[some] + at] & (~U64(0) >> (U64(64) - U64(8) * left))
+        out[some] = mix(out[some] ^ part) * _GOLDEN
+    for k in order[: np.searchsorted(falling, -LONG_WORD)]:
+        out[k] = U64(int.from_bytes(hashlib.blake2b(buffer[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little"))
+    return mix(out)
+
+
 def words(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of the texts: (hash, start, end in the texts joined by a newline, first word of each text and the total)."""
     texts = list(texts)
@@ -136,7 +160,7 @@ def words(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     if len(end) < len(start):
         end = np.append(end, len(buffer))
     offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-    return mix(Spans(buffer).of(start, end)), start, end, np.searchsorted(start, offsets)
+    return word_hashes(buffer, start, end), start, end, np.searchsorted(start, offsets)
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -18,7 +18,7 @@ import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
 
-from claimlink.llm import chat_format, factor_quality, html_text, jaccard_join, packing, pieces, quality_rules, repeats, topk, url_filter
+from claimlink.llm import chat_format, factor_quality, html_text, jaccard_join, packing, pieces, quality_rules, repeats, shared, topk, url_filter
 from claimlink.llm.graph import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -122,6 +122,30 @@ def test_op1_empty_and_repeated_rows(spark):
     assert jaccard_join.first_of_each_group(twice).count() == 2
 
 
+def test_op1_links_rows_without_ids(spark):
+    base = [f"w{i}" for i in range(120)]
+    near = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    far = lambda k: " ".join(f"{k}v{i}" for i in range(30))
+    # 9 and 3 are linked only by way of rows without ids; two such rows are linked with each other, one with nothing
+    rows = [(9, near()), (None, near(4)), (None, near(4, 60)), (3, near(4, 60, 100)), (None, near(4)), (None, far("a")), (None, far("a") + " end"), (None, far("b")), (5, far("c")), (None, "")]
+    got = sorted(map(tuple, jaccard_join.link_documents(spark.createDataFrame(rows, DOCS).repartition(3), 4, 85).collect()), key=repr)
+    expected = [(i, len(shingles(t, 4)), {**dict.fromkeys(range(5), 3), 8: 5}.get(k)) for k, (i, t) in enumerate(rows)]
+    assert got == sorted(expected, key=repr)
+
+
+def test_words_that_differ_have_different_hashes():
+    regular = [b"a"]
+    while len(regular[-1]) < 4096:
+        regular.append(regular[-1] + regular[-1].translate(bytes.maketrans(b"ab", b"ba")))  # Thue and Morse's word
+    texts = [w for x in regular for w in (x, x.translate(bytes.maketrans(b"ab", b"ba")))]
+    rng = random.Random(1)
+    texts += list({bytes(rng.choices(b"abc", k=rng.randint(1, 40))) for _ in range(4000)} - set(texts))
+    hashes, start, end, _ = shared.words([b" ".join(texts)])
+    assert len(set(hashes.tolist())) == len(texts) == len(hashes)
+    again = shared.words([b"  " + b"\n".join(texts[::-1]), b"z"])[0]
+    assert again[:-1][::-1].tolist() == hashes.tolist() and (end - start).tolist() == [len(t) for t in texts]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
