@@ -79,7 +79,23 @@ def whole_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("chunk_id", "doc_id", "page_start", "page_end", F.length("text").cast("long").alias("chars"))
 
 
-@query()
+_ALL_CHUNKS_SQL = _CHUNKS_SQL[: _CHUNKS_SQL.rindex("SELECT doc_id || ':'")] + """, s AS (
+  SELECT doc_id, page_no, string_split(text, chr(10) || chr(10)) AS ps, CAST(0 AS BIGINT) AS i, []::VARCHAR[] AS parts FROM pages WHERE length(text) > 6000
+  UNION ALL
+  SELECT doc_id, page_no, ps, i + 1, list_concat(CASE WHEN fresh THEN parts ELSE parts[:-2] END, list_transform(range(0, greatest(length(joined) - 1, 0) // 6000 + 1), lambda k: substring(joined, k * 6000 + 1, 6000)))
+  FROM (SELECT *, CASE WHEN fresh OR last = '' THEN p ELSE last || chr(10) || chr(10) || p END AS joined FROM (SELECT *, last <> '' AND length(last) + length(p) + 2 > 6000 AS fresh FROM (SELECT *, coalesce(parts[-1], '') AS last, ps[i + 1] AS p FROM s WHERE i < len(ps)) x) y) z
+), part AS (
+  SELECT doc_id, page_no, unnest(range(0, len(found))) AS j, unnest(found) AS text FROM (SELECT doc_id, page_no, list_filter(parts, lambda x: x <> '') AS found FROM s WHERE i = len(ps)) f
+), chunk AS (
+  SELECT c.doc_id || ':' || page_start || '-' || page_end AS chunk_id, c.doc_id, page_start, page_end, string_agg('[[page ' || page_no || ']]' || chr(10) || text, chr(10) || chr(10) ORDER BY page_no) AS text
+  FROM c JOIN pages q ON q.doc_id = c.doc_id AND q.page_no BETWEEN page_start AND page_end GROUP BY c.doc_id, page_start, page_end
+  UNION ALL
+  SELECT doc_id || ':' || page_no || '-' || page_no || '#' || j, doc_id, page_no, page_no, '[[page ' || page_no || ']]' || chr(10) || text FROM part
+)
+"""
+
+
+@query(_ALL_CHUNKS_SQL + "SELECT * FROM chunk")
 def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.make_chunks(t.pages(spark, sf_dir), 6000)
 
@@ -98,7 +114,8 @@ def doc_meta_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.doc_meta_requests(t.pages(spark, sf_dir), _page_documents(spark, sf_dir))
 
 
-@query()
+@query(_ALL_CHUNKS_SQL + "SELECT chunk_id, doc_id, '- title: Title' || " + " || ".join(f"chr(10) || '- {k}: (unknown)'" for k in requests.CONTEXT_KEYS[1:]) + """ AS context,
+  'Extract facts from pages ' || page_start || '-' || page_end || '.' || chr(10) || chr(10) || text AS prompt FROM chunk""")
 def extraction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.extraction_requests(all_chunks(spark, sf_dir), _page_documents(spark, sf_dir))
 
@@ -190,6 +207,18 @@ def fiscal_year_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "orders").select("o_orderkey", norm.parse_period(label, F.lit(4)).alias("p")).select("o_orderkey", "p.start", "p.end")
 
 
+_CONVENTIONS = ("Calendar year", "July to June", "October-September", "calendar year, but April to March in the annex", "")
+
+
+@query("""SELECT o_orderkey, m AS first_month, strftime(make_date(y - CASE m WHEN 1 THEN 0 ELSE 1 END, m, 1), '%Y-%m-%d') AS "start", strftime(make_date(y - CASE m WHEN 1 THEN 0 ELSE 1 END, m, 1) + INTERVAL 12 MONTH - INTERVAL 1 DAY, '%Y-%m-%d') AS "end",
+  CASE m WHEN 1 THEN 'calendar_year' ELSE 'fiscal_year' END AS type FROM (SELECT o_orderkey, [1, 7, 10, 4, 4][o_orderkey % 5 + 1] AS m, CAST(year(o_orderdate) + 10 AS INTEGER) AS y FROM orders) o""")
+def fiscal_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first month of a year from what a document says about its years, and the period of a label by it."""
+    said = F.get(F.array(*map(F.lit, _CONVENTIONS)), (F.col("o_orderkey") % len(_CONVENTIONS)).cast("int"))
+    rows = t.table(spark, sf_dir, "orders").select("o_orderkey", norm.fiscal_start_month(said).alias("first_month"), F.concat(F.lit("FY"), F.year("o_orderdate") + 10).alias("label"))
+    return rows.select("o_orderkey", "first_month", norm.parse_period(F.col("label"), F.col("first_month")).alias("p")).select("o_orderkey", "first_month", "p.*")
+
+
 @query("""SELECT o_orderkey, strftime(make_date(year(o_orderdate), 3 * q - 2, 1), '%Y-%m-%d') AS "start", strftime(last_day(make_date(year(o_orderdate), 3 * q, 1)), '%Y-%m-%d') AS "end", 'quarter' AS type
 FROM (SELECT *, CAST(quarter(o_orderdate) AS INTEGER) AS q FROM orders) o""")
 def quarter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

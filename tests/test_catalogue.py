@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimlink.jobs import adapters, catalogue
-
-#: Queries without SQL that other tests cover, or that only add text to rows.
-SLOW = {"grounding_tiers"}
-
+from claimlink.operators import ground, passages
 
 def value(v):
     return round(v, 6) if isinstance(v, float) else v
@@ -31,7 +30,7 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert rows_of(got.select(*(f"`{c}`" for c in columns)).collect(), columns, columns) == rows_of(found.fetchall(), names, columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert catalogue.queries()[name](spark, sf_dir).limit(1).count() == 1
 
@@ -49,3 +48,24 @@ def test_ground_exact_in_all_languages(spark, sf_dir):
     langs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang").collect()
     exact = {i.split("-")[0] for i, x in got.items() if x[1] == "exact"}
     assert {r.lang for r in langs if str(r.doc_id) in exact} == {r.lang for r in langs} > {"en"}
+
+
+def test_grounding_tiers_count_what_grounding_finds(spark, sf_dir):
+    stored = adapters.quotes(spark, sf_dir)
+    first = ground.ground(stored.withColumn("page_start", F.col("page")).withColumn("page_end", F.col("page") + 1), adapters.pages(spark, sf_dir))
+    counts = {r.grounding: r.n for r in catalogue.queries()["grounding_tiers"](spark, sf_dir).collect()}
+    assert counts == {r.grounding: r["count"] for r in first.groupBy("grounding").count().collect()}
+    assert {"exact", "fuzzy"} <= set(counts) and sum(counts.values()) == stored.count()
+
+
+def test_passages_of_any_length_are_found(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SHORT_AT_ONCE", 2)
+    rng = random.Random(3)
+    words = ["one", "two", "three", "four", "fi", "ve", "é", "😀", ""]
+    texts = [None, "", *(" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(60))]
+    given = [(None), "", "one", "one two", "one two three", "ve", "n", " ", "  ", "😀 é", "one two three four", "ree four", "not there", "not there at all ever", texts[5], texts[9][3:20], texts[9][3:20]]
+    items = spark.createDataFrame(list(enumerate(given)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("start", F.lit("x"))
+    expected = sorted((i, d, t.index(p)) for i, p in enumerate(given) if p is not None for d, t in enumerate(texts) if t is not None and p in t)
+    assert sorted(map(tuple, passages.locate_passages(items, docs).collect())) == expected
+    assert passages.locate_passages(items.limit(0), docs).count() == 0 == passages.locate_passages(items, docs.limit(0)).count()
