@@ -81,9 +81,9 @@ class Aside:
         self.length = self.marked = 0
         self.main = False
 
-    def wraps(self, lines: list[tuple[str, int, bool]]) -> bool:
-        marked = sum(n for _, n, m in lines if m)
-        outside = marked or sum(n for _, n, _ in lines)
+    def wraps(self, marked: int, shown: int) -> bool:
+        """marked, shown: lengths of the lines of articles, and of all lines."""
+        outside = marked or shown
         held = self.marked if marked or self.marked else self.length
         return held > 0 and ((self.main and not marked) or outside == 0 or (self.kind == LAYOUT and held > outside))
 
@@ -93,7 +93,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     wrappers: set[int] = set()
     for _ in range(ROUNDS):
         lines, asides = _scan(page, wrappers)
-        found = max((a for a in asides if a.wraps(lines)), key=lambda a: (a.main, a.marked, a.length), default=None)
+        marked, shown = sum(n for _, n, m in lines if m), sum(n for _, n, _ in lines)
+        found = max((a for a in asides if a.wraps(marked, shown)), key=lambda a: (a.main, a.marked, a.length), default=None)
         if found is None:
             return lines
         wrappers.add(found.at)
@@ -224,13 +225,15 @@ def surge_to_dive(lengths: np.ndarray) -> tuple[int, int]:
 def main_text(page: str) -> str:
     """The lines between the first surge and the last dive of the windowed text lengths, joined by newlines.
 
-    Where the page has an article or main element, lines outside it are empty and links within it are text. An empty page, or
+    Where the page has an article or main element, lines outside it are empty, and all lines within it are text, links as well. An empty page, or
     one of links only, has an empty text; of a page that is cut off within a tag, what comes before is read.
     """
     lines = page_lines(page)
     marked = any(m for _, _, m in lines)
     lengths = np.array([(len(text) if m else 0) if marked else n for text, n, m in lines], np.int64)
     first, end = surge_to_dive(lengths)
+    if marked and (own := np.flatnonzero(lengths)).size:  # what a page marks as its article stays, however far from the longest text
+        first, end = min(first, int(own[0])), max(end, int(own[-1]) + 1)
     return "\n".join(text for (text, _, m), n in zip(lines[first:end], lengths[first:end], strict=True) if text and (n or not marked))
 
 

@@ -341,6 +341,26 @@ def test_op3_no_cut_or_drop_on_unmarked_pages():
     assert html_text.main_text(page).split("\n") == [short, long.strip(), "A paragraph that is a link and nothing else", short, short, long.strip(), short]
 
 
+def test_op3_windows_decide_where_a_page_marks_nothing():
+    long = "<p>" + "A sentence of the article that is long enough to count. " * 3 + "</p>"
+    links = "".join(f"<p><a href='/{i}'>Link {i}</a></p>" for i in range(6))
+    page = f"<body><p>Home</p><p>About</p>{links}{long}<p>Short.</p>{long}{links}<p>Imprint</p></body>"
+    text = html_text.main_text(page)
+    assert text.count("long enough") == 6 and "Short." in text and not any(w in text for w in ("Home", "About", "Link", "Imprint"))
+
+
+def test_op3_keeps_all_that_is_in_articles_and_takes_linear_time():
+    outside = "".join(f"<p>Outside {i}</p>" for i in range(5))
+    page = f"<article><p>A note.</p></article>{outside}<article>{'<p>Long text of the second article, with many words in it.</p>' * 4}</article>{outside}<main><p>End.</p></main>"
+    lines = html_text.main_text(page).split("\n")
+    assert lines[0] == "A note." and lines[-1] == "End." and len(lines) == 6
+    for name in ("ad", "sidebar"):
+        page = "<body>" + "".join(f"<div class='{name}'>buy {i}</div><p>Paragraph {i} with some text in it.</p>" for i in range(20_000)) + "</body>"
+        begun = time.time()
+        assert html_text.main_text(page).count("\n") == 19_999
+        assert time.time() - begun < 15
+
+
 def test_op4_held_out_accuracy(spark, sf_dir):
     scored = factor_quality.op4_quality_classifier(spark, sf_dir.replace("0.001", "0.01"))
     labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet")
