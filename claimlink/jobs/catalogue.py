@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlink.functions import normalize as norm
@@ -13,7 +13,8 @@ from claimlink.functions.helpers import number_in_quote
 from claimlink.functions.text import clean_text
 from claimlink.jobs import adapters as t
 from claimlink.operators import chunks, facts, ground, link, passages, report, requests
-from claimlink.sources import tables
+from claimlink.sources import schemas, tables
+from claimlink.streaming import ingest, linking
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Spark 4.1 takes a union of equally partitioned inputs as partitioned, though adaptive execution may have merged partitions of one
@@ -200,6 +201,13 @@ def numbers_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Facts.
 
 
+@query(_ALL_CHUNKS_SQL + "SELECT chunk_id, page_start AS first_page, page_end AS last_page FROM chunk")
+def pages_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that a chunk's id names."""
+    first, last = ground.pages_of_chunk(F.col("chunk_id"), F.lit(0))
+    return all_chunks(spark, sf_dir).select("chunk_id", first.alias("first_page"), last.alias("last_page"))
+
+
 @query("SELECT o_orderkey, strftime(make_date(y, 4, 1), '%Y-%m-%d') AS \"start\", strftime(make_date(y + 1, 3, 31), '%Y-%m-%d') AS \"end\" FROM (SELECT o_orderkey, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 4 THEN 1 ELSE 0 END AS INTEGER) AS y FROM orders) o")
 def fiscal_year_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.year("o_orderdate") - F.when(F.month("o_orderdate") < 4, 1).otherwise(0) + 1
@@ -264,6 +272,23 @@ def numeric_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.col("x_start").alias("period_start"), F.round("delta", 6).alias("delta"))
 
 
+_TEXT_SQL = "printf('%.2f', {p}.value_num) || ' (' || CASE {p}.publisher WHEN 'A' THEN 'thousand' ELSE 'million' END || ')'"
+
+
+@query(_NUMBERS_SQL + f""", p AS (SELECT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b, a.year AS year, {_TEXT_SQL.format(p="a")} AS one, {_TEXT_SQL.format(p="b")} AS two, abs(a.value_norm - b.value_norm) / greatest(a.value_norm, b.value_norm, 1e-9) AS gap
+FROM f a JOIN f b ON a.nation = b.nation AND a.year = b.year AND a.publisher = 'A' AND b.publisher = 'B')
+SELECT doc_a, doc_b, 'Key order_value, period ' || year || '-04-01 to ' || (year + 1) || '-03-31 and unit USD are the same; A ' || one || ' and B ' || two || ' differ by ' || printf('%.2f', gap * 100) || '%.' AS reason FROM p WHERE gap <= 0.01""")
+def numeric_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why values are held to agree, the values in order of their publishers."""
+    rows = _numbers(spark, sf_dir)
+    names = lambda c, n: rows.select(F.col("id").alias(c), F.col("doc_id").alias(n), F.concat("value_text", F.lit(" ("), "scale", F.lit(")")).alias(f"{n}_value"))
+    found = link.numeric_matches(rows).join(names("fact_a", "x"), "fact_a").join(names("fact_b", "y"), "fact_b")
+    first = F.col("x") < F.col("y")
+    one, two = F.when(first, F.col("x_value")).otherwise(F.col("y_value")), F.when(first, F.col("y_value")).otherwise(F.col("x_value"))
+    told = F.replace("reasoning", F.concat("x_value", F.lit(" and "), "y_value"), F.concat(F.lit("A "), one, F.lit(" and B "), two))
+    return found.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), told.alias("reason"))
+
+
 @query("SELECT conv_id, CAST(turn AS BIGINT) AS page, role AS attribute, text AS quote FROM conversations WHERE text IS NOT NULL")
 def parse_fact_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses made of conversations' turns, and read again."""
@@ -299,6 +324,13 @@ def key_candidates_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.key_candidates(t.facts(spark, sf_dir), "incremental").withColumn("sim", F.round("sim", 6))
 
 
+@query("SELECT vec_id, round(list_sum(list_transform(u, x -> x * x)), 6) AS squares, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, x -> 3 * x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, y -> 9 * y::DOUBLE * y::DOUBLE))), 1e-9)) AS u FROM embeddings) e".replace("x ->", "lambda x:").replace("y ->", "lambda y:"))
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of three times their length, scaled to unit length."""
+    unit = link.unit_length(F.transform("embedding", lambda x: x.cast("double") * 3))
+    return t.table(spark, sf_dir, "embeddings").withColumn("u", unit).select("vec_id", F.round(link.dot(F.col("u"), F.col("u")), 6).alias("squares"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
+
+
 def _last_document(rows: DataFrame) -> DataFrame:
     """The facts of the document that came last."""
     return rows.join(rows.agg(F.max("doc_seq").alias("doc_seq")), "doc_seq", "left_semi")
@@ -628,3 +660,96 @@ def page_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = tables.page_maps(t.pages(spark, sf_dir))
     chars = F.aggregate(F.map_values("pages"), F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     return maps.select("doc_id", F.size("pages").cast("long").alias("n"), chars.alias("chars"))
+
+
+@query(_L + " SELECT id, doc_id, page_no, quote_start FROM facts WHERE doc_id NOT IN ('d2', 'd5')")
+def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts written to a table of buckets, from which two documents are deleted."""
+    path = tables.workspace(spark)
+    tables.write_facts(t.facts(spark, sf_dir), path)
+    tables.delete_stored(spark, path, t.documents(spark, sf_dir).where("doc_id IN ('d2', 'd5')"))
+    return spark.read.parquet(path).select("id", "doc_id", "page_no", "quote_start")
+
+
+@query("WITH " + t.PAGES_SQL + " SELECT doc_id, page_no, text FROM pages")
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written, and read with their schema."""
+    path = tables.workspace(spark)
+    t.pages(spark, sf_dir).write.parquet(path)
+    return tables.read_pages(spark, path)
+
+
+@query("WITH " + t.PAGES_SQL + " SELECT doc_id, page_no, text FROM pages")
+def exported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export's page maps, read back from their JSON lines."""
+    path = tables.workspace(spark)
+    tables.export_json({"pages": t.pages(spark, sf_dir)}, path)
+    maps = spark.read.schema("doc_id string, pages map<string, string>").json(f"{path}/pages")
+    return maps.select("doc_id", F.explode("pages").alias("no", "text")).select("doc_id", F.col("no").cast("int").alias("page_no"), "text")
+
+
+@query(_CALLS + " SELECT purpose, model, ok, count(*) * 2 AS n, round(sum(cost_usd) * 2, 4) AS usd FROM calls GROUP BY 1, 2, 3")
+def logged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of calls after two runs have added to it."""
+    path = tables.workspace(spark)
+    for _ in range(2):
+        tables.append_calls(t.calls(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("purpose", "model", "ok").agg(F.count("*").alias("n"), F.round(F.sum("cost_usd"), 4).alias("usd"))
+
+
+@query(_L + " SELECT id, doc_id, page_no, quote_start FROM facts ORDER BY doc_id, page_no, quote_start NULLS LAST, id")
+def facts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.facts_in_order(t.facts(spark, sf_dir)).select("id", "doc_id", "page_no", "quote_start")
+
+
+# Streams. The tables' rows arrive in three files, one for each micro-batch.
+
+
+def _arriving(rows: DataFrame, file: Column, path: str, *columns: str) -> None:
+    """rows as three files that come one after the other, by a column that is 0, 1 or 2."""
+    for n in range(3):
+        rows.where(file == n).select(*columns).coalesce(1).write.mode("append").parquet(path)
+
+
+_STREAM_SQL = """, g AS (
+  SELECT substr(sha256(doc_id || chr(31) || publisher || '-' || nation || '-' || year || chr(31) || year), 1, 12) AS id, doc_id, nation % 3 AS file, nation, year, publisher, value_norm FROM f
+), c AS (
+  SELECT a.id AS fact_id, b.id AS other_id, a.doc_id, a.nation = b.nation AND a.year = b.year AND abs(a.value_norm - b.value_norm) / greatest(abs(a.value_norm), abs(b.value_norm), 1e-9) <= 0.01 AS settled,
+    row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS rank FROM g a JOIN g b ON (b.file, b.doc_id) < (a.file, a.doc_id)
+), r AS (SELECT * FROM c WHERE rank <= 9)"""
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> linking.Layer:
+    """The numbers' documents, a page each, streamed and linked; the stream is started again after its end, which changes nothing."""
+    documents, raw, path = t.publishers(spark, sf_dir), t.raw_numbers(spark, sf_dir), tables.workspace(spark)
+    nation = F.substring("doc_id", 2, 9).cast("int")
+    _arriving(documents.select("doc_id", F.lit(1).alias("page_no"), F.concat(F.lit("Figures of "), "doc_id").alias("text")), nation % 3, f"{path}/in", *schemas.PAGES.fieldNames())
+    raw.write.parquet(f"{path}/raw")
+    for _ in range(2):
+        linking.stream_link(spark, ingest.page_stream(spark, f"{path}/in", schemas.PAGES), spark.read.parquet(f"{path}/raw"), documents, f"{path}/layer", f"{path}/checkpoint", "exact", buckets=4).awaitTermination()
+    return linking.Layer(spark, f"{path}/layer", 4)
+
+
+@query(_NUMBERS_SQL + _STREAM_SQL + " SELECT DISTINCT least(fact_id, other_id) AS fact_a, greatest(fact_id, other_id) AS fact_b, doc_id, 'corroborates' AS type, 'deterministic' AS method FROM r WHERE settled")
+def streamed_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of arriving documents ask those of earlier ones; what arithmetic settles is stored once."""
+    return _streamed(spark, sf_dir).relations.read(linking.RELATIONS).select("fact_a", "fact_b", "doc_id", "type", "method")
+
+
+@query(_NUMBERS_SQL + _STREAM_SQL + """ SELECT g.doc_id, count(*) AS new_facts, CAST((SELECT count(*) FROM r WHERE r.doc_id = g.doc_id) AS BIGINT) AS candidates, CAST(0 AS BIGINT) AS already_judged,
+  CAST((SELECT count(DISTINCT fact_id) FROM r WHERE r.doc_id = g.doc_id AND NOT settled) AS BIGINT) AS groups, CAST(0 AS BIGINT) AS llm_relations, CAST((SELECT count(*) FROM r WHERE r.doc_id = g.doc_id AND settled) AS BIGINT) AS deterministic_relations FROM g GROUP BY g.doc_id""")
+def streamed_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the micro-batches did, read back from their log."""
+    return link.run_totals(spark.read.parquet(f"{_streamed(spark, sf_dir).folder}/runs"))
+
+
+@query("SELECT substr(sha256(text), 1, 12) AS doc_id, sha256(text) AS sha256, arg_min(CAST(doc_id AS VARCHAR), (doc_id % 3) * 1000000000 + doc_id) AS filename FROM documents WHERE text IS NOT NULL GROUP BY text")
+def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that arrive in several files are registered once, under the name with which they came first."""
+    path = tables.workspace(spark)
+    rows = t.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("filename"), F.col("text").alias("content"))
+    _arriving(rows, F.col("doc_id") % 3, f"{path}/in", "filename", "content")
+    source = spark.readStream.schema("filename string, content string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    linking.stream_register(spark, source, f"{path}/layer", f"{path}/checkpoint", 8).awaitTermination()
+    found = linking.Layer(spark, f"{path}/layer", 8).registered.read(linking.REGISTERED)
+    return found.select("doc_id", "sha256", F.col("filename").cast("long").cast("string").alias("filename"))

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlink.sources.schemas import FACT_COLUMNS, PAGES
 
 
+def workspace(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; on a local master a temporary one where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="claimlink-")
+    return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages; their order is that of page_no, never that of rows."""
     return spark.read.schema(PAGES).parquet(path)

@@ -69,3 +69,8 @@ def test_passages_of_any_length_are_found(spark, monkeypatch):
     expected = sorted((i, d, t.index(p)) for i, p in enumerate(given) if p is not None for d, t in enumerate(texts) if t is not None and p in t)
     assert sorted(map(tuple, passages.locate_passages(items, docs).collect())) == expected
     assert passages.locate_passages(items.limit(0), docs).count() == 0 == passages.locate_passages(items, docs.limit(0)).count()
+
+
+def test_facts_come_in_order(spark, duck, sf_dir):
+    got = [tuple(r) for r in catalogue.queries()["facts_in_order"](spark, sf_dir).collect()]
+    assert got == duck.execute(catalogue.oracle_sql()["facts_in_order"]).fetchall()
