@@ -14,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from tokenizers import Tokenizer
 from claimlink.llm.shared import arrow_batches, materialise, text_rows
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Chunks that one worker remembers, in each of two generations; longer chunks aren't remembered.
-CACHE, CACHED_CHARS, FEW = 350_000, 32, 10_000
+#: Chunks that one worker remembers, in each of two generations, and from one task to the next; longer chunks aren't remembered.
+CACHE, KEPT, CACHED_CHARS, FEW = 350_000, 100_000, 32, 10_000
 #: Pieces to a salt; ranks of one length are computed in as many groups as there are salts.
 SALTED = 250_000
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#()-]*)")
@@ -65,8 +66,8 @@ class ByteLevelEncoder:
         return chr(b if b in shows else 256 + sum(x not in shows for x in range(b)))
 
     def forget(self) -> None:
-        """Workers outlive tasks, and other stages need the memory."""
-        self.new, self.old = {}, {}
+        """Workers outlive tasks, and other stages need the memory. The chunks that came first, which are the frequent ones, stay."""
+        self.new, self.old = dict(islice(self.new.items(), KEPT)), {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
