@@ -1,13 +1,14 @@
 """Removal of repeated byte strings of a minimum length, across and within documents.
 
 Candidates: each window of min_bytes bytes has an anchor, the k-byte string in it with the least hash, so equal windows have equal
-anchors. Consecutive windows with one anchor form a segment. One shuffle by anchor tells which segments have occurred before as
-a whole, and which share their anchor with other segments only.
+anchors. Consecutive windows with one anchor form a segment. One shuffle by anchor tells which segments meet others: segments
+with an anchor of their own hold no repeated window.
 
-The latter are decided exactly: per group of anchors, the segments' bytes form one text whose suffixes are sorted; from its
+The others are decided by their bytes: per group of anchors, these form one text whose suffixes are sorted; from its
 Burrows-Wheeler transform, intervals of suffixes with a common prefix are extended backwards, breadth first, by STRIDE bytes a
 level. So common prefixes come out in order of their length; intervals of one suffix are dropped, and the search stops at the
-minimum length, where each interval holds the occurrences of one repeated window.
+minimum length, where each interval holds the occurrences of one repeated window. Of a segment that occurs as a whole in many
+documents the first two are in the text; what holds for the second holds for all further ones, so these needn't be moved.
 
 An anchor with very many different segments (a phrase shorter than a window, in ever other surroundings) isn't sorted as one
 group: its windows are dealt each by its own digest, so that equal ones still meet and no group has to be held in memory.
@@ -31,7 +32,7 @@ from claimlink.llm.shared import STEP_BYTES, U64, Spans, arrow_batches, material
 ANCHOR, STRIDE = 30, 4
 #: Bytes whose suffixes are sorted at once; a group of segments with one anchor stays together, up to GROUP of them.
 SORT_BYTES = 1 << 17
-#: Different segments of one anchor that are sorted as a group at most; beyond that their windows are dealt one by one.
+#: Segments of one anchor, at most two of a kind, that are sorted as a group at most; beyond that their windows are dealt one by one.
 GROUP = 1 << 10
 #: Windows whose digests a task looks at together before they are dealt.
 _DIGESTS = 1 << 16
@@ -95,9 +96,9 @@ def _without_copies(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _places(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """anchor, s (the segment's hash), id, u and place of every segment. Where a batch holds a segment twice, only the first is
-    kept as it is; the others are known to be repeats and get a negative place and an anchor of their own. Of identical rows in
-    a batch one gives segments; those in other batches give the same ones again."""
+    """anchor, s (the segment's hash), id, u and place of every segment. Where a batch holds a segment more than twice, only the
+    first two are kept as they are; the others are known to be repeats and get a negative place and an anchor of their own. Of
+    identical rows in a batch one gives segments; those in other batches give the same ones again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(_without_copies, arrow_batches(batches)):
@@ -111,7 +112,7 @@ def _places(docs: DataFrame, min_bytes: int) -> DataFrame:
             by = np.lexsort((low, order[text], own, anchor))
             text, low, count, anchor, own = (x[by] for x in (text, low, count, anchor, own))
             again = np.zeros(len(text), bool)
-            again[1:] = (anchor[1:] == anchor[:-1]) & (own[1:] == own[:-1])
+            again[2:] = (anchor[2:] == anchor[:-2]) & (own[2:] == own[:-2])
             place = low << SHIFT | count
             place[again] = ~place[again]
             anchor[again] = mix(mix(low[again].astype(U64)) + order[text[again]].astype(U64) + anchor[again])
@@ -129,7 +130,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
         key = key << U64(8) | padded[i : n + i].astype(U64)
     known = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if known >= depth:
             break
         ranks = np.empty(n, np.int64)
@@ -219,7 +220,7 @@ def _decided(parts: DataFrame, min_bytes: int) -> DataFrame:
         start = end - [len(p) for p in pieces]
         interval, at = repeated_windows(np.frombuffer(b"".join(pieces), np.uint8), start, end, min_bytes)
         row = np.searchsorted(end, at, side="right")
-        by = np.lexsort((row, interval))
+        by = np.lexsort((at, interval))
         later = np.diff(interval[by], prepend=-1) == 0  # rows are in the order of documents, so the first one is the earliest
         at = np.sort(at[by][later])
         row = np.searchsorted(end, at, side="right")
@@ -299,12 +300,12 @@ def mark_repeats(docs: DataFrame, min_bytes: int = 100, cut_out: bool = False) -
     plain = plain.withColumn("u", F.hash("text"))
 
     dealt = _places(plain, min_bytes).repartition("anchor")
-    nth = F.rank().over(Window.partitionBy("anchor", "s").orderBy(F.asc_nulls_first("id"), "u", "place"))
+    nth = F.dense_rank().over(Window.partitionBy("anchor", "s").orderBy(F.asc_nulls_first("id"), "u", "place"))
     group = Window.partitionBy("anchor")
     # identical rows, which are one document, have equal ranks
-    found = dealt.withColumn("nth", nth).withColumn("shared", F.min("s").over(group) != F.max("s").over(group))
-    found = found.withColumn("many", F.sum((F.col("nth") == 1).cast("int")).over(group) > GROUP)
-    found = found.withColumn("again", (F.col("nth") > 1) | (F.col("place") < 0)).where("again OR shared")
+    found = dealt.withColumn("nth", nth).withColumn("shared", (F.min("s").over(group) != F.max("s").over(group)) | (F.max("nth").over(group) > 1))
+    found = found.withColumn("many", F.sum((F.col("nth") <= 2).cast("int")).over(group) > GROUP)
+    found = found.withColumn("again", (F.col("nth") > F.when(F.col("many"), 1).otherwise(2)) | (F.col("place") < 0)).where("again OR shared")
     found = materialise(found.select("id", "u", "again", F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place"), F.when(~F.col("again"), F.col("anchor")).alias("anchor"), "many"))
 
     asked = found.where("NOT again").groupBy("id", "u").agg(F.collect_set(F.struct("anchor", "place", "many")).alias("asked"))
