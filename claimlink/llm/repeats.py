@@ -28,8 +28,8 @@ from pyspark.sql.window import Window
 
 from claimlink.llm.shared import STEP_BYTES, U64, Spans, arrow_batches, materialise, mix, steps, text_rows, utf8
 
-#: Bytes of an anchor, and by how many bytes a level extends prefixes; both at most the minimum length.
-ANCHOR, STRIDE = 30, 4
+#: Bytes of an anchor, and by how many bytes a level extends prefixes; both at most the minimum length. STRIDE is two words of eight.
+ANCHOR, STRIDE = 30, 16
 #: Bytes whose suffixes are sorted at once; a group of segments with one anchor stays together, up to GROUP of them.
 SORT_BYTES = 1 << 17
 #: Segments of one anchor, at most two of a kind, that are sorted as a group at most; beyond that their windows are dealt one by one.
@@ -124,57 +124,62 @@ def _places(docs: DataFrame, min_bytes: int) -> DataFrame:
 def sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array and its inverse, suffixes ordered by their first depth bytes at least (the text's end is followed by zeros)."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, U64)
-    for i in range(8):
-        key = key << U64(8) | padded[i : n + i].astype(U64)
+    key = np.ndarray((n,), ">u8", np.concatenate([text, np.zeros(8, np.uint8)]), 0, (1,)).astype(U64)
     known = 8
     while True:
         order = np.argsort(key)
         if known >= depth:
             break
-        ranks = np.empty(n, np.int64)
-        ranks[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-        after = np.zeros(n, np.int64)
-        after[: max(n - known, 0)] = ranks[known:] + 1
-        key = (ranks << 32 | after).view(U64)
-        known *= 2
+        ranks = np.empty(n, U64)
+        ranks[order] = np.cumsum(np.diff(key[order], prepend=~key[order[:1]]) != 0)
+        bits = n.bit_length()
+        key = ranks
+        for i in range(1, 64 // bits):  # as many ranks as a key has room for
+            key = key << U64(bits)
+            key[: max(n - i * known, 0)] |= ranks[i * known :]
+        known *= 64 // bits
     inverse = np.empty(n, np.int64)
     inverse[order] = np.arange(n)
     return order, inverse
 
 
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """The number of each row's run of equal rows."""
+    new = np.zeros(len(columns[0]), bool)
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new, dtype=np.int32)
+
+
 def repeated_windows(text: np.ndarray, start: np.ndarray, end: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """(interval, position) of all windows of min_bytes within the segments [start, end) of the text that occur more than once."""
-    suffixes, inverse = sorted_suffixes(text, min_bytes)
-    segment = np.repeat(np.arange(len(start)), end - start)
-    begin, until = start[segment], end[segment]
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.int64)
-    word = sum(padded[i : len(text) + i] << 8 * i for i in range(STRIDE))
+    suffixes, inverse = (x.astype(np.int32) for x in sorted_suffixes(text, min_bytes))
+    begin, until = (np.repeat(x.astype(np.int32), end - start) for x in (start, end))
+    half = STRIDE // 2
+    word = np.ndarray((len(text) + half,), "<u8", np.concatenate([text, np.zeros(STRIDE, np.uint8)]), 0, (1,)).copy()
 
     first = min_bytes % STRIDE or STRIDE  # the first level's prefix length, so that the last level's is min_bytes
     at = suffixes[suffixes + first <= until[suffixes]]
-    head = word[at] & ((1 << 8 * first) - 1)
-    interval = np.cumsum(np.diff(head, prepend=head[:1]) != 0)
+    head = [word[at + i] & (~U64(0) >> U64(8 * (half - k))) for i, k in ((0, min(first, half)), (half, first - half)) if k > 0]
+    interval = _numbered(*head)
     length = first
-    slot = np.full(len(text), -1, np.int64)
+    slot = np.full(len(text), -1, np.int32)
     while True:
         if len(at):  # intervals of one suffix are dropped
-            edge = np.flatnonzero(np.diff(interval, prepend=-1))
-            size = np.diff(np.append(edge, len(at)))
-            many = np.repeat(size > 1, size)
+            many = np.zeros(len(at), bool)
+            many[1:] = interval[1:] == interval[:-1]
+            many[:-1] |= many[1:]
             at, interval = at[many], interval[many]
         if length >= min_bytes or not len(at):
-            return interval, at
+            return interval.astype(np.int64), at.astype(np.int64)
         inside = at - STRIDE >= begin[at]
         at, interval = at[inside] - STRIDE, interval[inside]
-        symbol, row = word[at], inverse[at]  # what the transform holds STRIDE bytes back, and the suffix's row there
-        slot[row] = np.arange(len(at))
+        row = inverse[at]  # the suffix's row STRIDE bytes back; what the transform holds there are the bytes from at
+        slot[row] = np.arange(len(at), dtype=np.int32)
         order = slot[np.sort(row)] if len(at) * 20 < len(slot) else slot[slot >= 0]
         slot[row] = -1
-        at, interval, symbol = at[order], interval[order], symbol[order]
-        if len(at):
-            interval = np.cumsum((np.diff(interval, prepend=interval[:1]) != 0) | (np.diff(symbol, prepend=symbol[:1]) != 0))
+        at, interval = at[order], interval[order]
+        interval = _numbered(interval, word[at], word[at + half])
         length += STRIDE
 
 
@@ -220,9 +225,9 @@ def _decided(parts: DataFrame, min_bytes: int) -> DataFrame:
         start = end - [len(p) for p in pieces]
         interval, at = repeated_windows(np.frombuffer(b"".join(pieces), np.uint8), start, end, min_bytes)
         row = np.searchsorted(end, at, side="right")
-        by = np.lexsort((at, interval))
-        later = np.diff(interval[by], prepend=-1) == 0  # rows are in the order of documents, so the first one is the earliest
-        at = np.sort(at[by][later])
+        by = np.sort(interval << 32 | at)
+        later = np.diff(by >> 32, prepend=-1) == 0  # rows are in the order of documents, so the first one is the earliest
+        at = np.sort(by[later] & ((1 << 32) - 1))
         row = np.searchsorted(end, at, side="right")
         head = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(row, prepend=-1) != 0))
         count = np.diff(np.append(head, len(at)))
