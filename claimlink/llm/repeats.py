@@ -30,8 +30,8 @@ from claimlink.llm.shared import STEP_BYTES, U64, Spans, arrow_batches, material
 
 #: Bytes of an anchor, and by how many bytes a level extends prefixes; both at most the minimum length. STRIDE is two words of eight.
 ANCHOR, STRIDE = 30, 16
-#: Bytes whose suffixes are sorted at once; a group of segments with one anchor stays together, up to GROUP of them.
-SORT_BYTES = 1 << 17
+#: Bytes whose suffixes are sorted at once, so few that four ranks fit in a key; a group of segments with one anchor stays together, up to GROUP of them.
+SORT_BYTES = 60_000
 #: Segments of one anchor, at most two of a kind, that are sorted as a group at most; beyond that their windows are dealt one by one.
 GROUP = 1 << 10
 #: Windows whose digests a task looks at together before they are dealt.
