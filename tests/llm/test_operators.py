@@ -659,3 +659,17 @@ def test_op10_few_or_no_rows(spark):
     assert topk.top_k(few.limit(0), 5, F.lit(True)).count() == 0
     with pytest.raises(ValueError, match="long"):
         topk.top_k(spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<float>"), 5, F.lit(True))
+
+
+def test_op8_whole_copies_are_decided_by_backward_extension(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdefgh "), 3000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "x" + text[500:900])], DOCS).repartition(3)
+
+    def removed():
+        return {r.doc_id: sum(s["end"] - s["start"] for s in r.spans) for r in repeats.mark_repeats(docs).collect()}
+
+    assert removed() == {1: 0, 2: 3000, 3: 400}
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(repeats, "repeated_windows", lambda *_: (none, none))
+    assert removed()[2] == 0  # third copies of a segment follow the second ones, of which nothing is known here
