@@ -18,8 +18,13 @@ from claimlink.sources.schemas import RELATION_TYPES
 #: Same-kind neighbours of a fact, how many vectors are looked at for them, and candidates of a fact after ranking.
 NEIGHBOURS, LOOKED_AT, CANDIDATES = 5, 15, 9
 SIMILARITY, TOLERANCE = 0.86, 0.01
-#: Vectors of a block, more where there would be over MOST_BLOCKS of them: a task multiplies two blocks. Pivots about which blocks lie.
-BLOCK, MOST_BLOCKS, MOST_PIVOTS = 2048, 16_384, 1024
+#: Vectors of a block, more where there would be over MOST_BLOCKS of them, and fewer in small tables, so that there are SPREAD blocks of
+#: LEAST vectors at least. Pivots about which blocks lie.
+BLOCK, MOST_BLOCKS, MOST_PIVOTS, SPREAD, LEAST = 2048, 16_384, 1024, 24, 256
+#: Pairs of groups of blocks that a search is dealt to; what a group holds at most, in facts and in bytes of vectors; facts of a key's block.
+PAIRS, GROUP_ROWS, GROUP_BYTES, KEY_BLOCK = 128, 131_072, 1 << 26, 32_768
+#: Products that are computed at once, and columns of which only the best one bounds a row's best from below.
+AT_ONCE, FOLDED = 1 << 22, 32
 
 
 def document_sequence(documents: DataFrame) -> DataFrame:
@@ -37,6 +42,11 @@ def unit_length(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-9)))
 
 
+def _as_floats(facts: DataFrame) -> Column:
+    """The embeddings as they are if they are of floats, which take half of what doubles do; else as doubles."""
+    return F.col("embedding") if dict(facts.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -58,12 +68,56 @@ def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(sizes), -1)
 
 
-def _best(sims: np.ndarray, allowed: np.ndarray, names: np.ndarray, most: int) -> list[int]:
-    """The most allowed columns with the highest similarities, ties by name."""
-    ok = np.flatnonzero(allowed)
-    if len(ok) > most:  # all that reach the last of them, so that ties are broken by the id
-        ok = ok[sims[ok] >= np.partition(sims[ok], len(ok) - most)[len(ok) - most]]
-    return sorted(ok.tolist(), key=lambda k: (-sims[k], names[k]))[:most]
+def _documents(a: pa.Table, b: pa.Table, mode: str) -> tuple[np.ndarray, np.ndarray]:
+    """What of two tables' documents is compared, as numbers: their order of arrival, or which one it is."""
+    if mode == "incremental":
+        return tuple(t.column("doc_seq").to_pandas().to_numpy() for t in (a, b))
+    both = pa.chunked_array([*a.column("doc_id").chunks, *b.column("doc_id").chunks], pa.string()).combine_chunks()
+    codes = both.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return codes[: a.num_rows], codes[a.num_rows :]
+
+
+def _name_ranks(names: pa.ChunkedArray) -> np.ndarray:
+    """Each name's place in the order of names; equal ones may have unequal places."""
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(np.array(names.to_pylist(), object), kind="stable")] = np.arange(len(names))
+    return rank
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, doc: np.ndarray, other_doc: np.ndarray, rank: np.ndarray, mode: str, most: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of x, row of y, product): for each row of x the most rows of y of other (or earlier) documents with the highest products of
+    least or more, ties by rank.
+
+    Where many products reach least, a row's bound is raised first: the columns are folded into fewer, of each of which the best one
+    counts, and the most-th of these is no more than the row's most-th."""
+    step = max(1, AT_ONCE // max(1, len(y)))
+    for at in range(0, len(x), step):
+        sims = x[at : at + step] @ y.T
+        own = doc[at : at + step]
+        rows, cols = np.nonzero(sims >= least)
+        if len(rows) > 16 * most * len(sims):
+            sims[~(other_doc < own[:, None] if mode == "incremental" else other_doc != own[:, None])] = -np.inf
+            width = max(most, len(y) // FOLDED)
+            folds = len(y) // width
+            if folds:
+                heads = sims[:, : folds * width].reshape(len(sims), folds, width).max(axis=1)
+                bound = np.maximum(np.partition(heads, width - most, axis=1)[:, width - most], least)
+                rows, cols = np.nonzero(sims >= bound[:, None])
+        ok = other_doc[cols] < own[rows] if mode == "incremental" else other_doc[cols] != own[rows]
+        rows, cols = rows[ok], cols[ok]
+        found = sims[rows, cols]
+        order = np.lexsort((rank[cols], -found, rows))
+        rows, cols, found = rows[order], cols[order], found[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < most
+        yield rows[first] + at, cols[first], found[first]
+
+
+def _dealt_groups(sizes: np.ndarray, order: np.ndarray, n_groups: int) -> np.ndarray:
+    """The group of each block: neighbours in order, about equal numbers of facts in each."""
+    upto = np.cumsum(sizes[order])
+    out = np.empty(len(sizes), int)
+    out[order] = np.minimum((upto - sizes[order] / 2) * n_groups // max(1, upto[-1]), n_groups - 1)
+    return out
 
 
 def _cells(facts: DataFrame, n_pivots: int) -> DataFrame:
@@ -127,74 +181,94 @@ def similarity_candidates(
     """(fact_id, other_id, sim): among a fact's looked_at nearest facts of other documents, the nearest neighbours of its own kind.
 
     facts: fact_id, doc_id, doc_seq, kind, embedding. Only pairs that reach the threshold count, so vectors are dealt into blocks, rings
-    about pivots, and only pairs of blocks that may hold such a pair are multiplied; each keeps the best looked_at of each row, so
-    nothing larger than two blocks is ever in one place. Vectors of blocks without a partner aren't shuffled at all.
+    about pivots, and only pairs of blocks that may hold such a pair are multiplied. What is shuffled are blocks in groups, as pairs of a
+    group that asks and one that answers: about PAIRS of them however many facts there are, until a group would be over its bounds, so
+    the shuffle grows as the facts do. A block goes to those groups only that have a partner for it. Each pair of groups keeps the best
+    looked_at of each row.
 
     Facts whose embedding is null, empty or has a null have no candidates and are none; vectors of different lengths are an error.
     blocks: their number; 0: by the number of facts, MOST_BLOCKS at most, as their bounds are known to every task. asking: the facts
     (fact_id) that look for candidates; by default all. normalise: first scale vectors to unit length.
     """
     has = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull()), F.lit(False))
-    vector = unit_length(F.col("embedding")) if normalise else F.col("embedding").cast("array<double>")
+    vector = unit_length(F.col("embedding")) if normalise else _as_floats(facts)
     rows = facts.where(has).select("fact_id", "doc_id", "doc_seq", "kind", vector.alias("v"))
     empty = facts.select("fact_id", F.col("fact_id").alias("other_id"), F.lit(0.0).alias("sim")).limit(0)
-    n = rows.count()
+    n, longest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return empty
-    size = -(-n // blocks) if blocks else max(BLOCK, -(-n // MOST_BLOCKS))
+    size = -(-n // blocks) if blocks else max(min(BLOCK, max(LEAST, -(-n // SPREAD))), -(-n // MOST_BLOCKS))
     placed, pivots = _cells(rows, min(MOST_PIVOTS, -(-n // size)))
     dealt = _asking(_ring_blocks(placed, size), asking)
-    stats = dealt.groupBy("block", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.max("norm").alias("norm"), F.bool_or("asks").alias("asks")).collect()
-    names = [s["block"] for s in stats]
+    stats = dealt.groupBy("block", "cell").agg(
+        F.min("angle").alias("low"), F.max("angle").alias("high"), F.max("norm").alias("norm"), F.count("*").alias("n"), F.count_if("asks").alias("asking")
+    ).collect()
+    names, sizes, askers = [s["block"] for s in stats], np.array([s["n"] for s in stats]), np.array([s["asking"] for s in stats])
+    if not askers.any():
+        return empty
     near = near_blocks([(s["cell"], s["low"], s["high"], s["norm"]) for s in stats], pivots, threshold)
+    fit = max(1, min(GROUP_ROWS, GROUP_BYTES // (8 * longest)))
+    # a fact that asks is shuffled once for each group that answers, with its results, which weigh as much as three vectors
+    n_asking = max(-(-int(askers.sum()) // fit), round(math.sqrt(4 * PAIRS * askers.sum() / n)), 1)
+    n_answering = max(-(-n // fit), -(-PAIRS // n_asking))
+    order = np.lexsort(([s["low"] for s in stats], [s["cell"] for s in stats]))
+    group, lane = _dealt_groups(askers, order, n_asking), _dealt_groups(sizes, order, n_answering)
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                found = near(i).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(found), pa.string()), pa.array([names[j] for j in found], pa.string())], names=["i", "j"])
-
-    asked = facts.sparkSession.createDataFrame([(i,) for i, s in enumerate(stats) if s["asks"]], "at int")
-    pairs = asked.mapInArrow(partners, "i string, j string")
-    left = dealt.where("asks").withColumnRenamed("block", "i").join(pairs, "i").withColumn("side", F.lit(0))
-    right = dealt.withColumnRenamed("block", "j").join(pairs, "j").withColumn("side", F.lit(1))
-
-    def best(both: pa.Table) -> pa.Table:
-        side = both.column("side").to_numpy()
-        a, b = both.filter(pa.array(side == 0)), both.filter(pa.array(side == 1))
-        out: list[list] = [[], [], [], []]
+            for g in batch.column(0).to_pylist():
+                met, sides = np.zeros(len(names), bool), []
+                for i in np.flatnonzero((group == g) & (askers > 0)).tolist():
+                    met[found := near(i)] = True
+                    sides += [(0, i, k) for k in np.unique(lane[found]).tolist()]
+                sides += [(1, j, int(lane[j])) for j in np.flatnonzero(met).tolist()]
+                side, at, k = (pa.array(c, pa.int32()) for c in (zip(*sides, strict=True) if sides else ([], [], [])))
+                yield pa.RecordBatch.from_arrays([side, at, pa.array([names[i] for i in at.to_pylist()], pa.string()), pa.array([g] * len(sides), pa.int32()), k], names=["side", "at", "block", "i", "j"])
+
+    asked = facts.sparkSession.createDataFrame([(g,) for g in sorted(set(group[askers > 0].tolist()))], "g int")
+    pairs = asked.mapInArrow(partners, "side int, at int, block string, i int, j int")
+    columns = [F.col(c).alias(c) for c in ("i", "j", "at", "fact_id", "doc_seq" if mode == "incremental" else "doc_id", "kind", "v")]
+    left = dealt.where("asks").join(pairs.where("side = 0"), "block").select(*columns)
+    right = dealt.join(pairs.where("side = 1"), "block").select(*columns)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], []]
         if a.num_rows and b.num_rows:
             x, y = _vectors(a.column("v")), _vectors(b.column("v"))
-            doc, other_doc = (t.column("doc_seq" if mode == "incremental" else "doc_id").to_pandas().to_numpy() for t in (a, b))
-            ids, others, kind, other_kind = (t.column(c).to_pylist() for t, c in ((a, "fact_id"), (b, "fact_id"), (a, "kind"), (b, "kind")))
-            name = np.array(others, object)
-            for at in range(0, len(x), 256):
-                for i, sims in enumerate(x[at : at + 256] @ y.T, at):
-                    ok = _best(sims, (sims >= threshold) & (other_doc < doc[i] if mode == "incremental" else other_doc != doc[i]), name, looked_at)
-                    for cell, values in zip(out, ([ids[i]] * len(ok), [others[k] for k in ok], [float(sims[k]) for k in ok], [other_kind[k] == kind[i] for k in ok]), strict=True):
-                        cell.extend(values)
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("fact_id", "other_id", "sim", "same_kind"), out, (pa.string(), pa.string(), pa.float64(), pa.bool_()), strict=True)})
-
-    columns = ["i", "j", "side", "fact_id", "doc_id", "doc_seq", "kind", "v"]
-    found = left.select(*columns).unionByName(right.select(*columns)).groupBy("i", "j").applyInArrow(best, "fact_id string, other_id string, sim double, same_kind boolean")
+            (doc, other_doc), rank = _documents(a, b, mode), _name_ranks(b.column("fact_id"))
+            block, other_block = (t.column("at").to_numpy() for t in (a, b))
+            for i in np.unique(block).tolist():
+                mine, theirs = np.flatnonzero(block == i), np.flatnonzero(np.isin(other_block, near(i)))
+                for cells in _nearest(x[mine], y[theirs] if len(theirs) < len(y) else y, doc[mine], other_doc[theirs], rank[theirs], mode, looked_at, threshold):
+                    for cell, part in zip(out, (mine[cells[0]], theirs[cells[1]], cells[2]), strict=True):
+                        cell.append(part)
+        at, other, sims = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True))
+        kind, other_kind = (np.array(t.column("kind").take(pa.array(k)).to_pylist(), object) for t, k in ((a, at), (b, other)))
+        ids = [t.column("fact_id").take(pa.array(k)).cast(pa.string()) for t, k in ((a, at), (b, other))]
+        return pa.table({"fact_id": ids[0], "other_id": ids[1], "sim": pa.array(sims), "same_kind": pa.array((kind == other_kind).astype(bool))})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "fact_id string, other_id string, sim double, same_kind boolean")
     order = Window.partitionBy("fact_id").orderBy(F.desc("sim"), "other_id")
     found = found.withColumn("r", F.row_number().over(order)).where((F.col("r") <= looked_at) & F.col("same_kind"))
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= neighbours).select("fact_id", "other_id", "sim")
 
 
-def key_candidates(facts: DataFrame, mode: str = "relink", most: int = CANDIDATES, block: int = BLOCK, asking: DataFrame | None = None) -> DataFrame:
+def key_candidates(facts: DataFrame, mode: str = "relink", most: int = CANDIDATES, block: int = KEY_BLOCK, asking: DataFrame | None = None) -> DataFrame:
     """(fact_id, other_id, sim): for each fact the nearest facts of other documents with the same attribute key and kind.
 
-    A key with more than block facts is dealt to several blocks; its asking facts meet each of them, and each pair of blocks is one
-    matrix product of which the best most of each row are kept, which hold the best of all. Smaller keys share groups by hash. A fact
-    without a vector has similarity 0 to all. asking: the facts that look for candidates; by default all.
+    A key with more than block facts (fewer if vectors are long) is dealt to several blocks; its asking facts meet each of them, and each
+    pair of blocks is multiplied, a few rows at a time, of which the best most of each row are kept, which hold the best of all. Smaller
+    keys share groups by hash. A fact without a vector has similarity 0 to all. asking: the facts that look for candidates; by default all.
     """
-    zero = F.array().cast("array<double>")
+    vector = _as_floats(facts)
+    zero = F.array().cast(dict(facts.select(vector.alias("v")).dtypes)["v"])
     has = F.coalesce(F.forall("embedding", lambda x: x.isNotNull()), F.lit(False))
-    rows = facts.where("attribute_key IS NOT NULL AND kind IS NOT NULL").select("fact_id", "doc_id", "doc_seq", "attribute_key", "kind", F.when(has, F.col("embedding").cast("array<double>")).otherwise(zero).alias("v"))
-    sizes = rows.groupBy("attribute_key", "kind").agg(F.count("*").alias("n"))
-    n_groups = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // block))
-    large = sizes.where(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    rows = facts.where("attribute_key IS NOT NULL AND kind IS NOT NULL").select("fact_id", "doc_id", "doc_seq", "attribute_key", "kind", F.when(has, vector).otherwise(zero).alias("v"))
+    sizes = rows.groupBy("attribute_key", "kind").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("longest"))
+    n, longest = sizes.agg(F.sum("n"), F.max("longest")).first()
+    n_groups = max(1, -(-(n or 0) // min(block, BLOCK)))
+    block = max(1, min(block, GROUP_BYTES // (8 * max(1, longest or 0))))
+    large = sizes.where(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n", "longest")
     rows = _asking(rows.join(large, ["attribute_key", "kind"], "left"), asking)
     hashed = F.xxhash64("attribute_key", "kind")
     rows = rows.withColumn("g", F.when(F.col("parts").isNull(), F.pmod(hashed, F.lit(n_groups))).otherwise(hashed)).withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -205,7 +279,7 @@ def key_candidates(facts: DataFrame, mode: str = "relink", most: int = CANDIDATE
     right = rows.withColumnRenamed("own", "j").withColumn("i", each).select(*columns)
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], []]
         if a.num_rows and b.num_rows:
             mine, theirs = ([tuple(k.values()) for k in t.column("of").to_pylist()] for t in (a, b))
             at: dict[tuple, tuple[list[int], list[int]]] = {k: ([], []) for k in set(mine) & set(theirs)}
@@ -213,32 +287,34 @@ def key_candidates(facts: DataFrame, mode: str = "relink", most: int = CANDIDATE
                 for row, k in enumerate(keys):
                     if k in at:
                         at[k][side].append(row)
-            doc, other_doc = (t.column("doc_seq" if mode == "incremental" else "doc_id").to_pandas().to_numpy() for t in (a, b))
-            ids, others = a.column("fact_id").to_pylist(), np.array(b.column("fact_id").to_pylist(), object)
-            for left_rows, right_rows in at.values():
-                product = _products(a.column("v").take(pa.array(left_rows)), b.column("v").take(pa.array(right_rows)))
-                names, docs = others[right_rows], other_doc[right_rows]
-                for i, sims in zip(left_rows, product, strict=True):
-                    ok = _best(sims, docs < doc[i] if mode == "incremental" else docs != doc[i], names, most)
-                    for cell, values in zip(out, ([ids[i]] * len(ok), [names[k] for k in ok], [float(sims[k]) for k in ok]), strict=True):
-                        cell.extend(values)
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("fact_id", "other_id", "sim"), out, (pa.string(), pa.string(), pa.float64()), strict=True)})
+            (doc, other_doc), rank = _documents(a, b, mode), _name_ranks(b.column("fact_id"))
+            for pair in at.values():
+                left_rows, right_rows = (np.array(rows) for rows in pair)
+                x, y = _filled(a.column("v").take(pa.array(left_rows)), b.column("v").take(pa.array(right_rows)))
+                for cells in _nearest(x, y, doc[left_rows], other_doc[right_rows], rank[right_rows], mode, most, -np.inf):
+                    for cell, part in zip(out, (left_rows[cells[0]], right_rows[cells[1]], cells[2]), strict=True):
+                        cell.append(part)
+        found, other, sims = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True))
+        ids = [t.column("fact_id").take(pa.array(k)).cast(pa.string()) for t, k in ((a, found), (b, other))]
+        return pa.table({"fact_id": ids[0], "other_id": ids[1], "sim": pa.array(sims)})
 
     pairs = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInArrow(best, "fact_id string, other_id string, sim double")
     order = Window.partitionBy("fact_id").orderBy(F.desc("sim"), "other_id")
     return pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("fact_id", "other_id", "sim")
 
 
-def _products(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
-    """Products of all rows of a with all of b, 0 where either is empty."""
+def _filled(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Both columns as rows of matrices; empty vectors are rows of zeros."""
     there = [np.asarray(x.combine_chunks().value_lengths()) > 0 for x in (a, b)]
-    out = np.zeros((len(a), len(b)))
-    if there[0].any() and there[1].any():
-        x, y = (_vectors(c.filter(pa.array(t))) for c, t in zip((a, b), there, strict=True))
-        if x.shape[1] != y.shape[1]:
-            raise ValueError("vectors of different lengths can't be compared")
-        out[np.ix_(*there)] = x @ y.T
-    return out
+    found = [_vectors(c.filter(pa.array(t))) for c, t in zip((a, b), there, strict=True)]
+    widths = {v.shape[1] for v, t in zip(found, there, strict=True) if t.any()}
+    if len(widths) > 1:
+        raise ValueError("vectors of different lengths can't be compared")
+    out = [np.zeros((len(t), max(widths, default=1))) for t in there]
+    for m, v, t in zip(out, found, there, strict=True):
+        if t.any():
+            m[t] = v
+    return out[0], out[1]
 
 
 def rank_candidates(similar: DataFrame, keyed: DataFrame, most: int = CANDIDATES) -> DataFrame:

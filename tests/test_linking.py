@@ -143,3 +143,54 @@ def test_numeric_matches_equal_all_pairs(spark, tolerance):
     got = [(r.fact_a, r.fact_b) for r in link.matches_of_new(some, table, tolerance).collect()]
     own = {r[0] for r in rows if r[1] == "d1"}
     assert len(got) == len(set(got)) and set(got) == {p for p in expected if own & set(p)}
+
+
+def shuffled(spark, run):
+    """Bytes that stages shuffle while run() runs."""
+    context = spark.sparkContext
+    store = context._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    before = written()
+    run()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    return written() - before
+
+
+def test_shuffle_does_not_grow_with_the_number_of_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"f{i:04}", f"d{i % 6}", i % 6, "numeric", "k", rng.normal(size=48).tolist()) for i in range(1600)]
+    table = spark.createDataFrame(rows, FACT).persist()
+    table.count()
+    few, many = (shuffled(spark, lambda b=b: link.similarity_candidates(table, 20.0, blocks=b).count()) for b in (10, 120))
+    table.unpersist()
+    assert many < 2.5 * few
+
+
+@pytest.mark.parametrize("least", [-np.inf, 0.0, 1.2])
+@pytest.mark.parametrize("mode", ["relink", "incremental"])
+def test_nearest_rows_equal_a_full_sort(monkeypatch, mode, least):
+    monkeypatch.setattr(link, "AT_ONCE", 3000)
+    rng = np.random.default_rng(2)
+    for width in (4, 30, 900):
+        x, y = (rng.integers(-1, 2, (n, 5)).astype(float) for n in (25, width))  # many ties
+        doc, other_doc, rank = rng.integers(0, 4, 25), rng.integers(0, 4, width), rng.permutation(width)
+        got = [tuple(map(float, t)) for cells in link._nearest(x, y, doc, other_doc, rank, mode, 3, least) for t in zip(*cells, strict=True)]
+        expected = []
+        for i in range(25):
+            ok = [k for k in range(width) if (other_doc[k] < doc[i] if mode == "incremental" else other_doc[k] != doc[i]) and x[i] @ y[k] >= least]
+            expected += [(i, k, float(x[i] @ y[k])) for k in sorted(ok, key=lambda k: (-(x[i] @ y[k]), rank[k]))[:3]]
+        assert got == expected
+
+
+def test_shuffle_of_keys_does_not_grow_with_small_blocks(spark):
+    rows = clustered(1500, width=24)
+    table = spark.createDataFrame([(*r[:4], "k", r[5]) for r in rows], FACT).persist()
+    table.count()
+    usual, one = (shuffled(spark, lambda b=b: link.key_candidates(table, **b).count()) for b in ({}, {"block": 4096}))
+    table.unpersist()
+    assert usual < 1.5 * one and link.KEY_BLOCK > link.BLOCK
