@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlink.jobs import adapters, catalogue
-from claimlink.operators import ground, passages
+from claimlink.operators import ground, link, passages
 
 def value(v):
     return round(v, 6) if isinstance(v, float) else v
@@ -74,3 +74,10 @@ def test_passages_of_any_length_are_found(spark, monkeypatch):
 def test_facts_come_in_order(spark, duck, sf_dir):
     got = [tuple(r) for r in catalogue.queries()["facts_in_order"](spark, sf_dir).collect()]
     assert got == duck.execute(catalogue.oracle_sql()["facts_in_order"]).fetchall()
+
+
+def test_candidates_are_searched_once_for_link_stats(spark, sf_dir, monkeypatch):
+    calls, search = [], link.similarity_candidates
+    monkeypatch.setattr(link, "similarity_candidates", lambda *a, **b: calls.append(1) or search(*a, **b))
+    found = catalogue.queries()["link_stats"](spark, sf_dir)
+    assert len(calls) == 1 and "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
