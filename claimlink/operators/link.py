@@ -306,13 +306,13 @@ def key_candidates(facts: DataFrame, mode: str = "relink", most: int = CANDIDATE
 def _filled(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Both columns as rows of matrices; empty vectors are rows of zeros."""
     there = [np.asarray(x.combine_chunks().value_lengths()) > 0 for x in (a, b)]
-    found = [_vectors(c.filter(pa.array(t))) for c, t in zip((a, b), there, strict=True)]
-    widths = {v.shape[1] for v, t in zip(found, there, strict=True) if t.any()}
+    found = [_vectors(c.filter(pa.array(t))) if t.any() else None for c, t in zip((a, b), there, strict=True)]
+    widths = {v.shape[1] for v in found if v is not None}
     if len(widths) > 1:
         raise ValueError("vectors of different lengths can't be compared")
     out = [np.zeros((len(t), max(widths, default=1))) for t in there]
     for m, v, t in zip(out, found, there, strict=True):
-        if t.any():
+        if v is not None:
             m[t] = v
     return out[0], out[1]
 

@@ -194,3 +194,9 @@ def test_shuffle_of_keys_does_not_grow_with_small_blocks(spark):
     usual, one = (shuffled(spark, lambda b=b: link.key_candidates(table, **b).count()) for b in ({}, {"block": 4096}))
     table.unpersist()
     assert usual < 1.5 * one and link.KEY_BLOCK > link.BLOCK
+
+
+def test_keys_without_any_vectors_have_candidates(spark):
+    rows = [(f"f{i:02}", f"d{i % 3}", i % 3, "numeric", f"k{i % 2}", [None, []][i % 2]) for i in range(20)]
+    for mode in ("relink", "incremental"):
+        assert rounded(link.key_candidates(spark.createDataFrame(rows, FACT), mode)) == by_key(rows, mode) != set()
