@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import wraps
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -705,13 +706,14 @@ def facts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.facts_in_order(t.facts(spark, sf_dir)).select("id", "doc_id", "page_no", "quote_start")
 
 
-# Streams. The tables' rows arrive in three files, one for each micro-batch.
+# Streams. The tables' rows arrive in three parts; what is there of one is one micro-batch, in however many files it comes.
 
 
-def _arriving(rows: DataFrame, file: Column, path: str, *columns: str) -> None:
-    """rows as three files that come one after the other, by a column that is 0, 1 or 2."""
+def _arriving(rows: DataFrame, part: Column, path: str, *columns: str) -> Iterator[int]:
+    """rows in three parts by a column that is 0, 1 or 2: yields after each one has been added to path."""
     for n in range(3):
-        rows.where(file == n).select(*columns).coalesce(1).write.mode("append").parquet(path)
+        rows.where(part == n).select(*columns).write.mode("append").parquet(path)
+        yield n
 
 
 _STREAM_SQL = """, g AS (
@@ -726,10 +728,10 @@ def _streamed(spark: SparkSession, sf_dir: str) -> linking.Layer:
     """The numbers' documents, a page each, streamed and linked; the stream is started again after its end, which changes nothing."""
     documents, raw, path = t.publishers(spark, sf_dir), t.raw_numbers(spark, sf_dir), tables.workspace(spark)
     nation = F.substring("doc_id", 2, 9).cast("int")
-    _arriving(documents.select("doc_id", F.lit(1).alias("page_no"), F.concat(F.lit("Figures of "), "doc_id").alias("text")), nation % 3, f"{path}/in", *schemas.PAGES.fieldNames())
+    pages = documents.select("doc_id", F.lit(1).alias("page_no"), F.concat(F.lit("Figures of "), "doc_id").alias("text"))
     raw.write.parquet(f"{path}/raw")
-    for _ in range(2):
-        linking.stream_link(spark, ingest.page_stream(spark, f"{path}/in", schemas.PAGES), spark.read.parquet(f"{path}/raw"), documents, f"{path}/layer", f"{path}/checkpoint", "exact", buckets=4).awaitTermination()
+    for _ in chain(_arriving(pages, nation % 3, f"{path}/in", *schemas.PAGES.fieldNames()), ["again"]):
+        linking.stream_link(spark, ingest.page_stream(spark, f"{path}/in", schemas.PAGES, None), spark.read.parquet(f"{path}/raw"), documents, f"{path}/layer", f"{path}/checkpoint", "exact", buckets=4).awaitTermination()
     return linking.Layer(spark, f"{path}/layer", 4)
 
 
@@ -748,11 +750,11 @@ def streamed_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT substr(sha256(text), 1, 12) AS doc_id, sha256(text) AS sha256, arg_min(CAST(doc_id AS VARCHAR), (doc_id % 3) * 1000000000 + doc_id) AS filename FROM documents WHERE text IS NOT NULL GROUP BY text")
 def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents that arrive in several files are registered once, under the name with which they came first."""
+    """Contents that arrive in several parts are registered once, under the name with which they came first."""
     path = tables.workspace(spark)
     rows = t.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("filename"), F.col("text").alias("content"))
-    _arriving(rows, F.col("doc_id") % 3, f"{path}/in", "filename", "content")
-    source = spark.readStream.schema("filename string, content string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    linking.stream_register(spark, source, f"{path}/layer", f"{path}/checkpoint", 8).awaitTermination()
+    for _ in _arriving(rows, F.col("doc_id") % 3, f"{path}/in", "filename", "content"):
+        source = spark.readStream.schema("filename string, content string").parquet(f"{path}/in")
+        linking.stream_register(spark, source, f"{path}/layer", f"{path}/checkpoint", 8).awaitTermination()
     found = linking.Layer(spark, f"{path}/layer", 8).registered.read(linking.REGISTERED)
     return found.select("doc_id", "sha256", F.col("filename").cast("long").cast("string").alias("filename"))

@@ -14,8 +14,10 @@ from claimlink.operators.link import agree, as_pairs, gap, key_candidates, match
 from claimlink.sources.tables import register_documents
 
 
-def page_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def page_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = 1) -> DataFrame:
+    """Files of pages as a stream, so many a micro-batch; None: all that are there when it starts."""
+    source = spark.readStream.schema(schema)
+    return (source.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else source).parquet(path)
 
 
 def stream_batches(source: DataFrame, checkpoint: str, process: Callable[[DataFrame, int], None], available_now: bool = True):

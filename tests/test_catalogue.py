@@ -81,3 +81,10 @@ def test_candidates_are_searched_once_for_link_stats(spark, sf_dir, monkeypatch)
     monkeypatch.setattr(link, "similarity_candidates", lambda *a, **b: calls.append(1) or search(*a, **b))
     found = catalogue.queries()["link_stats"](spark, sf_dir)
     assert len(calls) == 1 and "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_arriving_parts_are_written_by_many_tasks(spark, tmp_path):
+    rows, counts = spark.range(0, 900, 1, 6).withColumnRenamed("id", "doc_id"), []
+    for _ in catalogue._arriving(rows, F.col("doc_id") % 3, str(tmp_path / "in"), "doc_id") or []:
+        counts.append(len(list((tmp_path / "in").glob("part-*"))))
+    assert counts == [6, 12, 18] and spark.read.parquet(str(tmp_path / "in")).count() == 900
