@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +205,20 @@ def test_arithmetic_only_speaks_when_all_else_is_equal(spark):
     rows = [_fact("a", "x"), _fact("b", "y", value_norm=8142e7), _fact("c", "z", period_start="2022-04-01"), _fact("d", "v", value_norm=7000e7), _fact("e", "w", basis="consolidated"), _fact("f", "u", scope="segment"), _fact("g", "x"), _fact("h", "t", value_norm=None)]
     got = link.numeric_matches(spark.createDataFrame(rows, schema)).collect()
     assert {(r.fact_a, r.fact_b) for r in got} == {("a", "b"), ("a", "e"), ("b", "e"), ("b", "g"), ("e", "g")}
+
+
+def test_quotes_aligned_together_are_compared_at_once(monkeypatch):
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(120):
+        text = "".join(rng.choices("abcdefgh é", k=rng.choice([0, 5, 64, 65, 300])))
+        quote = list(text[rng.randint(0, 60) :][: rng.choice([20, 63, 64, 65, 130])] or "a")
+        for _ in range(len(quote) // 9):
+            quote[rng.randrange(len(quote))] = "x"
+        pairs.append(("".join(quote), text))
+    alone, calls, compare = [helpers.align(q, t) for q, t in pairs], [], helpers._subsequences
+    monkeypatch.setattr(helpers, "_subsequences", lambda *a: calls.append(1) or compare(*a))
+    assert helpers.align_all(pairs) == alone and sum(x is not None for x in alone) > 20 > len(calls)
+    for name, least in (("AT_ONCE", 5), ("MOST_PLACES", 100), ("MOST_SHARED", 10)):
+        monkeypatch.setattr(helpers, name, least)
+        assert helpers.align_all(pairs) == alone
