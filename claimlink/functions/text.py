@@ -46,11 +46,10 @@ def loose_pattern(quote: Column) -> Column:
 
 def locate(text: Column, quote: Column) -> Column:
     """struct(score, start, end) of a stripped quote in a text: 100 where it stands verbatim, 99 but for case and white space, else null."""
-    exact = find(text, quote)
-    loose = F.regexp_substr(text, loose_pattern(quote))
-    start = find(text, loose)
-    found = F.when(exact.isNotNull(), F.struct(F.lit(100.0).alias("score"), exact.alias("start"), (exact + F.length(quote)).alias("end")))
-    return found.when(start.isNotNull(), F.struct(F.lit(99.0).alias("score"), start.alias("start"), (start + F.length(loose)).alias("end")))
+    place = lambda score, start, size: F.struct(F.lit(score).alias("score"), start.alias("start"), (start + size).alias("end"))
+    found = F.call_function("regexp_extract", text, loose_pattern(quote), F.lit(0))
+    loose = let(found, lambda x: F.when(x != "", let(F.instr(text, x) - 1, lambda at: place(99.0, at, F.length(x)))))
+    return let(F.instr(text, quote) - 1, lambda at: F.when(at >= 0, place(100.0, at, F.length(quote))).otherwise(loose))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -19,9 +19,9 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFra
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of five lines."""
-    lines = F.split("text", "\n", -1)
+    lines = F.col("lines")  # a column, as an expression would be computed anew for each page
     parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lines) / LINES_A_PAGE).cast("int") - 1), lambda i: F.array_join(F.slice(lines, i * LINES_A_PAGE + 1, F.lit(LINES_A_PAGE)), "\n"))
-    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(parts).alias("i", "text"))
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.split("text", "\n", -1).alias("lines")).select("doc_id", F.posexplode(parts).alias("i", "text"))
     return rows.select("doc_id", (F.col("i") + 1).alias("page_no"), "text")
 
 

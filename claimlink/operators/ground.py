@@ -57,8 +57,8 @@ def ground(facts: DataFrame, pages: DataFrame, tiers: str = "all") -> DataFrame:
     """
     asked = candidate_pages(facts)
     text = pages.select("doc_id", "page_no", "text").where(F.length("text") > 0)
-    exact = asked.where("quote <> ''").join(text, ["doc_id", "page_no"]).select("fact_id", "place", "page_no", locate(F.col("text"), F.col("quote")).alias("x")).where("x IS NOT NULL")
-    exact = exact.select("fact_id", "place", "page_no", F.lit("exact").alias("tier"), "x.*")
+    hit = F.inline_outer(F.array(locate(F.col("text"), F.col("quote"))))  # as a column it would be computed again for the filter
+    exact = asked.where("quote <> ''").join(text, ["doc_id", "page_no"]).select("fact_id", "place", "page_no", F.lit("exact").alias("tier"), hit).where("score IS NOT NULL")
     found = exact
     if tiers == "all":
         first = exact.groupBy("fact_id").agg(F.min("place").alias("first"))

@@ -88,3 +88,9 @@ def test_arriving_parts_are_written_by_many_tasks(spark, tmp_path):
     for _ in catalogue._arriving(rows, F.col("doc_id") % 3, str(tmp_path / "in"), "doc_id") or []:
         counts.append(len(list((tmp_path / "in").glob("part-*"))))
     assert counts == [6, 12, 18] and spark.read.parquet(str(tmp_path / "in")).count() == 900
+
+
+def test_lines_are_split_once_and_quotes_are_located_once(spark, sf_dir):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(adapters.pages(spark, sf_dir)).count("split(") == 1
+    assert plan(ground.ground(adapters.quotes(spark, sf_dir), adapters.pages(spark, sf_dir), "exact")).count("(?iu)") == 1
