@@ -23,8 +23,10 @@ SIMILARITY, TOLERANCE = 0.86, 0.01
 BLOCK, MOST_BLOCKS, MOST_PIVOTS, SPREAD, LEAST = 2048, 16_384, 1024, 24, 256
 #: Pairs of groups of blocks that a search is dealt to; what a group holds at most, in facts and in bytes of vectors; facts of a key's block.
 PAIRS, GROUP_ROWS, GROUP_BYTES, KEY_BLOCK = 128, 131_072, 1 << 26, 32_768
-#: Products that are computed at once, and columns of which only the best one bounds a row's best from below.
-AT_ONCE, FOLDED = 1 << 22, 32
+#: Products that are computed at once and rows of these, and columns of which only the best one bounds a row's best from below.
+AT_ONCE, ROWS_AT_ONCE, FOLDED = 1 << 20, 512, 32
+#: Norms up to which products are first computed in single precision, and pairs whose vectors are gathered at once for double precision.
+MOST_SINGLE, GATHERED = 1e30, 1 << 15
 
 
 def document_sequence(documents: DataFrame) -> DataFrame:
@@ -84,32 +86,75 @@ def _name_ranks(names: pa.ChunkedArray) -> np.ndarray:
     return rank
 
 
+def _rough(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """x and y in single precision, unless they are too long for it, and by how much a product of theirs may be off."""
+    longest = [float(np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0.0))) for m in (x, y)]
+    product = longest[0] * longest[1]
+    if product <= MOST_SINGLE and max(longest) <= MOST_SINGLE:
+        return x.astype(np.float32), y.astype(np.float32), (x.shape[1] + 4) * (2.0**-22 * product + 1e-37 * (1 + sum(longest)))
+    return x, y, (x.shape[1] + 4) * 2.0**-50 * product if np.isfinite(product) else 0.0
+
+
+def _products(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The products of these rows of x and y, equal ones for equal vectors wherever they stand."""
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[rows[k : k + GATHERED]], y[cols[k : k + GATHERED]]) for k in range(0, len(rows), GATHERED))])
+
+
+def _first(rows: np.ndarray, cols: np.ndarray, found: np.ndarray, rank: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the most with the highest products, in order."""
+    order = np.lexsort((rank[cols], -found, rows))
+    rows, cols, found = rows[order], cols[order], found[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < most
+    return rows[first], cols[first], found[first]
+
+
 def _nearest(x: np.ndarray, y: np.ndarray, doc: np.ndarray, other_doc: np.ndarray, rank: np.ndarray, mode: str, most: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of x, row of y, product): for each row of x the most rows of y of other (or earlier) documents with the highest products of
     least or more, ties by rank.
 
-    Where many products reach least, a row's bound is raised first: the columns are folded into fewer, of each of which the best one
-    counts, and the most-th of these is no more than the row's most-th."""
-    step = max(1, AT_ONCE // max(1, len(y)))
-    for at in range(0, len(x), step):
-        sims = x[at : at + step] @ y.T
-        own = doc[at : at + step]
-        rows, cols = np.nonzero(sims >= least)
-        if len(rows) > 16 * most * len(sims):
-            sims[~(other_doc < own[:, None] if mode == "incremental" else other_doc != own[:, None])] = -np.inf
-            width = max(most, len(y) // FOLDED)
-            folds = len(y) // width
-            if folds:
-                heads = sims[:, : folds * width].reshape(len(sims), folds, width).max(axis=1)
-                bound = np.maximum(np.partition(heads, width - most, axis=1)[:, width - most], least)
-                rows, cols = np.nonzero(sims >= bound[:, None])
-        ok = other_doc[cols] < own[rows] if mode == "incremental" else other_doc[cols] != own[rows]
-        rows, cols = rows[ok], cols[ok]
-        found = sims[rows, cols]
-        order = np.lexsort((rank[cols], -found, rows))
-        rows, cols, found = rows[order], cols[order], found[order]
-        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < most
-        yield rows[first] + at, cols[first], found[first]
+    Products are computed in single precision, some rows and columns at a time; those that may be among a row's most so far are computed
+    anew in double precision. Where too many may be, a row's bound is raised first: the columns are folded into fewer, of each of which
+    the best one counts, and the most-th of these is no more than the row's most-th."""
+    short, other_short, off = _rough(x, y)
+    height = max(1, min(len(x), ROWS_AT_ONCE))
+    width = max(1, min(len(y), AT_ONCE // height))
+    space = np.empty((height, width), short.dtype)
+    for at in range(0, len(x), height):
+        own = doc[at : at + height]
+        bound = np.full(len(own), least, float)
+        kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        waiting = 0
+        for start in range(0, len(y), width):
+            part, of = other_short[start : start + width], other_doc[start : start + width]
+            sims = np.matmul(short[at : at + height], part.T, out=space if (len(own), len(part)) == space.shape else None)
+            at_least = (bound - off).astype(sims.dtype)
+            if off:
+                at_least = np.nextafter(at_least, sims.dtype.type(-np.inf))
+            if sims.dtype == np.float64:
+                sims[np.isnan(sims)] = -np.inf
+            enough = sims >= at_least[:, None]
+            if np.count_nonzero(enough) > 16 * most * len(sims):
+                sims[~(of < own[:, None] if mode == "incremental" else of != own[:, None])] = -np.inf
+                fold = max(most, len(part) // FOLDED)
+                if len(part) >= fold:
+                    heads = sims[:, : len(part) // fold * fold].reshape(len(sims), -1, fold).max(axis=1)
+                    raised = np.partition(heads, fold - most, axis=1)[:, fold - most].astype(float)
+                    at_least = np.maximum(at_least, np.nextafter((raised - 2 * off).astype(sims.dtype), sims.dtype.type(-np.inf)))
+                    enough = sims >= at_least[:, None]
+            rows, cols = np.divmod(np.flatnonzero(enough), len(part))
+            ok = of[cols] < own[rows] if mode == "incremental" else of[cols] != own[rows]
+            rows, cols = rows[ok], cols[ok] + start
+            found = _products(x, y, at + rows, cols)
+            ok = found >= bound[rows]
+            kept.append((rows[ok], cols[ok], found[ok]))
+            waiting += len(kept[-1][0])
+            if waiting > 2 * most * len(own) or start + width >= len(y):
+                rows, cols, found = _first(*(np.concatenate(c) for c in zip(*kept, strict=True)), rank, most)
+                kept, waiting = [(rows, cols, found)], 0
+                last = np.flatnonzero(np.arange(len(rows)) - np.searchsorted(rows, rows) == most - 1)
+                bound[rows[last]] = found[last]
+        rows, cols, found = kept[0]
+        yield rows + at, cols, found
 
 
 def _dealt_groups(sizes: np.ndarray, order: np.ndarray, n_groups: int) -> np.ndarray:
@@ -148,7 +193,7 @@ def _ring_blocks(rows: DataFrame, size: int) -> DataFrame:
     counts = rows.groupBy("cell", ring.alias("ring")).agg(F.count("*").alias("rows_of_ring"))
     upto = F.sum("rows_of_ring").over(Window.partitionBy("cell").orderBy("ring"))
     starts = counts.select("cell", "ring", "rows_of_ring", (upto - F.col("rows_of_ring")).alias("start"))
-    met = rows.withColumn("ring", ring).join(starts, ["cell", "ring"])
+    met = rows.withColumn("ring", ring).join(F.broadcast(starts), ["cell", "ring"])  # 1,609 rings a pivot at most; vectors stay where they are
     place = F.col("start") + F.pmod(F.xxhash64("fact_id"), F.col("rows_of_ring"))
     return met.withColumn("block", F.concat_ws("-", "cell", F.floor(place / size))).drop("ring", "rows_of_ring", "start")
 

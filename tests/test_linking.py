@@ -200,3 +200,33 @@ def test_keys_without_any_vectors_have_candidates(spark):
     rows = [(f"f{i:02}", f"d{i % 3}", i % 3, "numeric", f"k{i % 2}", [None, []][i % 2]) for i in range(20)]
     for mode in ("relink", "incremental"):
         assert rounded(link.key_candidates(spark.createDataFrame(rows, FACT), mode)) == by_key(rows, mode) != set()
+
+
+def test_equal_vectors_have_equal_products_and_large_ones_are_compared(monkeypatch):
+    monkeypatch.setattr(link, "AT_ONCE", 3000)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 37))
+    for scale in (1.0, 1e-25, 1e20, 1e90):
+        x, y = base[:25] * scale, np.concatenate([base[rng.integers(0, 40, 800)], base + 1e-9 * rng.normal(size=base.shape)]) * scale
+        doc, other_doc, rank = rng.integers(0, 4, 25), rng.integers(0, 4, len(y)), rng.permutation(len(y))
+        for most, least in ((9, -np.inf), (15, 5.0 * scale * scale)):
+            got = [tuple(map(int, t)) for r, c, _ in link._nearest(x, y, doc, other_doc, rank, "relink", most, least) for t in zip(r, c, strict=True)]
+            sims = np.einsum("ik,jk->ijk", x, y).sum(axis=2)
+            expected = [(i, int(k)) for i in range(25) for k in [k for k in np.lexsort((rank, -sims[i])) if other_doc[k] != doc[i] and sims[i, k] >= least][:most]]
+            assert got == expected != []
+
+
+def test_vectors_do_not_move_to_meet_their_rings(spark, monkeypatch):
+    monkeypatch.setattr(link, "PAIRS", 1)
+    rng = np.random.default_rng(6)
+    rows = [(f"f{i:04}", f"d{i % 6}", i % 6, "numeric", "k", rng.normal(size=256).tolist()) for i in range(2000)]
+    table = spark.createDataFrame(rows, FACT).persist()
+    table.count()
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the facts were too many
+    try:
+        moved = shuffled(spark, lambda: link.similarity_candidates(table, 150.0).count())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+        table.unpersist()
+    assert moved < 6 * 2000 * 256 * 4  # to groups and to pairs of groups, on two sides
