@@ -230,3 +230,17 @@ def test_vectors_do_not_move_to_meet_their_rings(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
         table.unpersist()
     assert moved < 6 * 2000 * 256 * 4  # to groups and to pairs of groups, on two sides
+
+
+def test_shuffle_of_open_pairs_grows_as_the_facts_do(spark, monkeypatch):
+    monkeypatch.setattr(link, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    rows = [(f"f{i:04}", f"d{i % 6}", i % 6, "numeric", f"k{i % 40}", rng.normal(size=64).tolist()) for i in range(3600)]
+    known = spark.createDataFrame([("f0000", "f0001")], "fact_a string, fact_b string")
+    moved = []
+    for n in (1200, 3600):
+        table = spark.createDataFrame(rows[:n], FACT).persist()
+        table.count()
+        moved.append(shuffled(spark, lambda t=table: link.not_judged(link.rank_candidates(link.similarity_candidates(t, 30.0), link.key_candidates(t)), known).count()))
+        table.unpersist()
+    assert moved[1] < 4.5 * moved[0]
