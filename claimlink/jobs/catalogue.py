@@ -309,20 +309,27 @@ _RANKED_SQL = ", both_ AS (SELECT fact_id, other_id, max(sim) AS sim, max(via) A
 THRESHOLD = 0.35
 
 
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What searches read of the facts. They read it several times, so it is written and vectors are joined to their facts once."""
+    path = tables.workspace(spark)
+    t.facts(spark, sf_dir).select("fact_id", "doc_id", "doc_seq", "kind", "attribute_key", "embedding").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(_SIMS_SQL + " SELECT fact_id, other_id, round(sim, 6) AS sim FROM alike")
 def similarity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link.similarity_candidates(t.facts(spark, sf_dir), THRESHOLD).withColumn("sim", F.round("sim", 6))
+    return link.similarity_candidates(_searched(spark, sf_dir), THRESHOLD).withColumn("sim", F.round("sim", 6))
 
 
 @query(_SIMS_SQL + _KEYED_SQL + " SELECT fact_id, other_id, round(sim, 6) AS sim FROM keyed")
 def key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link.key_candidates(t.facts(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
+    return link.key_candidates(_searched(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
 @query((_SIMS_SQL + _KEYED_SQL).replace("a.kind = b.kind AND a.doc_id <> b.doc_id", "a.kind = b.kind AND b.doc_seq < a.doc_seq") + " SELECT fact_id, other_id, round(sim, 6) AS sim FROM keyed")
 def key_candidates_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As documents arrive: only facts of earlier documents are candidates."""
-    return link.key_candidates(t.facts(spark, sf_dir), "incremental").withColumn("sim", F.round("sim", 6))
+    return link.key_candidates(_searched(spark, sf_dir), "incremental").withColumn("sim", F.round("sim", 6))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(u, x -> x * x)), 6) AS squares, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, x -> 3 * x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, y -> 9 * y::DOUBLE * y::DOUBLE))), 1e-9)) AS u FROM embeddings) e".replace("x ->", "lambda x:").replace("y ->", "lambda y:"))
@@ -340,18 +347,18 @@ def _last_document(rows: DataFrame) -> DataFrame:
 @query(_SIMS_SQL.replace("ON a.doc_id <> b.doc_id)", "ON b.doc_seq < a.doc_seq AND a.doc_seq = (SELECT max(doc_seq) FROM facts))") + " SELECT fact_id, other_id, round(sim, 6) AS sim FROM alike")
 def similarity_candidates_of_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the facts of the last document ask, and only earlier documents answer."""
-    rows = t.facts(spark, sf_dir)
+    rows = _searched(spark, sf_dir)
     return link.similarity_candidates(rows, THRESHOLD, mode="incremental", asking=_last_document(rows)).withColumn("sim", F.round("sim", 6))
 
 
 @query((_SIMS_SQL + _KEYED_SQL).replace("a.kind = b.kind AND a.doc_id <> b.doc_id", "a.kind = b.kind AND b.doc_seq < a.doc_seq AND a.doc_seq = (SELECT max(doc_seq) FROM facts)") + " SELECT fact_id, other_id, round(sim, 6) AS sim FROM keyed")
 def key_candidates_of_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t.facts(spark, sf_dir)
+    rows = _searched(spark, sf_dir)
     return link.key_candidates(rows, "incremental", asking=_last_document(rows)).withColumn("sim", F.round("sim", 6))
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t.facts(spark, sf_dir)
+    rows = _searched(spark, sf_dir)
     return link.rank_candidates(link.similarity_candidates(rows, THRESHOLD), link.key_candidates(rows))
 
 

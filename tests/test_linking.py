@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from claimlink.jobs import catalogue
 from claimlink.operators import link
 
 FACT = "fact_id string, doc_id string, doc_seq int, kind string, attribute_key string, embedding array<float>"
@@ -244,3 +245,21 @@ def test_shuffle_of_open_pairs_grows_as_the_facts_do(spark, monkeypatch):
         moved.append(shuffled(spark, lambda t=table: link.not_judged(link.rank_candidates(link.similarity_candidates(t, 30.0), link.key_candidates(t)), known).count()))
         table.unpersist()
     assert moved[1] < 4.5 * moved[0]
+
+
+def test_open_pairs_make_their_facts_once(spark, monkeypatch, sf_dir):
+    made, facts = spark.sparkContext.accumulator(0), catalogue.t.facts
+
+    def counted(session, path):
+        rows = facts(session, path)
+
+        def pass_on(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(pass_on, rows.schema)
+
+    monkeypatch.setattr(catalogue.t, "facts", counted)
+    assert catalogue.open_pairs(spark, sf_dir).count() > 0
+    assert made.value == facts(spark, sf_dir).count()
