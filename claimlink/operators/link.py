@@ -21,8 +21,10 @@ SIMILARITY, TOLERANCE = 0.86, 0.01
 #: Vectors of a block, more where there would be over MOST_BLOCKS of them, and fewer in small tables, so that there are SPREAD blocks of
 #: LEAST vectors at least. Pivots about which blocks lie.
 BLOCK, MOST_BLOCKS, MOST_PIVOTS, SPREAD, LEAST = 2048, 16_384, 1024, 24, 256
-#: Pairs of groups of blocks that a search is dealt to; what a group holds at most, in facts and in bytes of vectors; facts of a key's block.
-PAIRS, GROUP_ROWS, GROUP_BYTES, KEY_BLOCK = 128, 131_072, 1 << 26, 32_768
+#: Pairs of groups of blocks that a search is dealt to; what a group holds at most, in facts and in bytes of vectors.
+PAIRS, GROUP_ROWS, GROUP_BYTES = 128, 131_072, 1 << 26
+#: Asking facts of a large key's part, and parts of a key until they are full groups.
+KEY_BLOCK, MOST_PARTS = 32_768, 11
 #: Products that are computed at once and rows of these, and columns of which only the best one bounds a row's best from below.
 AT_ONCE, ROWS_AT_ONCE, FOLDED = 1 << 20, 512, 32
 #: Norms up to which products are first computed in single precision, and pairs whose vectors are gathered at once for double precision.
@@ -301,27 +303,32 @@ def similarity_candidates(
 def key_candidates(facts: DataFrame, mode: str = "relink", most: int = CANDIDATES, block: int = KEY_BLOCK, asking: DataFrame | None = None) -> DataFrame:
     """(fact_id, other_id, sim): for each fact the nearest facts of other documents with the same attribute key and kind.
 
-    A key with more than block facts (fewer if vectors are long) is dealt to several blocks; its asking facts meet each of them, and each
-    pair of blocks is multiplied, a few rows at a time, of which the best most of each row are kept, which hold the best of all. Smaller
-    keys share groups by hash. A fact without a vector has similarity 0 to all. asking: the facts that look for candidates; by default all.
+    Of a key with more than block facts those that ask are dealt to parts of about block facts, and those that answer to as few groups
+    as their bounds allow, so that a fact that asks, and its results, move once up to GROUP_ROWS facts (fewer if vectors are long). There
+    are at most MOST_PARTS parts until these reach the same bounds. A part meets each group, and they are multiplied, a few rows at a time,
+    of which the best most of each row are kept, which hold the best of all. Smaller keys share groups by hash. A fact without a vector
+    has similarity 0 to all. asking: the facts that look for candidates; by default all.
     """
     vector = _as_floats(facts)
     zero = F.array().cast(dict(facts.select(vector.alias("v")).dtypes)["v"])
     has = F.coalesce(F.forall("embedding", lambda x: x.isNotNull()), F.lit(False))
     rows = facts.where("attribute_key IS NOT NULL AND kind IS NOT NULL").select("fact_id", "doc_id", "doc_seq", "attribute_key", "kind", F.when(has, vector).otherwise(zero).alias("v"))
-    sizes = rows.groupBy("attribute_key", "kind").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("longest"))
+    counted = _asking(rows.withColumn("width", F.size("v")).drop("v"), asking)
+    sizes = counted.groupBy("attribute_key", "kind").agg(F.count("*").alias("n"), F.count_if("asks").alias("asking"), F.max("width").alias("longest"))
     n, longest = sizes.agg(F.sum("n"), F.max("longest")).first()
     n_groups = max(1, -(-(n or 0) // min(block, BLOCK)))
-    block = max(1, min(block, GROUP_BYTES // (8 * max(1, longest or 0))))
-    large = sizes.where(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n", "longest")
-    rows = _asking(rows.join(large, ["attribute_key", "kind"], "left"), asking)
+    fit = max(1, min(GROUP_ROWS, GROUP_BYTES // (8 * max(1, longest or 0))))
+    block = max(1, min(block, fit))
+    parts = F.greatest(F.ceil(F.col("asking") / fit), F.least(F.ceil(F.col("asking") / block), F.lit(MOST_PARTS)), F.lit(1))
+    large = sizes.where(F.col("n") > block).select("attribute_key", "kind", parts.cast("int").alias("parts"), F.ceil(F.col("n") / fit).cast("int").alias("groups"))
+    rows = _asking(rows.join(F.broadcast(large), ["attribute_key", "kind"], "left"), asking)  # so that a key's facts don't meet in a task
     hashed = F.xxhash64("attribute_key", "kind")
-    rows = rows.withColumn("g", F.when(F.col("parts").isNull(), F.pmod(hashed, F.lit(n_groups))).otherwise(hashed)).withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fact_id", F.lit(1)), F.col("parts")).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.withColumn("g", F.when(F.col("parts").isNull(), F.pmod(hashed, F.lit(n_groups))).otherwise(hashed))
+    own = lambda seed, of: F.pmod(F.xxhash64("fact_id", F.lit(seed)), F.coalesce(of, F.lit(1))).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.coalesce(of, F.lit(1)) - 1))
     columns = [*(F.col(c).alias(c) for c in ("g", "i", "j", "fact_id", "doc_id", "doc_seq", "v")), F.struct("attribute_key", "kind").alias("of")]
-    left = rows.where("asks").withColumnRenamed("own", "i").withColumn("j", each).select(*columns)
-    right = rows.withColumnRenamed("own", "j").withColumn("i", each).select(*columns)
+    left = rows.where("asks").withColumn("i", own(1, "parts")).withColumn("j", each("groups")).select(*columns)
+    right = rows.withColumn("j", own(2, "groups")).withColumn("i", each("parts")).select(*columns)
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]

@@ -263,3 +263,25 @@ def test_open_pairs_make_their_facts_once(spark, monkeypatch, sf_dir):
     monkeypatch.setattr(catalogue.t, "facts", counted)
     assert catalogue.open_pairs(spark, sf_dir).count() > 0
     assert made.value == facts(spark, sf_dir).count()
+
+
+def test_asking_facts_of_a_hot_key_move_once(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"f{i:04}", f"d{i % 6}", i % 6, "numeric", "k", rng.normal(size=96).tolist()) for i in range(2000)]
+    table = spark.createDataFrame(rows, FACT).persist()
+    table.count()
+    one, many = (shuffled(spark, lambda b=b: link.key_candidates(table, block=b).count()) for b in (4096, 200))
+    table.unpersist()
+    assert many < 3 * one
+
+
+@pytest.mark.parametrize("mode", ["relink", "incremental"])
+def test_parts_and_groups_of_a_key_equal_all_pairs(spark, monkeypatch, mode):
+    rows = clustered()
+    table = spark.createDataFrame(rows, FACT)
+    for group_rows, parts in ((25, 11), (40, 2)):
+        monkeypatch.setattr(link, "GROUP_ROWS", group_rows)
+        monkeypatch.setattr(link, "MOST_PARTS", parts, raising=False)
+        assert rounded(link.key_candidates(table, mode, block=10)) == by_key(rows, mode) != set()
+        ask = {r[0] for r in rows if r[2] == 9}
+        assert rounded(link.key_candidates(table, mode, block=10, asking=table.where("doc_seq = 9"))) == by_key(rows, mode, asking=ask)
