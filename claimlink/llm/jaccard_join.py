@@ -10,6 +10,9 @@ others of the key, which is linear in the key's size; the leaders of hot keys co
 task reads a hot key. Where that leaves the nodes of a leader's keys in several components, the pairs across components are compared by their
 sketches, in blocks within tasks, and those that the bound doesn't clear by their sets. No link is lost.
 
+Keys are most of what is shuffled. They are dealt by range into KEY_PARTS, which meet one part after the other, so that the disk holds one
+part's shuffle at a time; then the keys' table is deleted. What finds pairs is the same as with all keys at once.
+
 Sketches come with the keys, from the one pass that reads all texts; only texts in pairs that aren't cleared are fetched, and
 their exact sets are made where both meet. Joins of pairs have a merge hint: with the nodes' number, both sides outgrow any broadcast.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from claimlink.llm.shared import U64, arrow_batches, discard, materialise, mix,
 
 #: Words of 64 bits in the sketch that is kept for comparing nodes; nodes of a key that are compared at once in a task.
 SKETCH_WORDS, MEMBERS = 32, 256
+#: Columns of the parts of keys that are shuffled one after the other, by the keys' first bits.
+KEY_PARTS = ("keys0", "keys1", "keys2", "keys3")
 #: Salts of a leader's members.
 SALTS = 32
 #: Keys with about so many rows or more are hot. A bounded sketch finds them, so there are at most MOST_HOT.
@@ -100,29 +106,34 @@ def sketch_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (the set's hash; null if it is empty), keys and sketch, which are null for copies that the task has met,
-    and unnamed, a hash of the text where the doc_id is null."""
+    """doc_id, n_shingles, node (the set's hash; null if it is empty), keys (KEY_PARTS) and sketch, which are null for copies that the task
+    has met, and unnamed, a hash of the text where the doc_id is null."""
     bands = Bands(percent)
+    parts = len(KEY_PARTS)
+    bounds = np.array([(i << 64) // parts for i in range(1, parts)], U64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in arrow_batches(batches):
-            sizes, nodes, keys, sketches = [], [], [], []
+            sizes, nodes, sketches = [], [], []
+            keys: list[list[np.ndarray | None]] = [[] for _ in KEY_PARTS]
             for found in shingle_sets(utf8(batch.column(1)), n):
                 node = set_hash(found) if len(found) else None
                 sizes.append(len(found))
                 nodes.append(node)
                 new = node is not None and node not in met
-                keys.append(bands.keys(found).view(np.int64) if new else None)
+                own = np.sort(bands.keys(found)) if new else None
+                for part, x in zip(keys, np.split(own.view(np.int64), np.searchsorted(own, bounds)) if new else [None] * parts, strict=True):
+                    part.append(x)
                 sketches.append(sketch_of(found) if new else None)
                 if node is not None and len(met) < REMEMBERED:
                     met.add(node)
-            lists = (pa.array(x, pa.list_(pa.int64())) for x in (keys, sketches))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists, batch.column(2)], names=["doc_id", "n_shingles", "node", "keys", "sketch", "unnamed"])
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (*keys, sketches))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists, batch.column(2)], names=["doc_id", "n_shingles", "node", *KEY_PARTS, "sketch", "unnamed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("unnamed")
-    return text_rows(docs).select("doc_id", "text", unnamed).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, keys array<long>, sketch array<long>, unnamed long")
+    return text_rows(docs).select("doc_id", "text", unnamed).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, {', '.join(f'{c} array<long>' for c in KEY_PARTS)}, sketch array<long>, unnamed long")
 
 
 def owners(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -146,10 +157,14 @@ def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return named.select("node", "text").unionByName(unnamed.select("node", "text")).mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
-def stars(keyed: DataFrame) -> DataFrame:
-    """(a, b): for each key of keyed (node, key; read more than once) its smallest node, and each other node."""
+def hot_keys(keyed: DataFrame) -> list[int]:
+    """The keys of keyed (key) with about HOT rows or more."""
     top = keyed.agg(F.call_function("approx_top_k", "key", F.lit(MOST_HOT), F.lit(10 * MOST_HOT)).alias("t")).select(F.explode("t").alias("t")).where(F.col("t.count") >= HOT)
-    hot = [r["key"] for r in top.select(F.col("t.item").alias("key")).collect()]  # at most MOST_HOT
+    return [r["key"] for r in top.select(F.col("t.item").alias("key")).collect()]  # at most MOST_HOT
+
+
+def stars(keyed: DataFrame, hot: list[int]) -> DataFrame:
+    """(a, b): for each key of keyed (node, key; read more than once if there are hot keys) its smallest node, and each other node."""
     first = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if not hot:
         return keyed.withColumn("leader", first).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
@@ -240,11 +255,16 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     a null doc_id; where all of a component have one, its component_id is null.
     """
     docs = docs.select("doc_id", "text")
-    rows = materialise(digests(docs, n, percent))
+    digested = materialise(digests(docs, n, percent))
+    rows = materialise(digested.select("doc_id", "n_shingles", "node", "unnamed"))
+    sketches = materialise(digested.where("sketch IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    hot = hot_keys(digested.select(F.explode(F.concat(*KEY_PARTS)).alias("key")))
+    met = [materialise(stars(digested.select("node", F.explode(part).alias("key")), hot).distinct()) for part in KEY_PARTS]
+    discard(digested)
+    pairs = materialise(reduce(DataFrame.union, met).distinct())
+    discard(*met)
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
 
-    pairs = materialise(stars(rows.select("node", F.explode("keys").alias("key"))).distinct())
-    sketches = materialise(rows.where("keys IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     near = materialise(not_cleared(pairs, sketches, percent))
     wanted = materialise(owners(rows, near))
     texts = materialise(texts_of(docs, wanted.hint("merge"), n))

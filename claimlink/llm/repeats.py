@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from claimlink.llm.shared import STEP_BYTES, U64, Spans, arrow_batches, materialise, mix, steps, text_rows, utf8
+from claimlink.llm.shared import STEP_BYTES, U64, Spans, arrow_batches, discard, materialise, mix, steps, text_rows, utf8
 
 #: Bytes of an anchor, and by how many bytes a level extends prefixes; both at most the minimum length. STRIDE is two words of eight.
 ANCHOR, STRIDE = 30, 16
@@ -343,7 +343,8 @@ def mark_repeats(docs: DataFrame, min_bytes: int = 100, cut_out: bool = False) -
     joined = plain.join(asked, _same(plain, asked)).select(plain["id"], plain["u"], "text", "asked")
     parts = joined.mapInArrow(cut, f"anchor long, id {id_type}, u int, start long, bytes binary, n long")
     places = found.where("again").select("id", "u", "place").unionByName(_decided(parts, min_bytes))
-    places = places.groupBy("id", "u").agg(F.collect_set("place").alias("places"))
+    places = materialise(places.groupBy("id", "u").agg(F.collect_set("place").alias("places")))  # so that texts aren't shuffled twice at once
+    discard(found)
     rows = plain.join(places, _same(plain, places), "left").select(*(plain[c] for c in plain.columns if c != "u"), "places")
 
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])

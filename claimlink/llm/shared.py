@@ -33,10 +33,23 @@ def shared_folder(df: DataFrame) -> str:
     return found
 
 
+#: Whether what a query has shuffled is deleted when the query ends; else it stays until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor costs nothing."""
+    """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor costs nothing.
+
+    What was shuffled for it is deleted at once: the plan of a write is its own, so nothing else reads that.
+    """
     out = f"{shared_folder(df).rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(out)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(out)
+    finally:
+        conf.set(CLEANUP, before)
     back = df.sparkSession.read.schema(df.schema).parquet(out)
     _FOLDERS[back] = out
     return back
